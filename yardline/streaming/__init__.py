@@ -1,0 +1,5 @@
+"""Empty on purpose.
+
+None of the queries this engine covers reads a stream: sources are nightly
+batch restores and the GPS feed is a current-status table.  See the README.
+"""
