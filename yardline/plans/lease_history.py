@@ -147,6 +147,25 @@ def idle_history(
     return _idle_rows(rows, edges)
 
 
+def fleet_units(trailers: DataFrame, *, as_of: dt.datetime) -> DataFrame:
+    """Units bought by ``as_of`` and not sold by then."""
+    today = F.lit(as_of.date())
+    return trailers.where((F.col("PurchaseDate") <= today) & (F.col("SoldDate").isNull() | (F.col("SoldDate") > today)))
+
+
+def lease_totals(leases: DataFrame, *, as_of: dt.datetime) -> DataFrame:
+    """Per unit: started leases, their latest end and the newest lease."""
+    return (
+        _started(leases, as_of)
+        .groupBy("Unit")
+        .agg(
+            F.count(F.lit(1)).alias("leases"),
+            F.max(_end()).alias("latest_end"),
+            F.max(F.struct("DateOn", "LeaseID", "Rate")).alias("newest"),
+        )
+    )
+
+
 def idle_snapshot(
     trailers: DataFrame,
     leases: DataFrame,
@@ -160,22 +179,13 @@ def idle_snapshot(
     One aggregate per unit replaces the running sums: at ``as_of`` every
     started lease counts, so the count and the latest end are enough.
     """
-    month = moments.index_of_key(moments.month_key(as_of))
-    first, last = _fleet_span(as_of, moments.month_key(as_of))
-    units = (
-        rated_trailers(trailers, card_rates, as_of=as_of)
-        .where(F.col("PurchaseDate") <= F.lit(as_of.date()))
-        .where(first <= last)
-        .select("Unit", "PurchaseDate", *_IDLE_KEEP)
-    )
-    state = (
-        _started(leases, as_of)
-        .groupBy("Unit")
-        .agg(F.count(F.lit(1)).alias("leases"), F.max(_end()).alias("latest_end"))
+    units = fleet_units(rated_trailers(trailers, card_rates, as_of=as_of), as_of=as_of).select(
+        "Unit", "PurchaseDate", *_IDLE_KEEP
     )
+    state = lease_totals(leases, as_of=as_of)
     rows = units.join(state, "Unit", "left").select(
         *units.columns,
-        F.lit(month).alias("month"),
+        F.lit(moments.index_of_key(moments.month_key(as_of))).alias("month"),
         F.lit(as_of.date()).alias("day"),
         F.coalesce("leases", F.lit(0)).alias("cumulative_leases"),
         "latest_end",
