@@ -78,25 +78,22 @@ def unit_age(year: Column, as_of: dt.datetime) -> Column:
 
 
 def usage_category(year: Column, as_of: dt.datetime) -> Column:
+    """Age band; a negative or unknown age counts as the oldest."""
     age = unit_age(year, as_of)
-    return first_match(
-        [(age.between(youngest, oldest), code) for code, youngest, oldest in USAGE_AGES], otherwise=OLDEST_USAGE
-    )
+    bands = [(age <= oldest, code) for code, _, oldest in USAGE_AGES]
+    return first_match([(age < 0, OLDEST_USAGE), *bands], otherwise=OLDEST_USAGE)
 
 
 def year_range(year: Column, as_of: dt.datetime) -> Column:
     """Model-year band of the usage category, such as ``1998-2001``."""
     age = unit_age(year, as_of)
-    oldest_banded = USAGE_AGES[-1][2]
-    outside = [
-        (age < 0, f"After {as_of.year}"),
-        (age > oldest_banded, f"Before {as_of.year - oldest_banded}"),
-    ]
     bands = [
-        (age.between(youngest, oldest), f"{as_of.year - oldest}-{as_of.year - youngest}")
-        for _, youngest, oldest in USAGE_AGES
+        (age <= oldest, f"{as_of.year - oldest}-{as_of.year - youngest}") for _, youngest, oldest in USAGE_AGES
     ]
-    return first_match(outside + bands)
+    oldest_banded = USAGE_AGES[-1][2]
+    return first_match(
+        [(age < 0, f"After {as_of.year}"), *bands, (age > oldest_banded, f"Before {as_of.year - oldest_banded}")]
+    )
 
 
 def length_bucket(length: Column) -> Column:

@@ -33,6 +33,20 @@ def month_of(date: Column) -> Column:
     return F.date_format(date, "yyyy-MM")
 
 
+def month_begin(date: Column) -> Column:
+    """First day of the month: the cheap key to group by before ``month_of``."""
+    return F.trunc(date, "month")
+
+
+def month_texts(index: Column, first: int, last: int) -> Column:
+    """'yyyy-MM' of a month index between two known ones, by table lookup.
+
+    Formatting a date costs more than the rest of a unit-month row.
+    """
+    texts = [f"{month // 12:04d}-{month % 12 + 1:02d}" for month in range(first, last + 1)]
+    return F.element_at(F.lit(texts), index - (first - 1))
+
+
 def next_month(month: Column) -> Column:
     """The 'yyyy-MM' key after a 'yyyy-MM' key."""
     return month_of(F.add_months(F.to_date(F.concat(month, F.lit("-01"))), 1))

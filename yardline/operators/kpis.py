@@ -77,12 +77,13 @@ def fleet_kpis(
     now = moments.moment(as_of)
     activity = (
         units_of_branch(leases, trailers, branch)
-        .groupBy(moments.month_of(F.col("DateOff")).alias("month"))
+        .groupBy(moments.month_begin(F.col("DateOff")).alias("month"))
         .agg(
             F.count(F.lit(1)).alias("returned"),
             F.count_if(began >= since).alias("new_leases"),
             F.count_if((ended < now) & (ended >= since)).alias("ended_leases"),
         )
+        .withColumn("month", moments.month_of(F.col("month")))
     )
     live = utilization.global_utilization(trailers, branch=branch).select(
         F.col("leased_trailers").alias("live_leased"), F.col("total_trailers").alias("live_total")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yardline.functions import buckets, formats, moments
-from yardline.operators.selection import ACTIVE_LEASE, LEASED, where_equal
+from yardline.operators.selection import ACTIVE_LEASE, LEASED, one_row, where_equal
+from yardline.plans.sizing import broadcast_if_small
 
 MAP_LIMIT = 1000
 STALE_LIMIT = 50
@@ -16,25 +17,30 @@ TOP_STATES = 15
 STALE_AFTER = dt.timedelta(hours=24)
 
 
-def leased_units(trailers: DataFrame, leases: DataFrame, *, in_force_at: dt.datetime | None = None) -> DataFrame:
-    """Leased units with their active leases; several leases give several rows.
+def leased_positions(
+    trailers: DataFrame,
+    leases: DataFrame,
+    asset_statuses: DataFrame,
+    *,
+    in_force_at: dt.datetime | None = None,
+) -> DataFrame:
+    """Leased units with active leases and GPS columns, null without GPS row.
 
-    With ``in_force_at`` the lease dates count too, not only the lease status.
+    Several leases of a unit give several rows.  With ``in_force_at`` the
+    lease dates count too, not only the lease status.  Units and GPS rows, one
+    each per unit, join first; the leases, where one unit may hold a large
+    share of the rows, go through a single join that can be split.
     """
     active = leases.where(F.col("LeaseStatus") == ACTIVE_LEASE)
     if in_force_at is not None:
         active = active.where(moments.in_force(F.col("DateOn"), F.col("DateOff"), in_force_at))
-    units = trailers.where(F.col("Status") == LEASED)
-    return units.join(active.select("Unit", "CustomerID"), "Unit")
-
-
-def with_position(units: DataFrame, asset_statuses: DataFrame) -> DataFrame:
-    """Left join to GPS; a later filter on a GPS column makes it an inner join."""
-    return units.join(asset_statuses.withColumnRenamed("AssetName", "Unit"), "Unit", "left")
+    gps = asset_statuses.withColumnRenamed("AssetName", "Unit")
+    units = trailers.where(F.col("Status") == LEASED).join(gps, "Unit", "left")
+    return active.select("Unit", "CustomerID").join(broadcast_if_small(units, trailers, asset_statuses), "Unit")
 
 
 def _located(trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, as_of: dt.datetime) -> DataFrame:
-    rows = with_position(leased_units(trailers, leases, in_force_at=as_of), asset_statuses)
+    rows = leased_positions(trailers, leases, asset_statuses, in_force_at=as_of)
     return rows.where(F.col("Latitude").isNotNull() & F.col("Longitude").isNotNull())
 
 
@@ -78,7 +84,7 @@ def location_bounds(trailers: DataFrame, leases: DataFrame, asset_statuses: Data
 def locations_by_state(
     trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, *, limit: int | None = None
 ) -> DataFrame:
-    rows = with_position(leased_units(trailers, leases), asset_statuses).where(F.col("State").isNotNull())
+    rows = leased_positions(trailers, leases, asset_statuses).where(F.col("State").isNotNull())
     states = rows.groupBy(F.col("State").alias("state")).agg(F.count(F.lit(1)).alias("unit_count"))
     states = states.orderBy(F.desc("unit_count"), "state")
     return states if limit is None else states.limit(limit)
@@ -112,7 +118,7 @@ def stale_gps(
     Units that never reported come first.
     """
     seen = F.col("LastUpdate")
-    rows = with_position(leased_units(trailers, leases), asset_statuses)
+    rows = leased_positions(trailers, leases, asset_statuses)
     stale = rows.where(seen.isNull() | (seen < moments.moment(as_of - STALE_AFTER))).select(
         F.col("Unit").alias("unit"),
         F.col("Fleetcity").alias("branch"),
@@ -142,7 +148,7 @@ def stale_gps_table(
 
 def away_from_branch(trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame) -> DataFrame:
     """Home branch beside the current place, for every unit with a known state."""
-    rows = with_position(leased_units(trailers, leases), asset_statuses).where(F.col("State").isNotNull())
+    rows = leased_positions(trailers, leases, asset_statuses).where(F.col("State").isNotNull())
     return rows.select(
         F.col("Unit").alias("unit"),
         F.col("Fleetcity").alias("home_branch"),
@@ -152,6 +158,21 @@ def away_from_branch(trailers: DataFrame, leases: DataFrame, asset_statuses: Dat
     ).orderBy("home_branch", "current_state", "unit", "customer_id")
 
 
+def location_cards(
+    trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, *, as_of: dt.datetime
+) -> DataFrame:
+    """Located rows, states covered, stale rows and the state with most units."""
+    states = locations_by_state(trailers, leases, asset_statuses)
+    top = F.min(F.struct((-F.col("unit_count")).alias("negated"), "state"))
+    return one_row(
+        _located(trailers, leases, asset_statuses, as_of).agg(F.count(F.lit(1)).alias("trailers_with_gps")),
+        states.agg(F.count(F.lit(1)).alias("states_covered"), top.alias("top")).select(
+            "states_covered", F.col("top.state").alias("top_state"), (-F.col("top.negated")).alias("top_state_units")
+        ),
+        stale_gps(trailers, leases, asset_statuses, as_of=as_of).agg(F.count(F.lit(1)).alias("stale_count")),
+    )
+
+
 def location_detail(
     trailers: DataFrame,
     leases: DataFrame,

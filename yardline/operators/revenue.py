@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from yardline.functions import buckets, formats, moments, status
 from yardline.operators.selection import count_where, not_placeholder, where_equal
 from yardline.operators.utilization import utilization_by_branch
+from yardline.plans.sizing import broadcast_if_small
 from yardline.plans.units import RATE_KEY, rated_trailers
 
 TOP_MISSING_BUCKETS = 10
@@ -105,8 +106,8 @@ def revenue_by_usage(revenue: DataFrame, **selection) -> DataFrame:
 
 
 def revenue_trend(revenue: DataFrame, **selection) -> DataFrame:
-    month = moments.month_of(F.col("BillingStopDate")).alias("month")
-    return benchmarked(revenue, **selection).groupBy(month).agg(*_rates()).orderBy("month")
+    grouped = benchmarked(revenue, **selection).groupBy(moments.month_begin(F.col("BillingStopDate")).alias("month"))
+    return grouped.agg(*_rates()).withColumn("month", moments.month_of(F.col("month"))).orderBy("month")
 
 
 def revenue_latest_month(
@@ -123,13 +124,13 @@ def revenue_latest_month(
     if branch not in (None, "all"):
         chosen = chosen & (F.col("Branch") == F.lit(branch))
     gap = F.when(chosen, F.col("MonthlyRateVariance"))
-    monthly = rows.groupBy(moments.month_of(F.col("BillingStopDate")).alias("month")).agg(
+    monthly = rows.groupBy(moments.month_begin(F.col("BillingStopDate")).alias("month")).agg(
         F.avg(F.when(chosen, variance_pct())).alias("avg_variance_pct"),
         F.sum(F.when(gap >= 0, 1).when(gap < 0, 0)).alias("at_or_above_card"),
         F.sum(F.when(gap < 0, 1).when(gap >= 0, 0)).alias("below_card"),
     )
     measures = ["avg_variance_pct", "at_or_above_card", "below_card"]
-    return monthly.agg(F.max("month").alias("month"), *[F.max_by(m, "month").alias(m) for m in measures])
+    return monthly.agg(moments.month_of(F.max("month")).alias("month"), *[F.max_by(m, "month").alias(m) for m in measures])
 
 
 def variance_lines(revenue: DataFrame, **selection) -> DataFrame:
@@ -248,7 +249,7 @@ def revenue_components(invoice_lines: DataFrame, trailers: DataFrame) -> DataFra
 
     Lines are totalled per unit, month and kind before the join.
     """
-    per_unit = billed_per_unit(invoice_lines, moments.month_of(F.col("BillingStopDate")).alias("month"), F.col("LineKind"))
+    per_unit = billed_per_unit(invoice_lines, moments.month_begin(F.col("BillingStopDate")).alias("month"), F.col("LineKind"))
     branches = trailers.select("Unit", F.col("Fleetcity").alias("branch"))
     split = (
         per_unit.join(branches, "Unit", "left")
@@ -259,7 +260,8 @@ def revenue_components(invoice_lines: DataFrame, trailers: DataFrame) -> DataFra
     parts = {f"{kind.lower()}_revenue": F.coalesce(kind, F.lit(0).cast("decimal(38,2)")) for kind in LINE_KINDS}
     columns = [value.alias(name) for name, value in parts.items()]
     total = sum(list(parts.values())[1:], list(parts.values())[0])
-    return split.select("month", "branch", *columns, total.alias("total_revenue")).orderBy("month", "branch")
+    month = moments.month_of(F.col("month")).alias("month")
+    return split.select(month, "branch", *columns, total.alias("total_revenue")).orderBy("month", "branch")
 
 
 def rate_realization(trailers: DataFrame, leases: DataFrame, card_rates: DataFrame, *, as_of: dt.datetime) -> DataFrame:
@@ -269,7 +271,7 @@ def rate_realization(trailers: DataFrame, leases: DataFrame, card_rates: DataFra
     )
     units = rated_trailers(trailers, card_rates, as_of=as_of)
     rate, card = F.col("Rate"), F.col("CardRateMonth")
-    return running.join(units, "Unit").select(
+    return running.join(broadcast_if_small(units, trailers), "Unit").select(
         F.col("Unit").alias("unit"),
         "LeaseID",
         F.col("Fleetcity").alias("branch"),

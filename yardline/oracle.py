@@ -642,6 +642,11 @@ WHERE l.LeaseStatus = 'ACTIVE' AND l.DateOn <= {AS_OF} AND (l.DateOff IS NULL OR
         "state_share": "SELECT state, unit_count, least(CAST(unit_count AS DOUBLE) / "
         "NULLIF((SELECT count(*) FROM located), 0) * 100, 100) AS share_percent "
         f"FROM ({_STATES}) s ORDER BY unit_count DESC, state LIMIT 15",
+        "location_cards": "SELECT (SELECT count(*) FROM located) AS trailers_with_gps, "
+        f"(SELECT count(*) FROM ({_STATES}) s) AS states_covered, "
+        f"(SELECT state FROM ({_STATES}) s ORDER BY unit_count DESC, state LIMIT 1) AS top_state, "
+        f"(SELECT max(unit_count) FROM ({_STATES}) s) AS top_state_units, "
+        f"(SELECT count(*) FROM ({_STALE}) x) AS stale_count",
         "stale_gps": _STALE,
         "stale_gps_top": "SELECT unit, branch, customer_id, CASE WHEN hours_since_update <> 0 "
         "THEN CAST(hours_since_update AS VARCHAR) ELSE 'N/A' END AS hours, "

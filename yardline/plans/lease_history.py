@@ -78,6 +78,10 @@ def unit_months(
 
     ``keep`` names unit columns to carry along.  ``latest_end`` is null and
     ``cumulative_leases`` 0 in the months before the first lease.
+
+    The merge join is asked for: the lease side is already shuffled and sorted
+    by unit, and the many months of a unit need the partitions of a shuffle,
+    which a broadcast to a few unit files would not give.
     """
     first, last = _fleet_span(as_of, from_month)
     spans = (
@@ -85,7 +89,7 @@ def unit_months(
         .select("Unit", "PurchaseDate", *keep, first.alias("first_month"), last.alias("last_month"))
         .where("first_month <= last_month")
     )
-    states = spans.join(lease_states(leases, as_of=as_of), "Unit", "left")
+    states = spans.join(lease_states(leases, as_of=as_of).hint("merge"), "Unit", "left")
     is_first = F.coalesce("is_first", F.lit(True))
     low = F.when(is_first, F.col("first_month")).otherwise(F.greatest("start_month", "first_month"))
     high = F.least(F.col("next_month") - 1, "last_month")
@@ -111,12 +115,12 @@ def _is_rented() -> Column:
 _IDLE_KEEP = ("Fleetcity", "type_bucket", "usage_category", "length_bucket", "year_range", "Cost", "CardRateMonth")
 
 
-def _idle_rows(rows: DataFrame, edges: Sequence[int]) -> DataFrame:
+def _idle_rows(rows: DataFrame, month_text: Column, edges: Sequence[int]) -> DataFrame:
     """Idle-asset columns of unit-day rows (``unit_months`` or one day)."""
     since = F.coalesce("latest_end", "PurchaseDate")
     months = F.col("month") - moments.month_index(since)
     return rows.where(~_is_rented()).select(
-        moments.month_of(F.col("day")).alias("MonthStr"),
+        month_text.alias("MonthStr"),
         "Unit",
         F.col("Fleetcity").alias("Branch"),
         F.col("type_bucket").alias("TypeBucket"),
@@ -144,7 +148,8 @@ def idle_history(
     """Idle units of every month; the price list joins before months are spelled out."""
     units = rated_trailers(trailers, card_rates, as_of=as_of)
     rows = unit_months(units, leases, as_of=as_of, from_month=from_month, keep=_IDLE_KEEP)
-    return _idle_rows(rows, edges)
+    first, last = moments.index_of_key(from_month), moments.index_of_key(moments.month_key(as_of))
+    return _idle_rows(rows, moments.month_texts(F.col("month"), first, last), edges)
 
 
 def fleet_units(trailers: DataFrame, *, as_of: dt.datetime) -> DataFrame:
@@ -190,7 +195,7 @@ def idle_snapshot(
         F.coalesce("leases", F.lit(0)).alias("cumulative_leases"),
         "latest_end",
     )
-    return _idle_rows(rows, edges)
+    return _idle_rows(rows, F.lit(moments.month_key(as_of)), edges)
 
 
 def latest_month(history: DataFrame) -> DataFrame:

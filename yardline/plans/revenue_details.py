@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yardline.plans.sizing import broadcast_if_small
 from yardline.plans.units import rated_trailers
 
 
@@ -29,7 +30,7 @@ def revenue_details(
         F.col("year_range").alias("YearRange"),
         "CardRateMonth",
     )
-    return invoice_lines.join(units, "UnitNumber", "left").select(
+    return invoice_lines.join(broadcast_if_small(units, trailers), "UnitNumber", "left").select(
         "UnitNumber",
         "Branch",
         "TypeBucket",

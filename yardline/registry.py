@@ -206,6 +206,7 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "location_bounds": lambda f: locations.location_bounds(*f.positions, **NOW),
     "locations_by_state": lambda f: locations.locations_by_state(*f.positions),
     "state_share": lambda f: locations.state_share(*f.positions, **NOW),
+    "location_cards": lambda f: locations.location_cards(*f.positions, **NOW),
     "stale_gps": lambda f: locations.stale_gps(*f.positions, **NOW),
     "stale_gps_top": lambda f: locations.stale_gps_table(*f.positions, **NOW),
     "away_from_branch": lambda f: locations.away_from_branch(*f.positions),

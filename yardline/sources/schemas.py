@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 _MONEY = T.DecimalType(18, 2)
+# Rates fit eight digits, and up to there Spark sums decimals as plain longs.
+# The operators take wider decimals as well.
+_RATE = T.DecimalType(8, 2)
 
 
 def _schema(*fields: tuple) -> T.StructType:
@@ -32,7 +35,7 @@ LEASES = _schema(
     ("LeaseStatus", T.StringType(), False),
     ("DateOn", T.DateType(), False),
     ("DateOff", T.DateType(), True),
-    ("Rate", _MONEY, True),
+    ("Rate", _RATE, True),
 )
 
 INVOICE_LINES = _schema(
@@ -41,8 +44,8 @@ INVOICE_LINES = _schema(
     ("UnitNumber", T.StringType(), False),
     ("BillingStartDate", T.DateType(), True),
     ("BillingStopDate", T.DateType(), False),
-    ("BilledMonthlyRate", _MONEY, False),
-    ("BilledDailyRate", _MONEY, True),
+    ("BilledMonthlyRate", _RATE, False),
+    ("BilledDailyRate", _RATE, True),
     ("BilledMileageRate", T.DecimalType(9, 2), True),
     ("LineKind", T.StringType(), True),
 )
@@ -63,7 +66,7 @@ CARD_RATES = _schema(
     ("type_bucket", T.StringType(), False),
     ("usage_category", T.StringType(), False),
     ("length_bucket", T.StringType(), False),
-    ("CardRateMonth", _MONEY, True),
+    ("CardRateMonth", _RATE, True),
 )
 
 REVENUE_DETAILS = _schema(
@@ -75,11 +78,11 @@ REVENUE_DETAILS = _schema(
     ("YearRange", T.StringType(), True),
     ("BillingStartDate", T.DateType(), True),
     ("BillingStopDate", T.DateType(), False),
-    ("BilledMonthlyRate", _MONEY, False),
-    ("BilledDailyRate", _MONEY, True),
+    ("BilledMonthlyRate", _RATE, False),
+    ("BilledDailyRate", _RATE, True),
     ("BilledMileageRate", T.DecimalType(9, 2), True),
-    ("CardRateMonth", _MONEY, True),
-    ("MonthlyRateVariance", T.DecimalType(19, 2), True),
+    ("CardRateMonth", _RATE, True),
+    ("MonthlyRateVariance", T.DecimalType(9, 2), True),
     ("InvoiceNo", T.StringType(), False),
     ("LeaseNumber", T.LongType(), True),
 )
@@ -97,7 +100,7 @@ IDLE_ASSETS = _schema(
     ("CumulativeLeases", T.LongType(), False),
     ("MonthsIdle", T.IntegerType(), False),
     ("IdleDurationBucket", T.StringType(), False),
-    ("CardRate", _MONEY, True),
+    ("CardRate", _RATE, True),
 )
 
 BUCKET_STATISTICS = _schema(

@@ -37,8 +37,8 @@ def _unit(key: str) -> str:
 
 def _money(amount: str, floor: int, span: int) -> str:
     """A price between ``floor`` and ``floor + span`` cents, as decimal."""
-    cents = f"{floor} + cast(round({amount} * 100, 0) AS bigint) % {span}"
-    return f"cast(cast({cents} AS decimal(18,0)) * 0.01 AS decimal(18,2))"
+    cents = f"{floor} + cast(rint({amount} * 100) AS bigint) % {span}"
+    return f"cast(cast({cents} AS decimal(18,0)) * 0.01 AS decimal(8,2))"
 
 
 def trailers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ def card_rates(spark: SparkSession) -> DataFrame:
                 unpriced = kind == "SPECIALTY" and usage == "STORAGE"
                 rows.append(f"('{kind}', '{usage}', '{length}', {0 if unpriced else base + by_age + by_length})")
     return spark.sql(
-        "SELECT type_bucket, usage_category, length_bucket, cast(rate AS decimal(18,2)) AS CardRateMonth "
+        "SELECT type_bucket, usage_category, length_bucket, cast(rate AS decimal(8,2)) AS CardRateMonth "
         f"FROM VALUES {', '.join(rows)} AS r(type_bucket, usage_category, length_bucket, rate)"
     )
 
