@@ -42,9 +42,13 @@ def label(code: Column, labels: Mapping[str, str]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), code), code)
 
 
+def _pattern(value: Column, pattern: str) -> Column:
+    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
+
+
 def format_number(value: Column) -> Column:
     """Thousands separators and up to three decimals."""
-    return F.format_number(value.cast("double"), "#,##0.###")
+    return _pattern(value, "#,##0.###")
 
 
 def format_currency(value: Column, decimals: int = 0) -> Column:
@@ -55,7 +59,7 @@ def format_currency(value: Column, decimals: int = 0) -> Column:
 
 def format_percent(value: Column, decimals: int = 1) -> Column:
     pattern = "0." + "0" * decimals if decimals else "0"
-    return F.concat(F.format_number(value.cast("double") * 100, pattern), F.lit("%"))
+    return F.concat(_pattern(value.cast("double") * 100, pattern), F.lit("%"))
 
 
 def display_name(code: Column) -> Column:
