@@ -181,3 +181,12 @@ def test_formats(spark):
         "Unknown",
         "Unknown",
     ]
+
+
+def test_dates_against_moments(spark):
+    days = [dt.date(2001, 11, 14), dt.date(2001, 11, 15), dt.date(2001, 11, 16)]
+    noon, midnight = AS_OF, dt.datetime(2001, 11, 15)
+    assert values(spark, "date", days, moments.on_or_after(F.col("x"), noon)) == [False, False, True]
+    assert values(spark, "date", days, moments.on_or_after(F.col("x"), midnight)) == [False, True, True]
+    assert values(spark, "date", days, moments.before(F.col("x"), noon)) == [True, True, False]
+    assert values(spark, "date", days, moments.before(F.col("x"), midnight)) == [True, False, False]

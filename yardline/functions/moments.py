@@ -83,6 +83,20 @@ def hours_since(ts: Column, as_of: dt.datetime) -> Column:
     return days.cast("bigint") * 24 + F.lit(as_of.hour) - F.hour(ts)
 
 
+def on_or_after(date: Column, value: dt.datetime) -> Column:
+    """Whether a DATE, taken at midnight, is at or after a moment.
+
+    Compared as dates, so the test reaches the scan.
+    """
+    day = F.lit(value.date())
+    return date >= day if value.time() == dt.time() else date > day
+
+
+def before(date: Column, value: dt.datetime) -> Column:
+    """Whether a DATE, taken at midnight, is before a moment."""
+    return ~on_or_after(date, value)
+
+
 def in_force(date_on: Column, date_off: Column, as_of: dt.datetime) -> Column:
     """The date test of a lease that runs at ``as_of`` (DATE columns)."""
     today = F.lit(as_of.date())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from yardline.functions import buckets, status
 from yardline.operators.selection import AVAILABLE, LEASED, count_where, fleet, named_branch, rentable, where_equal
 from yardline.operators.utilization import utilization_by_branch
-from yardline.plans.units import enriched_trailers
+from yardline.plans.units import with_buckets
 
 BOTTOM_BRANCHES = 5
 
@@ -64,7 +64,7 @@ def most_available_type(trailers: DataFrame) -> DataFrame:
 
 
 def branch_composition(trailers: DataFrame, *, as_of: dt.datetime) -> DataFrame:
-    units = enriched_trailers(rentable(trailers).where(named_branch(F.col("Fleetcity"))), as_of=as_of)
+    units = with_buckets(rentable(trailers).where(named_branch(F.col("Fleetcity"))), "type_bucket", as_of=as_of)
     return (
         units.groupBy(F.col("Fleetcity").alias("branch"), "type_bucket")
         .agg(F.count(F.lit(1)).alias("total_count"), count_where(F.col("Status") == LEASED).alias("leased_count"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from yardline.functions import buckets, formats, status
 from yardline.operators.selection import count_where, is_set, not_placeholder, where_equal
 from yardline.plans.lease_history import fleet_units, lease_totals
-from yardline.plans.units import enriched_trailers
+from yardline.plans.units import with_buckets
 
 TOP_CRITICAL = 25
 TOP_BRANCHES = 15
@@ -245,7 +245,7 @@ def never_leased_share(idle: DataFrame, **selection) -> DataFrame:
 
 def idle_units_last_rate(trailers: DataFrame, leases: DataFrame, *, as_of: dt.datetime) -> DataFrame:
     """Idle fleet units with days idle and the rate of their newest lease."""
-    units = enriched_trailers(fleet_units(trailers, as_of=as_of), as_of=as_of)
+    units = with_buckets(fleet_units(trailers, as_of=as_of), "type_bucket", "usage_category", as_of=as_of)
     rows = units.join(lease_totals(leases, as_of=as_of), "Unit", "left")
     today = F.lit(as_of.date())
     since = F.coalesce("latest_end", "PurchaseDate")

@@ -72,16 +72,15 @@ def fleet_kpis(
     Month figures, leases per ending month and the live fleet are stacked,
     summed per month and reduced to the newest month with statistics.
     """
-    since = moments.moment(moments.shift_months(as_of, -moments.period_months(period, as_of)))
-    began, ended = F.col("DateOn").cast("timestamp_ntz"), F.col("DateOff").cast("timestamp_ntz")
-    now = moments.moment(as_of)
+    since = moments.shift_months(as_of, -moments.period_months(period, as_of))
+    began, ended = F.col("DateOn"), F.col("DateOff")
     activity = (
         units_of_branch(leases, trailers, branch)
         .groupBy(moments.month_begin(F.col("DateOff")).alias("month"))
         .agg(
             F.count(F.lit(1)).alias("returned"),
-            F.count_if(began >= since).alias("new_leases"),
-            F.count_if((ended < now) & (ended >= since)).alias("ended_leases"),
+            F.count_if(moments.on_or_after(began, since)).alias("new_leases"),
+            F.count_if(moments.before(ended, as_of) & moments.on_or_after(ended, since)).alias("ended_leases"),
         )
         .withColumn("month", moments.month_of(F.col("month")))
     )

@@ -163,9 +163,9 @@ def variance_shares(revenue: DataFrame, **selection) -> DataFrame:
     return classes.withColumn("share", buckets.utilization(F.col("invoice_count"), total)).orderBy("variance_bucket")
 
 
-def billed_per_unit(invoice_lines: DataFrame, *keys: Column) -> DataFrame:
-    """Invoice lines totalled per unit and further keys."""
-    return invoice_lines.groupBy(F.col("UnitNumber").alias("Unit"), *keys).agg(
+def billed_per_unit(invoice_lines: DataFrame) -> DataFrame:
+    """Invoice lines totalled per unit."""
+    return invoice_lines.groupBy(F.col("UnitNumber").alias("Unit")).agg(
         F.sum("BilledMonthlyRate").alias("billed"), F.count(F.lit(1)).alias("lines")
     )
 
@@ -216,8 +216,8 @@ def recent_revenue_by_branch(
     invoice_lines: DataFrame, trailers: DataFrame, *, as_of: dt.datetime, months: int = 1
 ) -> DataFrame:
     """Billed total and lines per branch since ``months`` months before ``as_of``."""
-    since = moments.moment(moments.shift_months(as_of, -months))
-    recent = billed_per_unit(invoice_lines.where(F.col("BillingStopDate").cast("timestamp_ntz") >= since))
+    since = moments.on_or_after(F.col("BillingStopDate"), moments.shift_months(as_of, -months))
+    recent = billed_per_unit(invoice_lines.where(since))
     branches = trailers.select("Unit", F.col("Fleetcity").alias("branch"))
     return (
         recent.join(branches, "Unit", "left")
@@ -247,15 +247,15 @@ def revenue_growth(revenue: DataFrame, **selection) -> DataFrame:
 def revenue_components(invoice_lines: DataFrame, trailers: DataFrame) -> DataFrame:
     """Billed total per month and branch, split into lease, mileage and repair.
 
-    Lines are totalled per unit, month and kind before the join.
+    A unit has few lines of one kind in a month, so totals per unit would not
+    shrink the lines: they join their branch directly.
     """
-    per_unit = billed_per_unit(invoice_lines, moments.month_begin(F.col("BillingStopDate")).alias("month"), F.col("LineKind"))
-    branches = trailers.select("Unit", F.col("Fleetcity").alias("branch"))
+    branches = trailers.select(F.col("Unit").alias("UnitNumber"), F.col("Fleetcity").alias("branch"))
     split = (
-        per_unit.join(branches, "Unit", "left")
-        .groupBy("month", "branch")
+        invoice_lines.join(broadcast_if_small(branches), "UnitNumber", "left")
+        .groupBy(moments.month_begin(F.col("BillingStopDate")).alias("month"), "branch")
         .pivot("LineKind", list(LINE_KINDS))
-        .agg(F.sum("billed"))
+        .agg(F.sum("BilledMonthlyRate"))
     )
     parts = {f"{kind.lower()}_revenue": F.coalesce(kind, F.lit(0).cast("decimal(38,2)")) for kind in LINE_KINDS}
     columns = [value.alias(name) for name, value in parts.items()]
@@ -269,7 +269,7 @@ def rate_realization(trailers: DataFrame, leases: DataFrame, card_rates: DataFra
     running = leases.where(
         (F.col("LeaseStatus") == "ACTIVE") & moments.in_force(F.col("DateOn"), F.col("DateOff"), as_of)
     )
-    units = rated_trailers(trailers, card_rates, as_of=as_of)
+    units = rated_trailers(trailers, card_rates, as_of=as_of, year_range=False)
     rate, card = F.col("Rate"), F.col("CardRateMonth")
     return running.join(broadcast_if_small(units, trailers), "Unit").select(
         F.col("Unit").alias("unit"),

@@ -19,7 +19,7 @@ from yardline.operators.selection import (
     rentable,
     where_equal,
 )
-from yardline.plans.units import enriched_trailers
+from yardline.plans.units import with_buckets
 
 
 def _leased() -> Column:
@@ -57,29 +57,30 @@ def utilization_by_branch(trailers: DataFrame) -> DataFrame:
 
 
 def utilization_by_type(trailers: DataFrame, *, as_of: dt.datetime, branch: str | None = None) -> DataFrame:
-    units = enriched_trailers(fleet(trailers, branch), as_of=as_of)
+    units = with_buckets(fleet(trailers, branch), "type_bucket", as_of=as_of)
     return _utilization_by(units, "type_bucket").orderBy(F.desc("total_trailers"), "type_bucket")
 
 
 def utilization_by_usage(trailers: DataFrame, *, as_of: dt.datetime, branch: str | None = None) -> DataFrame:
-    units = enriched_trailers(fleet(trailers, branch), as_of=as_of)
+    units = with_buckets(fleet(trailers, branch), "usage_category", as_of=as_of)
     return _utilization_by(units, "usage_category").orderBy("usage_category")
 
 
 def utilization_matrix(trailers: DataFrame, *, as_of: dt.datetime, branch: str | None = None) -> DataFrame:
-    units = enriched_trailers(fleet(trailers, branch), as_of=as_of)
+    units = with_buckets(fleet(trailers, branch), "type_bucket", "usage_category", as_of=as_of)
     return _utilization_by(units, "type_bucket", "usage_category").orderBy("type_bucket", "usage_category")
 
 
 def utilization_by_branch_type_age(trailers: DataFrame, *, as_of: dt.datetime) -> DataFrame:
-    units = enriched_trailers(rentable(trailers).where(named_branch(F.col("Fleetcity"))), as_of=as_of)
+    named = rentable(trailers).where(named_branch(F.col("Fleetcity")))
+    units = with_buckets(named, "type_bucket", "usage_category", as_of=as_of)
     keys = ["branch", "type_bucket", "usage_category"]
     return _utilization_by(units.withColumnRenamed("Fleetcity", "branch"), *keys).orderBy(*keys)
 
 
 def utilization_pivot(trailers: DataFrame, *, as_of: dt.datetime, branch: str | None = None) -> DataFrame:
     """Type rows by usage columns; a combination without units is null."""
-    units = enriched_trailers(fleet(trailers, branch), as_of=as_of)
+    units = with_buckets(fleet(trailers, branch), "type_bucket", "usage_category", as_of=as_of)
     ratio = buckets.utilization(_leased(), F.count(F.lit(1)))
     return units.groupBy("type_bucket").pivot("usage_category", list(buckets.USAGE_ORDER)).agg(ratio).orderBy("type_bucket")
 
@@ -119,7 +120,7 @@ def fleet_combined(trailers: DataFrame, *, as_of: dt.datetime, branch: str | Non
     but count in the others.
     """
     cells = (
-        enriched_trailers(fleet(trailers, branch), as_of=as_of)
+        with_buckets(fleet(trailers, branch), "type_bucket", "usage_category", as_of=as_of)
         .groupBy(F.col("Fleetcity").alias("branch"), "type_bucket", "usage_category")
         .agg(F.count(F.lit(1)).alias("total"), _leased().alias("leased"), _available().alias("available"))
     )

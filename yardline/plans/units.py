@@ -11,24 +11,31 @@ from yardline.functions import buckets
 
 RATE_KEY = ["type_bucket", "usage_category", "length_bucket"]
 
+_BUCKETS = {
+    "type_bucket": lambda as_of: buckets.type_bucket(F.col("Type")),
+    "usage_category": lambda as_of: buckets.usage_category(F.col("Year"), as_of),
+    "length_bucket": lambda as_of: buckets.length_bucket(F.col("Length")),
+    "year_range": lambda as_of: buckets.year_range(F.col("Year"), as_of),
+}
+
+
+def with_buckets(trailers: DataFrame, *names: str, as_of: dt.datetime) -> DataFrame:
+    """Units with the named bucket columns."""
+    return trailers.withColumns({name: _BUCKETS[name](as_of) for name in names})
+
 
 def enriched_trailers(trailers: DataFrame, *, as_of: dt.datetime) -> DataFrame:
     """The unit master with type, usage, length and model-year buckets."""
-    year = F.col("Year")
-    return trailers.withColumns(
-        {
-            "type_bucket": buckets.type_bucket(F.col("Type")),
-            "usage_category": buckets.usage_category(year, as_of),
-            "length_bucket": buckets.length_bucket(F.col("Length")),
-            "year_range": buckets.year_range(year, as_of),
-        }
-    )
+    return with_buckets(trailers, *_BUCKETS, as_of=as_of)
 
 
-def rated_trailers(trailers: DataFrame, card_rates: DataFrame, *, as_of: dt.datetime) -> DataFrame:
-    """Enriched units with ``CardRateMonth``, null where no benchmark exists.
+def rated_trailers(
+    trailers: DataFrame, card_rates: DataFrame, *, as_of: dt.datetime, year_range: bool = True
+) -> DataFrame:
+    """Bucketed units with ``CardRateMonth``, null where no benchmark exists.
 
     No join hint: the price list is normally far below Spark's broadcast limit,
     and Catalyst checks its size; beyond the limit the join shuffles.
     """
-    return enriched_trailers(trailers, as_of=as_of).join(card_rates, RATE_KEY, "left")
+    names = [*RATE_KEY, "year_range"] if year_range else RATE_KEY
+    return with_buckets(trailers, *names, as_of=as_of).join(card_rates, RATE_KEY, "left")
