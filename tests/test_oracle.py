@@ -10,7 +10,8 @@ import pytest
 import __spark_entry__ as entry_points
 from conftest import sorted_rows
 
-SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
+DEFAULT_DIR = "/root/testdata/sf0.01"
+SF_DIR = os.environ.get("ORACLE_SF_DIR", DEFAULT_DIR)
 TABLES = ("part", "orders", "lineitem", "events")
 QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
 
@@ -42,7 +43,7 @@ def test_query_equals_sql(name, spark, duck):
 
 def test_results_are_not_empty(spark):
     for name in ("utilization_matrix", "idle_history", "leased_locations", "fleet_kpis", "report_revenue_filtered"):
-        assert not QUERIES[name](spark, SF_DIR).isEmpty()
+        assert not QUERIES[name](spark, DEFAULT_DIR).isEmpty()
 
 
 def test_entry(spark):

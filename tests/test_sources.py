@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 import frames
 from frames import AS_OF
 from yardline.operators import audit, reports
-from yardline.sources import csv_sink, testdata
+from yardline.sources import csv_sink, inputs, testdata
+from yardline.sources.schemas import INPUTS
 from yardline.sources.tables import Databases, JdbcSource, run_query
 
 
@@ -90,3 +91,34 @@ def test_audit_finds_planted_problems(spark):
     units = units.withColumn("Status", F.when(F.col("Unit") == "A", F.col("Status")))
     found = audit.problems(audit.source_audit({"trailers": units, "leases": frames.leases(spark, {})})).collect()
     assert {(r.column_name, r.present, r.null_count) for r in found} == {("Cost", False, None), ("Status", True, 1)}
+
+
+def test_inputs_from_parquet_are_conformed(spark, tmp_path):
+    tables = testdata.load(spark, "/root/testdata/sf0.001")
+    for name, frame in tables.as_dict().items():
+        if name == "leases":
+            frame = frame.withColumn("DateOn", F.col("DateOn").cast("timestamp_ntz"))
+            frame = frame.withColumn("Unit", F.concat("Unit", F.lit("  "))).withColumn("Extra", F.lit(1))
+        frame.write.parquet(str(tmp_path / name))
+    loaded = inputs.from_parquet(spark, str(tmp_path))
+    for name, frame in loaded.as_dict().items():
+        assert [(f.name, f.dataType) for f in frame.schema] == [(f.name, f.dataType) for f in INPUTS[name]]
+    assert loaded.leases.exceptAll(tables.leases).isEmpty()
+
+
+def test_inputs_from_databases_name_each_table(spark):
+    asked = []
+
+    class Fake:
+        def table(self, spark, database, table, **partitioning):
+            asked.append((database, table, partitioning))
+            schema = INPUTS[table]
+            return spark.createDataFrame([], schema)
+
+    names = {name: inputs.TableName("analytics", name) for name in INPUTS}
+    ranged = {"partition_column": "LeaseID", "lower": 0, "upper": 9, "partitions": 3}
+    names["leases"] = inputs.TableName("analytics", "leases", ranged)
+    names["asset_statuses"] = inputs.TableName("gps", "asset_statuses")
+    inputs.from_databases(spark, Fake(), names)
+    assert ("gps", "asset_statuses", {}) in asked and ("analytics", "leases", ranged) in asked
+    assert len(asked) == 5

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yardline.functions import buckets, formats, moments, status
-from yardline.operators.selection import count_where, not_placeholder, where_equal
+from yardline.operators.selection import ACTIVE_LEASE, count_where, is_set, not_placeholder, where_equal
 from yardline.operators.utilization import utilization_by_branch
 from yardline.plans.sizing import broadcast_if_small
 from yardline.plans.units import RATE_KEY, rated_trailers
@@ -121,7 +121,7 @@ def revenue_latest_month(
     """
     rows = revenue.where(not_placeholder(F.col("Branch"))) if exclude_placeholder else revenue
     chosen = F.col("CardRateMonth").isNotNull()
-    if branch not in (None, "all"):
+    if is_set(branch):
         chosen = chosen & (F.col("Branch") == F.lit(branch))
     gap = F.when(chosen, F.col("MonthlyRateVariance"))
     monthly = rows.groupBy(moments.month_begin(F.col("BillingStopDate")).alias("month")).agg(
@@ -171,7 +171,12 @@ def billed_per_unit(invoice_lines: DataFrame) -> DataFrame:
 
 
 def units_without_card_rate(
-    invoice_lines: DataFrame, trailers: DataFrame, card_rates: DataFrame, *, as_of: dt.datetime, branch: str | None = None
+    invoice_lines: DataFrame,
+    trailers: DataFrame,
+    card_rates: DataFrame,
+    *,
+    as_of: dt.datetime,
+    branch: str | None = None,
 ) -> DataFrame:
     """Billed units outside the placeholder branch that no price covers."""
     units = rated_trailers(trailers, card_rates, as_of=as_of)
@@ -194,19 +199,36 @@ def units_without_card_rate(
     )
 
 
-def units_without_card_rate_summary(*args, limit: int | None = None, **kwargs) -> DataFrame:
+def units_without_card_rate_summary(
+    invoice_lines: DataFrame,
+    trailers: DataFrame,
+    card_rates: DataFrame,
+    *,
+    as_of: dt.datetime,
+    branch: str | None = None,
+    limit: int | None = None,
+) -> DataFrame:
     """Distinct unpriced units and their revenue per bucket (one row per unit below)."""
+    units = units_without_card_rate(invoice_lines, trailers, card_rates, as_of=as_of, branch=branch)
     by_bucket = (
-        units_without_card_rate(*args, **kwargs)
-        .groupBy(*RATE_KEY)
+        units.groupBy(*RATE_KEY)
         .agg(F.count("unit").alias("unit_count"), F.sum("total_billed").alias("total_revenue_at_risk"))
         .orderBy(F.desc("unit_count"), *RATE_KEY)
     )
     return by_bucket if limit is None else by_bucket.limit(limit)
 
 
-def revenue_at_risk_total(*args, **kwargs) -> DataFrame:
-    return units_without_card_rate_summary(*args, **kwargs).agg(
+def revenue_at_risk_total(
+    invoice_lines: DataFrame,
+    trailers: DataFrame,
+    card_rates: DataFrame,
+    *,
+    as_of: dt.datetime,
+    branch: str | None = None,
+) -> DataFrame:
+    """Unpriced units and their revenue in total, zero when there are none."""
+    buckets_at_risk = units_without_card_rate_summary(invoice_lines, trailers, card_rates, as_of=as_of, branch=branch)
+    return buckets_at_risk.agg(
         F.coalesce(F.sum("unit_count"), F.lit(0)).alias("total_units"),
         F.coalesce(F.sum("total_revenue_at_risk"), F.lit(0)).alias("total_revenue_at_risk"),
     )
@@ -267,7 +289,7 @@ def revenue_components(invoice_lines: DataFrame, trailers: DataFrame) -> DataFra
 def rate_realization(trailers: DataFrame, leases: DataFrame, card_rates: DataFrame, *, as_of: dt.datetime) -> DataFrame:
     """Lease rate over card rate of every lease in force."""
     running = leases.where(
-        (F.col("LeaseStatus") == "ACTIVE") & moments.in_force(F.col("DateOn"), F.col("DateOff"), as_of)
+        (F.col("LeaseStatus") == ACTIVE_LEASE) & moments.in_force(F.col("DateOn"), F.col("DateOff"), as_of)
     )
     units = rated_trailers(trailers, card_rates, as_of=as_of, year_range=False)
     rate, card = F.col("Rate"), F.col("CardRateMonth")

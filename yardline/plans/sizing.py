@@ -27,5 +27,7 @@ def broadcast_if_small(frame: DataFrame, *measures: DataFrame) -> DataFrame:
     that went through lookup joins: Catalyst estimates a join as the product
     of its sides, although a lookup adds no rows.
     """
+    if not hasattr(frame, "_jdf"):
+        return frame  # A remote session does not show the estimate: no hint.
     size = sum(estimated_bytes(table) for table in measures or (frame,))
     return F.broadcast(frame) if size <= broadcast_limit(frame) else frame

@@ -7,11 +7,11 @@ cents so that other engines get the same values.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from yardline.sources.inputs import Inputs
 from yardline.sources.tables import read_parquet
 
 AS_OF = dt.datetime(2001, 11, 15, 12, 0, 0)
@@ -142,18 +142,6 @@ def card_rates(spark: SparkSession) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class Inputs:
-    trailers: DataFrame
-    leases: DataFrame
-    invoice_lines: DataFrame
-    asset_statuses: DataFrame
-    card_rates: DataFrame
-
-    def as_dict(self) -> dict[str, DataFrame]:
-        return dict(vars(self))
-
-
 def load(spark: SparkSession, sf_dir: str) -> Inputs:
     return Inputs(
         trailers=trailers(spark, sf_dir),
