@@ -52,6 +52,8 @@ def test_combined_breakdown_reads_units_once(plans):
     assert scans(plans["fleet_combined"], "part") == 1
     assert scans(plans["branch_summary"], "part") == 1
     assert scans(plans["idle_breakdown"], "orders") == 1
+    assert scans(plans["variance_shares"], "lineitem") == 1
+    assert scans(plans["revenue_latest_month"], "lineitem") == 1
 
 
 def test_card_rates_are_broadcast(plans):

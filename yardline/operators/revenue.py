@@ -157,10 +157,13 @@ def variance_distribution(revenue: DataFrame, **selection) -> DataFrame:
 
 
 def variance_shares(revenue: DataFrame, **selection) -> DataFrame:
-    """The distribution with each class's share of all lines."""
-    classes = variance_distribution(revenue, **selection)
-    total = classes.agg(F.sum("invoice_count")).scalar()
-    return classes.withColumn("share", buckets.utilization(F.col("invoice_count"), total)).orderBy("variance_bucket")
+    """The distribution with each class's share of all lines.
+
+    The window runs over the five classes, after the lines are counted.
+    """
+    total = F.sum("invoice_count").over(Window.partitionBy(F.lit(0)))
+    share = buckets.utilization(F.col("invoice_count"), total)
+    return variance_distribution(revenue, **selection).withColumn("share", share).orderBy("variance_bucket")
 
 
 def billed_per_unit(invoice_lines: DataFrame) -> DataFrame:
