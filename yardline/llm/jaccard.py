@@ -18,20 +18,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yardline.llm import textcols as tc
 from yardline.llm.components import components
+from yardline.llm.sketch import bucket, count_sketch
 from yardline.llm.storage import stored
 
 WORDS = 3
 #: Threshold in hundredths: link when 100 * intersection >= PERCENT * union.
 PERCENT = 90
-SKETCH_BITS = 21
-_SKETCH_BLOCK = 1 << 14
 COLUMN_BLOCKS = 4
 
 
@@ -53,34 +51,10 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int = WORDS) -> list
     return out
 
 
-def _sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """How many documents hold a shingle of each of 2**SKETCH_BITS buckets."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches:
-            data, offs = tc.utf8(batch.column(0))
-            for _, _, part, part_offs in tc.slices(data, offs):
-                held = [s for s in shingle_sets(part, part_offs, words) if len(s)]
-                if held:
-                    sums += np.bincount(np.concatenate(held) >> np.uint64(64 - SKETCH_BITS), minlength=len(sums)).astype(np.uint32)
-        blocks = sums.reshape(-1, _SKETCH_BLOCK)
-        full = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([blocks[i].tobytes() for i in full], pa.binary())], ["block", "counts"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in pdf["counts"])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
-
-    sketch = np.zeros((1 << SKETCH_BITS) // _SKETCH_BLOCK * _SKETCH_BLOCK, np.uint32).reshape(-1, _SKETCH_BLOCK)
-    for row in docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect():
-        sketch[row[0]] = np.frombuffer(row[1], np.uint32)
-    return sketch.ravel()
-
-
 def _rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``doc, n, h1, h2, prefix, rare`` per document: set size, a 128-bit name of the set, its rarest columns and the count of the rarest."""
-    sent = docs.sparkSession.sparkContext.broadcast(_sketch(docs, words))
+    held = lambda data, offs: np.concatenate([np.zeros(0, np.uint64), *shingle_sets(data, offs, words)])
+    sent = docs.sparkSession.sparkContext.broadcast(count_sketch(docs.select("text"), held))
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +69,7 @@ def _rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     h1.append(int(tc.mix(own + place).sum().view(np.int64)) if len(own) else 0)
                     h2.append(int(tc.mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)) if len(own) else 0)
                     keep = len(own) + (-percent * len(own) // 100) + 1 if len(own) else 0
-                    counts = sketch[own >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64)
+                    counts = sketch[bucket(own)].astype(np.uint64)
                     order = np.lexsort([own, counts])[:keep]
                     prefixes.append(own[order].view(np.int64))
                     rare.append(int(counts[order[0]]) if keep else 0)
@@ -219,6 +193,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the least id, with all its columns; of repeated rows one stays."""
-    kept = join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each component, that with the least id, with all its columns; of repeated rows one stays.
+
+    Rows without an id take no part and stay.
+    """
+    named = docs.where("doc_id IS NOT NULL")
+    gone = join(named).where("doc_id <> component_id").select("doc_id").distinct()
+    kept = named.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    once = kept.join(again, "doc_id", "left_anti").select(docs.columns)
+    first = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return once.unionByName(first).unionByName(docs.where("doc_id IS NULL"))

@@ -123,20 +123,22 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def minimiser_runs(grams: np.ndarray, firsts: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def minimiser_runs(grams: np.ndarray, firsts: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one least gram.
 
     ``grams`` are hashes of ``k`` symbols from each position on, ``firsts`` the
     first symbol of each text and one more entry. Each window of ``window``
     symbols of one text is in exactly one run, and equal windows have equal
-    keys. Returns the key, the text, and the first and last window start of
-    each run.
+    keys. Returns the key, the text, the first and last window start of each
+    run, and whether its least gram stands there more than once (only then can
+    windows of one run be equal).
     """
-    least = sliding_min(grams, window - k + 1)
+    width = window - k + 1
+    least = sliding_min(grams, width)
     n = len(least)
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return np.zeros(0, np.uint64), none, none, none
+        return np.zeros(0, np.uint64), none, none, none, np.zeros(0, bool)
     change = np.zeros(n + 1, bool)
     change[0] = change[n] = True
     change[1:n] = least[1:] != least[:-1]
@@ -152,4 +154,11 @@ def minimiser_runs(grams: np.ndarray, firsts: np.ndarray, window: int, k: int) -
     end = np.append(start[1:], n) - 1
     keep = whole[start]
     start, end = start[keep], end[keep]
-    return least[start], np.searchsorted(firsts, start, "right") - 1, start, end
+    twice = end - start >= width
+    spread = np.lib.stride_tricks.sliding_window_view(grams, width)
+    for at in range(0, len(start), 4096):
+        a, b, name = start[at : at + 4096], end[at : at + 4096], least[start[at : at + 4096], None]
+        head, tail = spread[a] == name, spread[b] == name
+        one = (head.sum(axis=1) == 1) & (tail.sum(axis=1) == 1) & (a + head.argmax(axis=1) == b + tail.argmax(axis=1))
+        twice[at : at + 4096] |= ~one
+    return least[start], np.searchsorted(firsts, start, "right") - 1, start, end, twice

@@ -282,6 +282,27 @@ def _cover(having: list[set[int]], least: float) -> set[int]:
     return chosen
 
 
+def _scores(x: np.ndarray, model: Model) -> np.ndarray:
+    if model.constant is not None:
+        return np.full(len(x), model.constant)
+    return 1 / (1 + np.exp(-np.clip(model.calibration[0] + x @ model.calibration[1:], -30, 30)))
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with scores below ``threshold``, with all their columns, in one pass."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = tc.utf8(batch.column(at))
+            for first, end, part, part_offs in tc.slices(data, offs):
+                scores = _scores(tag(part, part_offs, sent.value)[-1], sent.value)
+                yield batch.slice(first, end - first).filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFrame:
     """``doc_id, score, spans`` per row; spans are (start, end, probability) in code points of maximal runs of toxic words.
 
@@ -293,11 +314,8 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFrame
     def judge(data, offs, part):
         m = sent.value
         marginal, starts, ends, firsts, x = tag(data, offs, m)
-        if m.constant is not None:
-            scores, marginal = np.full(len(x), m.constant), np.zeros_like(marginal)
-        else:
-            scores = 1 / (1 + np.exp(-np.clip(m.calibration[0] + x @ m.calibration[1:], -30, 30)))
-        hot = np.flatnonzero(marginal >= 0.5)
+        scores = _scores(x, m)
+        hot = np.flatnonzero(marginal >= 0.5) if m.constant is None else []
         spans: list[list[dict]] = [[] for _ in range(len(x))]
         if len(hot):
             points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
