@@ -6,16 +6,16 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_points
 import frames
 from frames import AS_OF
+from yardline import registry
 from yardline.plans import lease_history, store
 from yardline.plans.revenue_details import revenue_details
 from yardline.plans.sizing import broadcast_if_small
 from yardline.sources import testdata
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES = entry_points.queries()
+QUERIES = registry.queries()
 
 
 def plan_of(frame) -> str:
@@ -78,11 +78,26 @@ def test_snapshot_needs_no_window(plans):
     assert "Window" not in plans["idle_summary"] and "explode" not in plans["idle_summary"]
 
 
-def test_months_are_spelled_out_without_a_shuffle(plans):
-    """Nothing is exchanged between the explode and the first aggregate above it."""
-    plan = plans["bucket_statistics"]
-    above_explode = plan[: plan.index("Generate explode")]
-    assert above_explode.count("Exchange") == above_explode.count("HashAggregate") - 2
+def test_months_are_spelled_out_after_they_are_counted(plans):
+    """Only summed changes per month and branch become months."""
+    for name in ("bucket_statistics", "fleet_kpis", "mom_change"):
+        plan = plans[name]
+        months = plan[plan.index("Generate explode") : plan.index("Generate inline")]
+        assert "HashAggregate" in months and "explode" not in plan[plan.index("Generate inline") :], name
+
+
+def test_positions_are_joined_once(plans):
+    for name in ("location_cards", "state_share"):
+        assert scans(plans[name], "orders") == scans(plans[name], "events") == 1, name
+
+
+def test_lines_meet_small_units_before_a_shuffle(plans):
+    for name in ("recent_revenue_by_branch", "branch_comparison"):
+        assert not re.search(r"Exchange hashpartitioning\(UnitNumber", plans[name]), name
+
+
+def test_newest_lease_needs_no_sort(plans):
+    assert "SortAggregate" not in plans["idle_units_last_rate"]
 
 
 def test_units_beyond_the_limit_are_not_broadcast(spark):
@@ -100,7 +115,7 @@ def test_units_beyond_the_limit_are_not_broadcast(spark):
 
 def test_shuffled_joins_give_the_same_rows(spark):
     key = "spark.sql.autoBroadcastJoinThreshold"
-    names = ("revenue_by_branch", "leased_locations", "idle_summary", "units_without_card_rate")
+    names = ("revenue_by_branch", "leased_locations", "idle_summary", "units_without_card_rate", "recent_revenue_by_branch", "branch_comparison")
     broadcast = {name: sorted(map(str, QUERIES[name](spark, SF_DIR).collect())) for name in names}
     before = spark.conf.get(key)
     spark.conf.set(key, "-1")

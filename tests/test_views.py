@@ -177,7 +177,7 @@ def test_revenue_details_keeps_every_line(spark):
 def test_idle_and_rented_units_add_up(spark):
     """On the test tables: a fleet unit is either rented or idle in each month."""
     inputs = testdata.load(spark, "/root/testdata/sf0.001")
-    span = {"as_of": testdata.AS_OF, "from_month": testdata.HISTORY_START}
+    span = {"as_of": testdata.AS_OF}
     idle = lease_history.idle_history(inputs.trailers, inputs.leases, inputs.card_rates, **span)
     idle = idle.groupBy("MonthStr").agg(F.count("*").alias("idle"))
     statistics = lease_history.bucket_statistics(inputs.trailers, inputs.leases, **span)
@@ -187,6 +187,50 @@ def test_idle_and_rented_units_add_up(spark):
     assert by_branch.join(statistics.where("AggLevel = 'GLOBAL'"), "Month").where("n <> NumTrailers").isEmpty()
 
 
+def test_history_starts_at_the_purchase(random_fleet):
+    _, _, trailer_frame, lease_frame, rates = random_fleet
+    bought = trailer_frame.where(F.col("PurchaseDate") <= F.lit(AS_OF.date())).agg(F.date_format(F.min("PurchaseDate"), "yyyy-MM")).first()[0]
+    statistics = lease_history.bucket_statistics(trailer_frame, lease_frame, as_of=AS_OF)
+    assert statistics.agg(F.min("Month")).first()[0] == bought
+    history = lease_history.idle_history(trailer_frame, lease_frame, rates, as_of=AS_OF)
+    later = lease_history.idle_history(trailer_frame, lease_frame, rates, as_of=AS_OF, from_month=FROM_MONTH)
+    assert history.where(F.col("MonthStr") >= FROM_MONTH).exceptAll(later).isEmpty() and later.exceptAll(history).isEmpty()
+
+
+def test_saving_a_month_keeps_the_others(random_fleet, spark, tmp_path):
+    _, _, trailer_frame, lease_frame, rates = random_fleet
+    history = lease_history.idle_history(trailer_frame, lease_frame, rates, as_of=AS_OF, from_month="2001-09")
+    path = str(tmp_path / "idle")
+    store.save_idle_history(history, path)
+    store.save_idle_history(history.where("MonthStr = '2001-11'"), path)
+    months = lambda: sorted(r[0] for r in store.load_idle_history(spark, path).select("MonthStr").distinct().collect())
+    assert months() == ["2001-09", "2001-10", "2001-11"]
+    store.save_idle_history(history.where("MonthStr = '2001-11'"), path, rebuild=True)
+    assert months() == ["2001-11"]
+
+
+def test_wide_money_is_kept(random_fleet, spark, tmp_path):
+    _, _, trailer_frame, lease_frame, rates = random_fleet
+    wide = rates.withColumn("CardRateMonth", F.lit("1234567.89").cast("decimal(20,2)"))
+    history = lease_history.idle_history(trailer_frame, lease_frame, wide, as_of=AS_OF, from_month="2001-11")
+    store.save_idle_history(history, str(tmp_path / "idle"))
+    stored = store.load_idle_history(spark, str(tmp_path / "idle"))
+    assert stored.exceptAll(history).isEmpty() and stored.schema["CardRate"].dataType == history.schema["CardRate"].dataType
+
+
+def test_money_is_never_rounded(spark):
+    from yardline.sources.inputs import conform
+    from yardline.sources.schemas import INVOICE_LINES
+
+    line = frames.invoice_lines(spark, {"InvoiceNo": "I1"})
+    fine = line.withColumn("BilledMonthlyRate", F.lit("1234567.8900").cast("decimal(19,4)")).withColumn("BilledMileageRate", F.lit("0.065").cast("decimal(9,3)"))
+    row = conform(fine, INVOICE_LINES).first()
+    assert str(row.BilledMonthlyRate) == "1234567.89" and str(row.BilledMileageRate) == "0.0650"
+    for kind in ("decimal(9,3)", "double"):
+        with pytest.raises(Exception, match="finer"):
+            conform(line.withColumn("BilledDailyRate", F.lit("40.005").cast(kind)), INVOICE_LINES).collect()
+
+
 def test_inputs_have_the_declared_types(spark):
     from yardline.sources.schemas import IDLE_ASSETS, INPUTS, REVENUE_DETAILS
 

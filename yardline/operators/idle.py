@@ -253,7 +253,7 @@ def idle_units_last_rate(trailers: DataFrame, leases: DataFrame, *, as_of: dt.da
         F.col("Unit").alias("unit"),
         F.col("Fleetcity").alias("branch"),
         F.date_diff(today, since).alias("days_idle"),
-        F.col("newest.Rate").alias("last_lease_rate"),
+        F.col("newest_rate").alias("last_lease_rate"),
         "type_bucket",
         "usage_category",
     )

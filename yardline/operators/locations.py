@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yardline.functions import buckets, formats, moments
-from yardline.operators.selection import ACTIVE_LEASE, LEASED, one_row, where_equal
+from yardline.operators.selection import ACTIVE_LEASE, LEASED, where_equal
 from yardline.plans.sizing import broadcast_if_small
 
 MAP_LIMIT = 1000
@@ -34,9 +34,34 @@ def leased_positions(
     active = leases.where(F.col("LeaseStatus") == ACTIVE_LEASE)
     if in_force_at is not None:
         active = active.where(moments.in_force(F.col("DateOn"), F.col("DateOff"), in_force_at))
+    return _with_positions(active.select("Unit", "CustomerID"), trailers, asset_statuses)
+
+
+def _with_positions(active: DataFrame, trailers: DataFrame, asset_statuses: DataFrame) -> DataFrame:
     gps = asset_statuses.withColumnRenamed("AssetName", "Unit")
     units = trailers.where(F.col("Status") == LEASED).join(gps, "Unit", "left")
-    return active.select("Unit", "CustomerID").join(broadcast_if_small(units, trailers, asset_statuses), "Unit")
+    return active.join(broadcast_if_small(units, trailers, asset_statuses), "Unit")
+
+
+def _counts_by_state(trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Per state, and for no state, all rows, rows located under a lease in force, and stale rows, in one pass."""
+    in_force = moments.in_force(F.col("DateOn"), F.col("DateOff"), as_of)
+    active = leases.where(F.col("LeaseStatus") == ACTIVE_LEASE).select("Unit", in_force.alias("in_force"))
+    located = F.col("in_force") & F.col("Latitude").isNotNull() & F.col("Longitude").isNotNull()
+    return (
+        _with_positions(active, trailers, asset_statuses)
+        .groupBy(F.col("State").alias("state"))
+        .agg(
+            F.count(F.lit(1)).alias("unit_count"),
+            F.count_if(located).alias("located"),
+            F.count_if(_is_stale(as_of)).alias("stale"),
+        )
+    )
+
+
+def _is_stale(as_of: dt.datetime) -> Column:
+    seen = F.col("LastUpdate")
+    return seen.isNull() | (seen < moments.moment(as_of - STALE_AFTER))
 
 
 def _located(trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -99,10 +124,16 @@ def state_share(
     limit: int | None = TOP_STATES,
 ) -> DataFrame:
     """Units per state against the located rows, in percent up to 100."""
-    states = locations_by_state(trailers, leases, asset_statuses, limit=limit)
-    located = _located(trailers, leases, asset_statuses, as_of).agg(F.count(F.lit(1))).scalar()
+    counts = _counts_by_state(trailers, leases, asset_statuses, as_of)
+    located = F.sum("located").over(Window.partitionBy(F.lit(0)))
     percent = buckets.utilization(F.col("unit_count"), located) * 100
-    return states.withColumn("share_percent", F.least(percent, F.lit(100.0)))
+    states = (
+        counts.withColumn("share_percent", F.least(percent, F.lit(100.0)))
+        .where(F.col("state").isNotNull())
+        .select("state", "unit_count", "share_percent")
+        .orderBy(F.desc("unit_count"), "state")
+    )
+    return states if limit is None else states.limit(limit)
 
 
 def stale_gps(
@@ -119,7 +150,7 @@ def stale_gps(
     """
     seen = F.col("LastUpdate")
     rows = leased_positions(trailers, leases, asset_statuses)
-    stale = rows.where(seen.isNull() | (seen < moments.moment(as_of - STALE_AFTER))).select(
+    stale = rows.where(_is_stale(as_of)).select(
         F.col("Unit").alias("unit"),
         F.col("Fleetcity").alias("branch"),
         F.col("CustomerID").alias("customer_id"),
@@ -162,14 +193,24 @@ def location_cards(
     trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, *, as_of: dt.datetime
 ) -> DataFrame:
     """Located rows, states covered, stale rows and the state with most units."""
-    states = locations_by_state(trailers, leases, asset_statuses)
-    top = F.min(F.struct((-F.col("unit_count")).alias("negated"), "state"))
-    return one_row(
-        _located(trailers, leases, asset_statuses, as_of).agg(F.count(F.lit(1)).alias("trailers_with_gps")),
-        states.agg(F.count(F.lit(1)).alias("states_covered"), top.alias("top")).select(
-            "states_covered", F.col("top.state").alias("top_state"), (-F.col("top.negated")).alias("top_state_units")
-        ),
-        stale_gps(trailers, leases, asset_statuses, as_of=as_of).agg(F.count(F.lit(1)).alias("stale_count")),
+    named = F.col("state").isNotNull()
+    top = F.min(F.when(named, F.struct((-F.col("unit_count")).alias("negated"), "state")))
+    total = lambda column: F.coalesce(F.sum(column), F.lit(0))
+    return (
+        _counts_by_state(trailers, leases, asset_statuses, as_of)
+        .agg(
+            total("located").alias("trailers_with_gps"),
+            F.count("state").alias("states_covered"),
+            top.alias("top"),
+            total("stale").alias("stale_count"),
+        )
+        .select(
+            "trailers_with_gps",
+            "states_covered",
+            F.col("top.state").alias("top_state"),
+            (-F.col("top.negated")).alias("top_state_units"),
+            "stale_count",
+        )
     )
 
 

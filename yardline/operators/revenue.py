@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from yardline.functions import buckets, formats, moments, status
 from yardline.operators.selection import ACTIVE_LEASE, count_where, is_set, not_placeholder, where_equal
 from yardline.operators.utilization import utilization_by_branch
-from yardline.plans.sizing import broadcast_if_small
+from yardline.plans.sizing import broadcast_if_small, fits_broadcast
 from yardline.plans.units import RATE_KEY, rated_trailers
 
 TOP_MISSING_BUCKETS = 10
@@ -186,8 +186,13 @@ def units_without_card_rate(
     unpriced = where_equal(units, Fleetcity=branch).where(
         F.col("CardRateMonth").isNull() & not_placeholder(F.col("Fleetcity"))
     )
+    lines = invoice_lines
+    if fits_broadcast(unpriced, trailers):
+        # Few lines belong to these units: drop the others before the shuffle.
+        wanted = F.broadcast(unpriced.select(F.col("Unit").alias("UnitNumber")))
+        lines = lines.join(wanted, "UnitNumber", "left_semi")
     return (
-        billed_per_unit(invoice_lines)
+        billed_per_unit(lines)
         .join(unpriced, "Unit")
         .select(
             F.col("Unit").alias("unit"),
@@ -242,14 +247,17 @@ def recent_revenue_by_branch(
 ) -> DataFrame:
     """Billed total and lines per branch since ``months`` months before ``as_of``."""
     since = moments.on_or_after(F.col("BillingStopDate"), moments.shift_months(as_of, -months))
-    recent = billed_per_unit(invoice_lines.where(since))
+    recent = invoice_lines.where(since)
     branches = trailers.select("Unit", F.col("Fleetcity").alias("branch"))
-    return (
-        recent.join(branches, "Unit", "left")
-        .groupBy("branch")
-        .agg(F.sum("billed").alias("total_revenue"), F.sum("lines").alias("invoice_count"))
-        .orderBy(F.desc("total_revenue"), "branch")
-    )
+    if fits_broadcast(branches):
+        # Lines meet their branch before any shuffle and combine to a row per branch and task.
+        units = F.broadcast(branches.withColumnRenamed("Unit", "UnitNumber"))
+        billed = recent.join(units, "UnitNumber", "left").groupBy("branch")
+        totals = billed.agg(F.sum("BilledMonthlyRate").alias("total_revenue"), F.count(F.lit(1)).alias("invoice_count"))
+    else:
+        billed = billed_per_unit(recent).join(branches, "Unit", "left").groupBy("branch")
+        totals = billed.agg(F.sum("billed").alias("total_revenue"), F.sum("lines").alias("invoice_count"))
+    return totals.orderBy(F.desc("total_revenue"), "branch")
 
 
 def revenue_growth(revenue: DataFrame, **selection) -> DataFrame:
@@ -328,13 +336,16 @@ def branch_comparison(
     stop = F.col("BillingStopDate")
     this_year = invoice_lines.where((stop >= F.lit(as_of.date().replace(month=1, day=1))) & (stop <= today))
     in_month = stop >= F.lit(as_of.date().replace(day=1))
-    per_unit = this_year.groupBy(F.col("UnitNumber").alias("Unit")).agg(
-        F.sum(F.when(in_month, F.col("BilledMonthlyRate"))).alias("mtd"), F.sum("BilledMonthlyRate").alias("ytd")
-    )
+    money = (F.sum(F.when(in_month, F.col("BilledMonthlyRate"))).alias("mtd"), F.sum("BilledMonthlyRate").alias("ytd"))
     branches = trailers.where(F.col("Fleetcity").isNotNull()).select("Unit", F.col("Fleetcity").alias("branch"))
-    revenue = per_unit.join(branches, "Unit").groupBy("branch").agg(F.sum("mtd").alias("mtd"), F.sum("ytd").alias("ytd"))
+    lines = this_year.withColumnRenamed("UnitNumber", "Unit")
+    if fits_broadcast(branches, trailers):
+        revenue = lines.join(F.broadcast(branches), "Unit").groupBy("branch").agg(*money)
+    else:
+        per_unit = lines.groupBy("Unit").agg(*money)
+        revenue = per_unit.join(branches, "Unit").groupBy("branch").agg(F.sum("mtd").alias("mtd"), F.sum("ytd").alias("ytd"))
     idle = idle_units.groupBy(F.col("Branch").alias("branch")).agg(F.count(F.lit(1)).alias("idle"))
-    no_money = F.lit(0).cast("decimal(28,2)")
+    no_money = F.lit(0).cast("decimal(38,2)")
     return (
         utilization_by_branch(trailers)
         .join(revenue, "branch", "left")

@@ -94,7 +94,8 @@ SELECT 'U' || lpad(cast(p_partkey AS string), 7, '0') AS Unit,
   CASE WHEN p_partkey % 10 = 9 THEN DATE '2000-01-01' + cast(p_partkey % 365 AS int) END AS SoldDate
 FROM part""",
     "leases": f"""
-SELECT o_orderkey AS LeaseID, 'U' || lpad(cast(o_orderkey % n AS string), 7, '0') AS Unit, o_custkey AS CustomerID,
+SELECT o_orderkey AS LeaseID,
+  'U' || lpad(cast(o_orderkey % n - CASE WHEN (o_orderkey % n) % 20 = 6 THEN 1 ELSE 0 END AS string), 7, '0') AS Unit, o_custkey AS CustomerID,
   CASE WHEN o_orderstatus = 'F' THEN 'CLOSED' ELSE 'ACTIVE' END AS LeaseStatus,
   cast(o_orderdate AS date) AS DateOn,
   CASE WHEN o_orderstatus = 'P' AND o_custkey % 10 = 0 THEN NULL
@@ -102,28 +103,27 @@ SELECT o_orderkey AS LeaseID, 'U' || lpad(cast(o_orderkey % n AS string), 7, '0'
        WHEN o_orderstatus = 'O' THEN cast(o_orderdate AS date) + cast(30 + o_custkey % 300 AS int)
        ELSE cast(o_orderdate AS date) + 180 END AS DateOff,
   {_cents('o_totalprice', 30000, 150000)} AS Rate
-FROM orders CROSS JOIN (SELECT count(*) AS n FROM part) c
-WHERE (o_orderkey % n) % 20 <> 6""",
+FROM orders CROSS JOIN (SELECT count(*) AS n FROM part) c""",
     "invoice_lines": f"""
 SELECT 'INV' || cast(l_orderkey AS string) AS InvoiceNo, l_orderkey AS LeaseNumber,
   'U' || lpad(cast(l_partkey AS string), 7, '0') AS UnitNumber,
   cast(l_shipdate AS date) - 29 AS BillingStartDate, cast(l_shipdate AS date) AS BillingStopDate,
   {_cents('l_extendedprice', 30000, 150000)} AS BilledMonthlyRate,
   {_cents('l_extendedprice', 1000, 5000)} AS BilledDailyRate,
-  cast(l_tax AS decimal(9,2)) AS BilledMileageRate,
+  cast(l_tax AS decimal(18,4)) AS BilledMileageRate,
   CASE l_returnflag WHEN 'A' THEN 'LEASE' WHEN 'N' THEN 'MILEAGE' ELSE 'REPAIR' END AS LineKind
 FROM lineitem""",
     "asset_statuses": """
 SELECT AssetName, LastUpdate, Speed, Heading, Latitude, Longitude, Address, City, State FROM (
-  SELECT 'U' || lpad(cast(event_id % 500 AS string), 7, '0') AS AssetName, ts - INTERVAL 8112 DAY AS LastUpdate,
+  SELECT 'U' || lpad(cast(event_id % n AS string), 7, '0') AS AssetName, ts - INTERVAL 8112 DAY AS LastUpdate,
     value % 70 AS Speed, cast(user_id % 360 AS int) AS Heading,
     CASE WHEN event_type = 'error' THEN NULL ELSE 25 + value % 24 END AS Latitude,
     CASE WHEN event_type = 'error' THEN NULL ELSE -124 + value % 57 END AS Longitude,
     cast(user_id AS string) || ' Main St, Unit ' || event_type AS Address,
     'City ' || cast(user_id % 40 AS string) AS City,
     CASE WHEN event_type = 'signup' THEN NULL ELSE 'S' || lpad(cast(user_id % 20 AS string), 2, '0') END AS State,
-    row_number() OVER (PARTITION BY event_id % 500 ORDER BY ts DESC, event_id DESC) AS rn
-  FROM events) p WHERE rn = 1""",
+    row_number() OVER (PARTITION BY event_id % n ORDER BY ts DESC, event_id DESC) AS rn
+  FROM events CROSS JOIN (SELECT count(*) AS n FROM part) c) p WHERE rn = 1""",
     "card_rates": """
 SELECT t.type_bucket, u.usage_category, l.length_bucket,
   CASE WHEN t.type_bucket = 'SPECIALTY' AND u.usage_category = 'STORAGE' THEN cast(0 AS decimal(18,2))
@@ -155,7 +155,7 @@ FROM invoice_lines i LEFT JOIN rated r ON i.UnitNumber = r.Unit""",
     "priced": "SELECT * FROM revenue WHERE CardRateMonth IS NOT NULL AND Branch <> 'TBD'",
     "days": f"""
 SELECT least(last_day(CAST(m AS DATE)), {TODAY}) AS d
-FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-11-01', INTERVAL 1 MONTH) g(m)""",
+FROM generate_series(TIMESTAMP '1994-01-01', TIMESTAMP '2001-11-01', INTERVAL 1 MONTH) g(m)""",
     "grid": """
 SELECT t.Unit, t.PurchaseDate, t.Fleetcity, days.d FROM trailers t CROSS JOIN days
 WHERE t.PurchaseDate <= days.d AND (t.SoldDate IS NULL OR t.SoldDate > days.d)""",
@@ -545,11 +545,13 @@ LEFT JOIN (SELECT Branch, sum(CASE WHEN BillingStopDate >= DATE '2001-11-01' THE
   GROUP BY Branch) r ON b.branch = r.Branch
 LEFT JOIN (SELECT Branch, count(*) AS n FROM latest GROUP BY Branch) i ON b.branch = i.Branch""",
         "idle_summary": _idle_summary("idle"),
+        "idle_summary_latest_month": _idle_summary("idle"),
         "idle_summary_of_branch": _idle_summary("idle", f"Branch = '{BRANCH}'"),
         "idle_summary_all_branches": _idle_summary("latest"),
         "idle_status": f"SELECT avg_months_idle, {_IDLE_STATUS.format('avg_months_idle')} AS status "
         f"FROM ({_idle_summary('idle')}) s",
         "idle_by_duration": _idle_by("IdleDurationBucket", "idle_bucket"),
+        "idle_by_duration_latest_month": _idle_by("IdleDurationBucket", "idle_bucket"),
         "idle_by_duration_coarse": f"SELECT {_COARSE} AS idle_bucket, {_IDLE_MEASURES} FROM idle GROUP BY 1",
         "idle_by_branch": _idle_by("Branch", "branch", _BY_BRANCH_MORE),
         "idle_by_branch_all_branches": _idle_by("Branch", "branch", _BY_BRANCH_MORE, "latest"),
@@ -694,6 +696,7 @@ CROSS JOIN (SELECT count(*) AS n FROM ({_STALE}) x) s""",
         "report_revenue_filtered": report_revenue
         + f"Branch = '{BRANCH}' AND TypeBucket = 'REEFER' AND BillingStopDate >= DATE '2001-05-15'",
         "report_idle": report_idle + "TRUE",
+        "report_idle_latest_month": report_idle + "TRUE",
         "report_idle_filtered": report_idle
         + f"Branch = '{BRANCH}' AND TypeBucket = 'DRY_VAN' AND IdleDurationBucket = '6-12 Months'",
         "report_critical_idle": f"SELECT {idle_columns}, LastActiveMonth, CumulativeLeases AS TotalLeases, MonthsIdle, "

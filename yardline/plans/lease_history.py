@@ -12,8 +12,8 @@ How it runs.  Leases shrink to one row per unit and starting month (partial
 sums before the shuffle), so a unit that holds a third of all leases ends up
 with at most one row per month.  Running sums over those rows give, for each
 starting month, the state that holds until the next one.  Only then are the
-months spelled out, by an ``explode`` that needs no shuffle; the aggregates
-above it combine in the same stage.
+months spelled out, by an ``explode`` that needs no shuffle.  Counts per month
+need no unit-months at all: they sum where a state begins and ends.
 """
 
 from __future__ import annotations
@@ -57,24 +57,39 @@ def lease_states(leases: DataFrame, *, as_of: dt.datetime) -> DataFrame:
     )
 
 
-def _fleet_span(as_of: dt.datetime, from_month: str) -> tuple[Column, Column]:
-    """First and last month index in which a unit belongs to the fleet."""
+def _fleet_span(as_of: dt.datetime, from_month: str | None) -> tuple[Column, Column]:
+    """First (not before ``from_month``) and last month index in which a unit belongs to the fleet."""
     today, current = F.lit(as_of.date()), moments.index_of_key(moments.month_key(as_of))
     bought, sold = F.col("PurchaseDate"), F.col("SoldDate")
-    first = F.greatest(moments.month_index(bought), F.lit(moments.index_of_key(from_month)))
+    first = moments.month_index(bought)
+    if from_month is not None:
+        first = F.greatest(first, F.lit(moments.index_of_key(from_month)))
     last = F.when(sold <= today, moments.month_index(sold) - 1).otherwise(current)
     return first, last
 
 
+def _states(
+    units: DataFrame, leases: DataFrame, as_of: dt.datetime, from_month: str | None, keep: Sequence[str]
+) -> DataFrame:
+    """Fleet units with the months they belong to, and their lease states."""
+    first, last = _fleet_span(as_of, from_month)
+    spans = (
+        units.where(F.col("PurchaseDate") <= F.lit(as_of.date()))
+        .select("Unit", *keep, first.alias("first_month"), last.alias("last_month"))
+        .where("first_month <= last_month")
+    )
+    return spans.join(lease_states(leases, as_of=as_of).hint("merge"), "Unit", "left")
+
+
 def unit_months(
     units: DataFrame,
     leases: DataFrame,
     *,
     as_of: dt.datetime,
-    from_month: str,
+    from_month: str | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per fleet unit and month from ``from_month`` to ``as_of``.
+    """One row per fleet unit and month from its purchase, or ``from_month``, to ``as_of``.
 
     ``keep`` names unit columns to carry along.  ``latest_end`` is null and
     ``cumulative_leases`` 0 in the months before the first lease.
@@ -83,13 +98,7 @@ def unit_months(
     by unit, and the many months of a unit need the partitions of a shuffle,
     which a broadcast to a few unit files would not give.
     """
-    first, last = _fleet_span(as_of, from_month)
-    spans = (
-        units.where(F.col("PurchaseDate") <= F.lit(as_of.date()))
-        .select("Unit", "PurchaseDate", *keep, first.alias("first_month"), last.alias("last_month"))
-        .where("first_month <= last_month")
-    )
-    states = spans.join(lease_states(leases, as_of=as_of).hint("merge"), "Unit", "left")
+    states = _states(units, leases, as_of, from_month, ["PurchaseDate", *keep])
     is_first = F.coalesce("is_first", F.lit(True))
     low = F.when(is_first, F.col("first_month")).otherwise(F.greatest("start_month", "first_month"))
     high = F.least(F.col("next_month") - 1, "last_month")
@@ -142,12 +151,17 @@ def idle_history(
     card_rates: DataFrame,
     *,
     as_of: dt.datetime,
-    from_month: str,
+    from_month: str | None = None,
     edges: Sequence[int] = buckets.IDLE_EDGES,
 ) -> DataFrame:
-    """Idle units of every month; the price list joins before months are spelled out."""
+    """Idle units of every month since their purchase, or since ``from_month``.
+
+    The price list joins before months are spelled out.
+    """
     units = rated_trailers(trailers, card_rates, as_of=as_of)
     rows = unit_months(units, leases, as_of=as_of, from_month=from_month, keep=_IDLE_KEEP)
+    if from_month is None:
+        return _idle_rows(rows, moments.month_of(moments.month_start(F.col("month"))), edges)
     first, last = moments.index_of_key(from_month), moments.index_of_key(moments.month_key(as_of))
     return _idle_rows(rows, moments.month_texts(F.col("month"), first, last), edges)
 
@@ -158,6 +172,12 @@ def fleet_units(trailers: DataFrame, *, as_of: dt.datetime) -> DataFrame:
     return trailers.where((F.col("PurchaseDate") <= today) & (F.col("SoldDate").isNull() | (F.col("SoldDate") > today)))
 
 
+def _lease_order() -> Column:
+    """Start date, then number, as one decimal: unlike a struct it needs no sort to aggregate."""
+    day = F.unix_date("DateOn").cast("decimal(10,0)")
+    return day * F.lit(10**20).cast("decimal(21,0)") + F.col("LeaseID").cast("decimal(20,0)")
+
+
 def lease_totals(leases: DataFrame, *, as_of: dt.datetime) -> DataFrame:
     """Per unit: started leases, their latest end and the newest lease."""
     return (
@@ -166,7 +186,7 @@ def lease_totals(leases: DataFrame, *, as_of: dt.datetime) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("leases"),
             F.max(_end()).alias("latest_end"),
-            F.max(F.struct("DateOn", "LeaseID", "Rate")).alias("newest"),
+            F.max_by("Rate", _lease_order()).alias("newest_rate"),
         )
     )
 
@@ -205,17 +225,43 @@ def latest_month(history: DataFrame) -> DataFrame:
 
 
 def bucket_statistics(
-    trailers: DataFrame, leases: DataFrame, *, as_of: dt.datetime, from_month: str
+    trailers: DataFrame, leases: DataFrame, *, as_of: dt.datetime, from_month: str | None = None
 ) -> DataFrame:
     """Fleet and rented units per month, for all branches and for each branch.
 
-    Unit-months collapse to month x branch first; the grouping sets then run
-    over that small result instead of doubling the unit-month rows.
+    Units come and go, and are rented and free again, in few months: those
+    changes are summed per month and branch, and running sums over that small
+    result give the counts of every month.
     """
-    by_branch = (
-        unit_months(trailers, leases, as_of=as_of, from_month=from_month, keep=["Fleetcity"])
+    current = moments.index_of_key(moments.month_key(as_of))
+    end = F.col("latest_end")
+    rented_to = F.when(end > F.lit(as_of.date()), current).otherwise(moments.month_index(end) - 1)
+    low = F.greatest("start_month", "first_month")
+    high = F.least(F.col("next_month") - 1, "last_month", rented_to)
+
+    def change(month: Column, units: int, rented: int) -> Column:
+        return F.struct(month.alias("month"), F.lit(units).alias("units"), F.lit(rented).alias("rented"))
+
+    of_unit = F.array(change(F.col("first_month"), 1, 0), change(F.col("last_month") + 1, -1, 0))
+    of_lease = F.array(change(low, 0, 1), change(high + 1, 0, -1))
+    none = F.array().cast("array<struct<month:int,units:int,rented:int>>")
+    changes = F.concat(
+        F.when(F.coalesce("is_first", F.lit(True)), of_unit).otherwise(none),
+        F.when(F.col("start_month").isNotNull() & (low <= high), of_lease).otherwise(none),
+    )
+    summed = (
+        _states(trailers, leases, as_of, from_month, ["Fleetcity"])
+        .select("Fleetcity", F.inline(changes))
         .groupBy("month", "Fleetcity")
-        .agg(F.count(F.lit(1)).alias("units"), F.sum(_is_rented().cast("bigint")).alias("rented"))
+        .agg(F.sum("units").alias("units"), F.sum("rented").alias("rented"))
+    )
+    in_order = Window.partitionBy("Fleetcity").orderBy("month")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    until = F.coalesce(F.lead("month").over(in_order) - 1, F.lit(current))
+    by_branch = (
+        summed.select("Fleetcity", "month", F.sum("units").over(so_far).alias("units"), F.sum("rented").over(so_far).alias("rented"), until.alias("until"))
+        .where("units > 0 AND month <= until")
+        .withColumn("month", F.explode(F.sequence("month", "until")))
     )
     level = F.grouping("Fleetcity")
     return (

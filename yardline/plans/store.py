@@ -1,38 +1,51 @@
 """Month-partitioned copies of the derived views.
 
 Queries that look at one month or at the last twelve then read only those
-months' folders.
+months' folders. Saving replaces the months that the view holds and leaves the
+others; a rebuild replaces all.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.errors import AnalysisException
+from pyspark.sql.types import DecimalType, StructField, StructType
 
 from yardline.sources.schemas import BUCKET_STATISTICS, IDLE_ASSETS
 
 IDLE_MONTH, STATISTICS_MONTH = "MonthStr", "Month"
 
 
-def _save(view: DataFrame, path: str, month: str) -> None:
+def _save(view: DataFrame, path: str, month: str, rebuild: bool) -> None:
     """Write by month.  The rebalance splits large months over several tasks."""
-    view.hint("rebalance", month).write.mode("overwrite").partitionBy(month).parquet(path)
+    mode = "static" if rebuild else "dynamic"
+    writer = view.hint("rebalance", month).write.mode("overwrite").option("partitionOverwriteMode", mode)
+    writer.partitionBy(month).parquet(path)
 
 
 def _load(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
+    """The view, with decimals as wide as they were saved."""
+    try:
+        found = {f.name: f.dataType for f in spark.read.parquet(path).schema}
+    except AnalysisException:
+        found = {}  # A view without rows has no files.
+    kinds = [
+        StructField(f.name, found[f.name] if isinstance(found.get(f.name), DecimalType) else f.dataType, f.nullable)
+        for f in schema
+    ]
+    return spark.read.schema(StructType(kinds)).parquet(path).select(*schema.names)
 
 
-def save_idle_history(history: DataFrame, path: str) -> None:
-    _save(history, path, IDLE_MONTH)
+def save_idle_history(history: DataFrame, path: str, *, rebuild: bool = False) -> None:
+    _save(history, path, IDLE_MONTH, rebuild)
 
 
 def load_idle_history(spark: SparkSession, path: str) -> DataFrame:
     return _load(spark, path, IDLE_ASSETS)
 
 
-def save_bucket_statistics(statistics: DataFrame, path: str) -> None:
-    _save(statistics, path, STATISTICS_MONTH)
+def save_bucket_statistics(statistics: DataFrame, path: str, *, rebuild: bool = False) -> None:
+    _save(statistics, path, STATISTICS_MONTH, rebuild)
 
 
 def load_bucket_statistics(spark: SparkSession, path: str) -> DataFrame:

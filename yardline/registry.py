@@ -19,7 +19,7 @@ from yardline.plans.revenue_details import revenue_details
 from yardline.plans.units import enriched_trailers
 from yardline.sources import testdata
 from yardline.sources.csv_sink import date_cells
-from yardline.sources.testdata import AS_OF, HISTORY_START
+from yardline.sources.testdata import AS_OF
 
 BRANCH = "Branch 3"
 COARSE_IDLE_EDGES = (12, 24)
@@ -68,11 +68,13 @@ class Fleet:
 
     @cached_property
     def history(self) -> DataFrame:
-        return lease_history.idle_history(
-            self.trailers, self.leases, self.rates, from_month=HISTORY_START, **NOW
-        )
+        return lease_history.idle_history(self.trailers, self.leases, self.rates, **NOW)
 
-    def statistics(self, from_month: str = HISTORY_START) -> DataFrame:
+    @cached_property
+    def latest(self) -> DataFrame:
+        return lease_history.latest_month(self.history)
+
+    def statistics(self, from_month: str | None = None) -> DataFrame:
         return lease_history.bucket_statistics(self.trailers, self.leases, from_month=from_month, **NOW)
 
     @cached_property
@@ -161,6 +163,9 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "idle_by_type": lambda f: idle.idle_by_type(f.idle),
     "idle_by_usage": lambda f: idle.idle_by_usage(f.idle),
     "idle_trend": lambda f: idle.idle_trend(f.history),
+    "idle_summary_latest_month": lambda f: idle.idle_summary(f.latest),
+    "idle_by_duration_latest_month": lambda f: idle.idle_by_duration(f.latest),
+    "report_idle_latest_month": lambda f: reports.report_idle(f.latest),
     "idle_matrix": lambda f: idle.idle_matrix(f.idle),
     "idle_breakdown": lambda f: idle.idle_breakdown(f.idle),
     "idle_breakdown_top": lambda f: idle.idle_breakdown(f.idle, limit=idle.TOP_TYPES),

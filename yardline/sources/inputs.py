@@ -6,9 +6,9 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, StructType
 
 from yardline.sources.schemas import INPUTS
 from yardline.sources.tables import Databases, read_parquet
@@ -49,11 +49,22 @@ class TableName:
     partitioning: Mapping[str, Any] = field(default_factory=dict)
 
 
+def _converted(name: str, found: DataType, declared: DataType) -> Column:
+    """Cast that fails, rather than rounds, where money is finer than declared."""
+    column = F.col(name)
+    cast = column.cast(declared)
+    finer = isinstance(found, (DoubleType, FloatType)) or isinstance(found, DecimalType) and found.scale > getattr(declared, "scale", 0)
+    if not isinstance(declared, DecimalType) or not finer:
+        return cast
+    message = F.concat(F.lit(f"{name} is finer than {declared.simpleString()}: "), column.cast("string"))
+    return F.when(cast.cast(found) != column, F.raise_error(message).cast(declared)).otherwise(cast)
+
+
 def conform(frame: DataFrame, schema: StructType) -> DataFrame:
     """The declared columns in their declared types, key texts without trailing spaces."""
     columns = []
     for declared in schema:
-        column = F.col(declared.name).cast(declared.dataType)
+        column = _converted(declared.name, frame.schema[declared.name].dataType, declared.dataType)
         if declared.name in KEY_TEXTS:
             column = F.rtrim(column)
         columns.append(column.alias(declared.name))

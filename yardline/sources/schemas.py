@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 _MONEY = T.DecimalType(18, 2)
-# Rates fit eight digits, and up to there Spark sums decimals as plain longs.
-# The operators take wider decimals as well.
-_RATE = T.DecimalType(8, 2)
+_RATE = _MONEY
+# Cents per mile have parts of a cent.
+_MILEAGE = T.DecimalType(18, 4)
 
 
 def _schema(*fields: tuple) -> T.StructType:
@@ -46,7 +46,7 @@ INVOICE_LINES = _schema(
     ("BillingStopDate", T.DateType(), False),
     ("BilledMonthlyRate", _RATE, False),
     ("BilledDailyRate", _RATE, True),
-    ("BilledMileageRate", T.DecimalType(9, 2), True),
+    ("BilledMileageRate", _MILEAGE, True),
     ("LineKind", T.StringType(), True),
 )
 
@@ -80,9 +80,9 @@ REVENUE_DETAILS = _schema(
     ("BillingStopDate", T.DateType(), False),
     ("BilledMonthlyRate", _RATE, False),
     ("BilledDailyRate", _RATE, True),
-    ("BilledMileageRate", T.DecimalType(9, 2), True),
+    ("BilledMileageRate", _MILEAGE, True),
     ("CardRateMonth", _RATE, True),
-    ("MonthlyRateVariance", T.DecimalType(9, 2), True),
+    ("MonthlyRateVariance", T.DecimalType(19, 2), True),
     ("InvoiceNo", T.StringType(), False),
     ("LeaseNumber", T.LongType(), True),
 )

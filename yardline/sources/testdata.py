@@ -15,7 +15,6 @@ from yardline.sources.inputs import Inputs
 from yardline.sources.tables import read_parquet
 
 AS_OF = dt.datetime(2001, 11, 15, 12, 0, 0)
-HISTORY_START = "1995-01"
 
 # Fixed values of the synthetic price list: (code, amount).
 _TYPE_BASE = (("DRY_VAN", 900), ("DRY_VAN_LIFTGATE", 1000), ("REEFER", 1300), ("REEFER_LIFTGATE", 1400), ("SPECIALTY", 700))
@@ -38,7 +37,7 @@ def _unit(key: str) -> str:
 def _money(amount: str, floor: int, span: int) -> str:
     """A price between ``floor`` and ``floor + span`` cents, as decimal."""
     cents = f"{floor} + cast(rint({amount} * 100) AS bigint) % {span}"
-    return f"cast(cast({cents} AS decimal(18,0)) * 0.01 AS decimal(8,2))"
+    return f"cast(cast({cents} AS decimal(18,0)) * 0.01 AS decimal(18,2))"
 
 
 def trailers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,12 +65,13 @@ def trailers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One lease per order. Units numbered 6 modulo 20 are never leased: theirs go to the unit before."""
     orders = read_parquet(spark, f"{sf_dir}/orders.parquet", _ORDERS)
     part = read_parquet(spark, f"{sf_dir}/part.parquet", _PART)
     units = part.agg(F.count(F.lit(1))).scalar()
     return (
         orders.withColumn("unit_no", F.col("o_orderkey") % units)
-        .where("unit_no % 20 <> 6")
+        .withColumn("unit_no", F.col("unit_no") - F.when(F.col("unit_no") % 20 == 6, 1).otherwise(0))
         .selectExpr(
             "o_orderkey AS LeaseID",
             f"{_unit('unit_no')} AS Unit",
@@ -97,21 +97,22 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(l_shipdate AS date) AS BillingStopDate",
         f"{_money('l_extendedprice', 30000, 150000)} AS BilledMonthlyRate",
         f"{_money('l_extendedprice', 1000, 5000)} AS BilledDailyRate",
-        "cast(l_tax AS decimal(9,2)) AS BilledMileageRate",
+        "cast(l_tax AS decimal(18,4)) AS BilledMileageRate",
         "CASE l_returnflag WHEN 'A' THEN 'LEASE' WHEN 'N' THEN 'MILEAGE' ELSE 'REPAIR' END AS LineKind",
     )
 
 
 def asset_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest event per asset.
+    """The newest event per asset; as many assets as units.
 
     ``max_by`` combines on the map side, so an asset that sends a third of all
     events still reaches its reducer as one row per map task.
     """
     events = read_parquet(spark, f"{sf_dir}/events.parquet", _EVENTS)
+    units = read_parquet(spark, f"{sf_dir}/part.parquet", _PART).agg(F.count(F.lit(1))).scalar()
     newest = F.max_by(F.struct("ts", "user_id", "event_type", "value"), F.struct("ts", "event_id"))
     return (
-        events.groupBy((F.col("event_id") % 500).alias("asset_no"))
+        events.groupBy((F.col("event_id") % units).alias("asset_no"))
         .agg(newest.alias("e"))
         .select("asset_no", "e.*")
         .selectExpr(
@@ -137,7 +138,7 @@ def card_rates(spark: SparkSession) -> DataFrame:
                 unpriced = kind == "SPECIALTY" and usage == "STORAGE"
                 rows.append(f"('{kind}', '{usage}', '{length}', {0 if unpriced else base + by_age + by_length})")
     return spark.sql(
-        "SELECT type_bucket, usage_category, length_bucket, cast(rate AS decimal(8,2)) AS CardRateMonth "
+        "SELECT type_bucket, usage_category, length_bucket, cast(rate AS decimal(18,2)) AS CardRateMonth "
         f"FROM VALUES {', '.join(rows)} AS r(type_bucket, usage_category, length_bucket, rate)"
     )
 
