@@ -32,20 +32,25 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with identifiers replaced by the name of their kind and ``n_chars`` counted anew where a text changed."""
-    found = pii.detect(docs)
-    changed = F.size("spans") > 0
-    new = {"text": F.col("masked_text"), "n_chars": F.when(changed, F.length("masked_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
-    return found.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    found = pii.detect(docs.select("text", F.struct("*").alias("_doc")))
+    size = F.length("masked_text").cast(docs.schema["n_chars"].dataType)
+    new = {"text": F.col("masked_text"), "n_chars": F.when(F.size("spans") > 0, size).otherwise(F.col("_doc.n_chars"))}
+    return found.select(*(new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the mix, with ``size, source_size, target, taken``; equal rows are one with what the mix takes of all of them."""
-    named = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    mixed = mixing.mix(named, id_column="_row").groupBy(F.col("doc_id").alias("_row"))
-    mixed = mixed.agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"), F.count("*").alias("_n"))
+    """The documents in the mix, with ``size, source_size, target, taken`` (columns of these names are replaced).
+
+    Equal rows are one, with what the mix takes of all of them.
+    """
+    new = ("size", "source_size", "target", "taken")
+    named = docs.select(F.xxhash64(*docs.columns).alias("_row"), F.struct("*").alias("_doc"))
+    told = named.select("_row", F.col("_doc.text").alias("text"), F.col("_doc.source").alias("source"))
+    mixed = mixing.mix(told, id_column="_row").groupBy(F.col("doc_id").alias("_row"))
+    mixed = mixed.agg(*(F.first(c).alias(c) for c in new[:3]), F.sum("taken").alias("taken"), F.count("*").alias("_n"))
     both = named.join(mixed.where("taken > 0"), "_row")
     once = both.where("_n = 1").unionByName(both.where("_n > 1").dropDuplicates(["_row"]))
-    return once.select(*docs.columns, "size", "source_size", "target", "taken")
+    return once.select(*(F.col("_doc")[c].alias(c) for c in docs.columns if c not in new), *new)
 
 
 STAGES = [

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from yardline.llm import textcols as tc
 
@@ -230,7 +231,7 @@ def detect(docs: DataFrame) -> DataFrame:
     """
     new = ["base_spans", "spans", "masked_text"]
     docs = docs.drop(*new)
-    span = "array<struct<kind:string,start:long,end:long>>"
+    span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     names = docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +247,8 @@ def detect(docs: DataFrame) -> DataFrame:
                     masked.append(mask(text, more) if more else text)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(base, _SPANS), pa.array(every, _SPANS), pa.array(masked, pa.string())], names + new)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scan, f"{schema}, base_spans {span}, spans {span}, masked_text string")
+    kinds = [span, span, T.StringType()]
+    return docs.mapInArrow(scan, T.StructType([*docs.schema, *map(T.StructField, new, kinds)]))
 
 
 def summary(docs: DataFrame) -> DataFrame:

@@ -35,6 +35,8 @@ def deep_shallow(text: np.ndarray, starts: np.ndarray, depth: int = WINDOW, shal
     # Groups are runs of one number along the order.
     for at in range(0, min(shallow, depth), 8):
         open_ = _together(group)
+        if not open_.any():
+            break
         own = order[open_]
         key = eight[starts[own] + at]
         sorted_ = np.lexsort([key, group[open_]])
