@@ -9,7 +9,8 @@ the pair is dropped as soon as what is left cannot reach the bound.
 
 No column emits all its pairs. First each row of a column meets one row, its
 leader. Links found so join most copies; after that only rows of a column in
-different components still meet. Rare first means by a count sketch of fixed
+different components still meet: in short columns by a join, in full ones as
+products of blocks of rows. Rare first means by a count sketch of fixed
 size over all documents, which any number of documents can share.
 """
 
@@ -18,19 +19,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yardline.llm import textcols as tc
 from yardline.llm.components import components
-from yardline.llm.sketch import bucket, count_sketch
+from yardline.llm.sketch import bucket, count_sketch, key_bitmap
 from yardline.llm.storage import stored
 
 WORDS = 3
 #: Threshold in hundredths: link when 100 * intersection >= PERCENT * union.
 PERCENT = 90
 COLUMN_BLOCKS = 4
+#: Columns of more rows are multiplied in blocks of so many rows.
+FULL, BLOCK = 64, 512
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -93,13 +97,18 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(sent.value[bucket(batch.column(2).to_numpy().view(np.uint64))]))
             data, offs = tc.utf8(batch.column(1))
             for first, end, part, part_offs in tc.slices(data, offs):
                 sets = [s.view(np.int64) for s in shingle_sets(part, part_offs, words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sets, pa.list_(pa.int64()))], ["doc", "grams"])
 
-    wanted = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"])
-    return stored(wanted.mapInArrow(scan, f"doc {docs.schema['doc_id'].dataType.simpleString()}, grams array<long>"))
+    # A bitmap of fixed size keeps texts that nobody asks for out of the shuffle; the join drops its false hits.
+    name = F.xxhash64("doc_id").alias("name")
+    sent = docs.sparkSession.sparkContext.broadcast(key_bitmap(ids.select(F.xxhash64("doc").alias("name"))))
+    schema = f"doc {docs.schema['doc_id'].dataType.simpleString()}, grams array<long>"
+    made = docs.where("doc_id IS NOT NULL").select("doc_id", "text", name).mapInArrow(scan, schema)
+    return stored(made.join(ids, "doc", "left_semi").dropDuplicates(["doc"]))
 
 
 def overlaps(left: pa.ListArray, right: pa.ListArray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +157,68 @@ def _links(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
     return stored(both.mapInArrow(product, f"a {doc_type}, b {doc_type}"))
 
 
+def _sizes_fit(n, m, percent: int):
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _promising(met: DataFrame, x: str, y: str, n, m, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of rows of one column each that share enough of their rarest columns.
+
+    The rarest columns of the one whose list ends first are all decided, so the
+    overlap is at most those shared and the rest of that set.
+    """
+    counted = met.where(_sizes_fit(n, m, percent)).groupBy(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    counted = counted.agg(F.count("*").alias("shared"), F.max(F.least(n, m)).alias("less"), F.max(F.greatest(n, m)).alias("more"))
+    rest = F.ceil(percent * F.col("more") / 100) - 1
+    return counted.where((100 + percent) * (F.col("shared") + rest) >= percent * (F.col("less") + F.col("more"))).select("a", "b")
+
+
+def _products(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Promising pairs (``a``, ``b``) in different parts of one column, from products of blocks of its rows.
+
+    Rows outside the column's main part meet all its rows, ``BLOCK`` by
+    ``BLOCK``. The product of the two blocks' rare columns, summed over slices
+    of columns, has the shared ones of all pairs; only promising pairs go on.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    across = F.ceil(F.col("held") / BLOCK).cast("int")
+    down = F.ceil((F.col("held") - F.col("most")) / BLOCK).cast("int")
+    place = lambda blocks: F.pmod(F.xxhash64("doc"), blocks).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
+    minor = rows.where("part <> main").withColumn("i", place(down)).withColumn("j", each(across)).withColumn("minor", F.lit(True))
+    every = rows.withColumn("j", place(across)).withColumn("i", each(down)).withColumn("minor", F.lit(False))
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["minor"]], pdf[~pdf["minor"]]
+        out = pd.DataFrame({"a": [], "b": []})
+        if x.empty or y.empty:
+            return out
+        sides = [(np.concatenate(s["prefix"].to_list()), np.repeat(np.arange(len(s)), s["prefix"].map(len))) for s in (x, y)]
+        common = np.intersect1d(sides[0][0], sides[1][0])
+        shared = np.zeros((len(x), len(y)), np.float32)
+        for at in range(0, len(common), 4096):
+            columns = common[at : at + 4096]
+            blocks = []
+            for (grams, row), n in zip(sides, shared.shape):
+                spot = np.minimum(np.searchsorted(columns, grams), len(columns) - 1)
+                held = columns[spot] == grams
+                block = np.zeros((n, len(columns)), np.float32)
+                block[row[held], spot[held]] = 1
+                blocks.append(block)
+            shared += blocks[0] @ blocks[1].T
+        n, m = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
+        less, more = np.minimum(n, m), np.maximum(n, m)
+        keep = (100 * less >= percent * more) & ((100 + percent) * (shared - (-percent * more // 100) - 1) >= percent * (n + m))
+        keep &= x["part"].to_numpy()[:, None] != y["part"].to_numpy()[None, :]
+        i, j = np.nonzero(keep)
+        a, b = x["doc"].to_numpy()[i], y["doc"].to_numpy()[j]
+        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
+
+    columns = ["gram", "i", "j", "minor", "doc", "n", "part", "prefix"]
+    both = minor.select(columns).unionByName(every.select(columns))
+    return both.groupBy("gram", "i", "j").applyInPandas(product, f"a {id_type}, b {id_type}")
+
+
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``docs`` (``doc_id, text``).
 
@@ -162,27 +233,33 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     # A set of k elements can differ from its like at the threshold only if a set one smaller reaches it.
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
     entries = one_each.where(F.col("n") >= least).dropDuplicates(["doc"]).select("doc", "n", "rare", F.posexplode("prefix").alias("place", "gram"))
-    leaders = entries.groupBy("gram").agg(F.max_by("doc", "rare").alias("leader"), F.count("*").alias("held")).where("held > 1").drop("held")
-    met = stored(entries.join(leaders, "gram"))
-    pairs = stored(met.where("doc <> leader").select(F.greatest("doc", "leader").alias("a"), F.least("doc", "leader").alias("b")).distinct())
+    leader = (F.max_by("doc", "rare").alias("leader"), F.max_by("n", "rare").alias("leader_n"), F.count("*").alias("held"))
+    leaders = entries.groupBy("gram").agg(*leader).where("held > 1").drop("held")
+    met = stored(entries.drop("rare").join(leaders, "gram"))
+    # The leader of a pair's other columns may differ, so this leaves some pairs to the second round.
+    pairs = stored(_promising(met.where("doc <> leader"), "doc", "leader", F.col("n"), F.col("leader_n"), percent))
     links = _links(docs, pairs, words, percent)
     joined = components(links)
 
     # Pairs of a column that are still apart.
     labelled = met.join(joined, met["doc"] == joined["id"], "left").select("gram", "doc", "n", "place", F.coalesce("component_id", "doc").alias("part"))
     sizes = labelled.groupBy("gram", "part").agg(F.count("*").alias("held"))
-    mixed = sizes.groupBy("gram").agg(F.max_by("part", "held").alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    apart = stored(labelled.join(mixed, "gram"))
+    main = (F.max_by("part", "held").alias("main"), F.count("*").alias("parts"), F.sum("held").alias("held"), F.max("held").alias("most"))
+    mixed = sizes.groupBy("gram").agg(*main).where("parts > 1").drop("parts")
+    every = stored(labelled.join(mixed, "gram"))
+    # Pairs that meet in a full column are counted there; for the others the few rows of their columns join.
+    full_columns = _products(every.where(F.col("held") > FULL).join(one_each.select("doc", "prefix"), "doc"), docs, percent)
+    apart = every.where(F.col("held") <= FULL)
     x, y = apart.where("part <> main").alias("x"), apart.alias("y")
-    bound = (100 + percent) * (1 + F.least(F.expr("x.n - x.place"), F.expr("y.n - y.place")) - 1) >= percent * F.expr("x.n + y.n")
     meet = (
         (F.col("x.gram") == F.col("y.gram"))
         & (F.col("x.part") != F.col("y.part"))
         & ((F.col("y.part") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc")))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & bound
+        & _sizes_fit(F.col("x.n"), F.col("y.n"), percent)
+        # At any shared column: what both can share before it, it, and what both can share after it.
+        & ((100 + percent) * (F.least("x.place", "y.place") + F.least(F.expr("x.n - x.place"), F.expr("y.n - y.place"))) >= percent * F.expr("x.n + y.n"))
     )
-    rest = x.join(y, meet).select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")).distinct()
+    rest = _promising(x.join(y, meet), "x.doc", "y.doc", F.col("x.n"), F.col("y.n"), percent).union(full_columns).distinct()
     more = _links(docs, stored(rest.join(pairs, ["a", "b"], "left_anti")), words, percent)
     joined = components(links.union(more))
 
