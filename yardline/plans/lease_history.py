@@ -175,7 +175,7 @@ def fleet_units(trailers: DataFrame, *, as_of: dt.datetime) -> DataFrame:
 def _lease_order() -> Column:
     """Start date, then number, as one decimal: unlike a struct it needs no sort to aggregate."""
     day = F.unix_date("DateOn").cast("decimal(10,0)")
-    return day * F.lit(10**20).cast("decimal(21,0)") + F.col("LeaseID").cast("decimal(20,0)")
+    return day * F.lit(f"1{0:020d}").cast("decimal(21,0)") + F.col("LeaseID").cast("decimal(20,0)")
 
 
 def lease_totals(leases: DataFrame, *, as_of: dt.datetime) -> DataFrame:
