@@ -180,6 +180,19 @@ def critical_idle_top(idle: DataFrame, *, limit: int = TOP_CRITICAL, **selection
     )
 
 
+def critical_idle_table(idle: DataFrame, *, limit: int = TOP_CRITICAL, **selection) -> DataFrame:
+    """The longest idle units as the page shows them: labels for codes, a dash where no price is known."""
+    return critical_idle_top(idle, limit=limit, **selection).select(
+        "unit",
+        "branch",
+        formats.label(F.col("type_bucket"), formats.TYPE_LABELS).alias("type"),
+        formats.label(F.col("usage_category"), formats.USAGE_LABELS).alias("usage"),
+        "months_idle",
+        "last_active",
+        formats.card_rate_or_dash(F.col("card_rate")).alias("card_rate"),
+    )
+
+
 def idle_matrix(idle: DataFrame, *, edges: Sequence[int] = buckets.IDLE_EDGES, **selection) -> DataFrame:
     grouped = select_idle(idle, **selection).groupBy(
         F.col("Branch").alias("branch"), F.col("IdleDurationBucket").alias("idle_bucket")

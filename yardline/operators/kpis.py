@@ -162,7 +162,7 @@ def overview_kpis(
     branch: str | None = None,
 ) -> DataFrame:
     """The headline cards of all pages with their statuses, in one row."""
-    stale = locations.stale_gps(trailers, leases, asset_statuses, as_of=as_of)
+    stale = locations.stale_gps(trailers, leases, asset_statuses, as_of=as_of, branch=branch)
     row = one_row(
         utilization.global_utilization(trailers, branch=branch).drop("other_status"),
         idle_queries.idle_summary(idle, branch=branch).select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yardline.functions import buckets, formats, moments
-from yardline.operators.selection import ACTIVE_LEASE, LEASED, where_equal
+from yardline.operators.selection import ACTIVE_LEASE, LEASED, is_set, where_equal
 from yardline.plans.sizing import broadcast_if_small
 
 MAP_LIMIT = 1000
@@ -23,6 +23,7 @@ def leased_positions(
     asset_statuses: DataFrame,
     *,
     in_force_at: dt.datetime | None = None,
+    **selection,
 ) -> DataFrame:
     """Leased units with active leases and GPS columns, null without GPS row.
 
@@ -30,26 +31,41 @@ def leased_positions(
     lease dates count too, not only the lease status.  Units and GPS rows, one
     each per unit, join first; the leases, where one unit may hold a large
     share of the rows, go through a single join that can be split.
+    ``selection`` may name a ``branch``, a ``type_bucket`` and a ``state``.
     """
     active = leases.where(F.col("LeaseStatus") == ACTIVE_LEASE)
     if in_force_at is not None:
         active = active.where(moments.in_force(F.col("DateOn"), F.col("DateOff"), in_force_at))
-    return _with_positions(active.select("Unit", "CustomerID"), trailers, asset_statuses)
+    return _with_positions(active.select("Unit", "CustomerID"), trailers, asset_statuses, **selection)
 
 
-def _with_positions(active: DataFrame, trailers: DataFrame, asset_statuses: DataFrame) -> DataFrame:
+def _with_positions(
+    active: DataFrame,
+    trailers: DataFrame,
+    asset_statuses: DataFrame,
+    *,
+    branch: str | None = None,
+    type_bucket: str | None = None,
+    state: str | None = None,
+    rare_as_specialty: bool = True,
+) -> DataFrame:
     gps = asset_statuses.withColumnRenamed("AssetName", "Unit")
-    units = trailers.where(F.col("Status") == LEASED).join(gps, "Unit", "left")
+    leased = where_equal(trailers.where(F.col("Status") == LEASED), Fleetcity=branch)
+    if is_set(type_bucket):
+        leased = leased.where(buckets.type_bucket(F.col("Type"), rare_as_specialty) == F.lit(type_bucket))
+    units = where_equal(leased.join(gps, "Unit", "left"), State=state)
     return active.join(broadcast_if_small(units, trailers, asset_statuses), "Unit")
 
 
-def _counts_by_state(trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, as_of: dt.datetime) -> DataFrame:
+def _counts_by_state(
+    trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, as_of: dt.datetime, **selection
+) -> DataFrame:
     """Per state, and for no state, all rows, rows located under a lease in force, and stale rows, in one pass."""
     in_force = moments.in_force(F.col("DateOn"), F.col("DateOff"), as_of)
     active = leases.where(F.col("LeaseStatus") == ACTIVE_LEASE).select("Unit", in_force.alias("in_force"))
     located = F.col("in_force") & F.col("Latitude").isNotNull() & F.col("Longitude").isNotNull()
     return (
-        _with_positions(active, trailers, asset_statuses)
+        _with_positions(active, trailers, asset_statuses, **selection)
         .groupBy(F.col("State").alias("state"))
         .agg(
             F.count(F.lit(1)).alias("unit_count"),
@@ -64,8 +80,10 @@ def _is_stale(as_of: dt.datetime) -> Column:
     return seen.isNull() | (seen < moments.moment(as_of - STALE_AFTER))
 
 
-def _located(trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, as_of: dt.datetime) -> DataFrame:
-    rows = leased_positions(trailers, leases, asset_statuses, in_force_at=as_of)
+def _located(
+    trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, as_of: dt.datetime, **selection
+) -> DataFrame:
+    rows = leased_positions(trailers, leases, asset_statuses, in_force_at=as_of, **selection)
     return rows.where(F.col("Latitude").isNotNull() & F.col("Longitude").isNotNull())
 
 
@@ -77,9 +95,10 @@ def leased_locations(
     as_of: dt.datetime,
     rare_as_specialty: bool = True,
     limit: int | None = None,
+    **selection,
 ) -> DataFrame:
     """Positions of units under a lease in force; ``limit`` takes the first units."""
-    rows = _located(trailers, leases, asset_statuses, as_of).select(
+    rows = _located(trailers, leases, asset_statuses, as_of, rare_as_specialty=rare_as_specialty, **selection).select(
         F.col("Unit").alias("unit"),
         F.col("Fleetcity").alias("branch"),
         F.col("CustomerID").alias("customer_id"),
@@ -96,8 +115,10 @@ def leased_locations(
     return rows if limit is None else rows.orderBy("unit", "customer_id").limit(limit)
 
 
-def location_bounds(trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, *, as_of: dt.datetime) -> DataFrame:
-    return _located(trailers, leases, asset_statuses, as_of).agg(
+def location_bounds(
+    trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, *, as_of: dt.datetime, **selection
+) -> DataFrame:
+    return _located(trailers, leases, asset_statuses, as_of, **selection).agg(
         F.min("Latitude").alias("south"),
         F.max("Latitude").alias("north"),
         F.min("Longitude").alias("west"),
@@ -107,9 +128,9 @@ def location_bounds(trailers: DataFrame, leases: DataFrame, asset_statuses: Data
 
 
 def locations_by_state(
-    trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, *, limit: int | None = None
+    trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, *, limit: int | None = None, **selection
 ) -> DataFrame:
-    rows = leased_positions(trailers, leases, asset_statuses).where(F.col("State").isNotNull())
+    rows = leased_positions(trailers, leases, asset_statuses, **selection).where(F.col("State").isNotNull())
     states = rows.groupBy(F.col("State").alias("state")).agg(F.count(F.lit(1)).alias("unit_count"))
     states = states.orderBy(F.desc("unit_count"), "state")
     return states if limit is None else states.limit(limit)
@@ -122,9 +143,10 @@ def state_share(
     *,
     as_of: dt.datetime,
     limit: int | None = TOP_STATES,
+    **selection,
 ) -> DataFrame:
     """Units per state against the located rows, in percent up to 100."""
-    counts = _counts_by_state(trailers, leases, asset_statuses, as_of)
+    counts = _counts_by_state(trailers, leases, asset_statuses, as_of, **selection)
     located = F.sum("located").over(Window.partitionBy(F.lit(0)))
     percent = buckets.utilization(F.col("unit_count"), located) * 100
     states = (
@@ -143,13 +165,15 @@ def stale_gps(
     *,
     as_of: dt.datetime,
     limit: int | None = None,
+    ordered: bool = True,
+    **selection,
 ) -> DataFrame:
     """Leased units without a GPS update in the last 24 hours, oldest first.
 
-    Units that never reported come first.
+    Units that never reported come first. ``ordered=False`` leaves out the sort where no limit needs it.
     """
     seen = F.col("LastUpdate")
-    rows = leased_positions(trailers, leases, asset_statuses)
+    rows = leased_positions(trailers, leases, asset_statuses, **selection)
     stale = rows.where(_is_stale(as_of)).select(
         F.col("Unit").alias("unit"),
         F.col("Fleetcity").alias("branch"),
@@ -160,15 +184,22 @@ def stale_gps(
         F.col("City").alias("last_known_city"),
         F.col("State").alias("last_known_state"),
     )
-    ordered = stale.orderBy(F.asc_nulls_first("last_update"), "unit", "customer_id")
-    return ordered if limit is None else ordered.limit(limit)
+    if ordered or limit is not None:
+        stale = stale.orderBy(F.asc_nulls_first("last_update"), "unit", "customer_id")
+    return stale if limit is None else stale.limit(limit)
 
 
 def stale_gps_table(
-    trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, *, as_of: dt.datetime, limit: int = STALE_LIMIT
+    trailers: DataFrame,
+    leases: DataFrame,
+    asset_statuses: DataFrame,
+    *,
+    as_of: dt.datetime,
+    limit: int = STALE_LIMIT,
+    **selection,
 ) -> DataFrame:
     """The first stale rows with display texts."""
-    return stale_gps(trailers, leases, asset_statuses, as_of=as_of, limit=limit).select(
+    return stale_gps(trailers, leases, asset_statuses, as_of=as_of, limit=limit, **selection).select(
         "unit",
         "branch",
         "customer_id",
@@ -177,27 +208,30 @@ def stale_gps_table(
     )
 
 
-def away_from_branch(trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame) -> DataFrame:
+def away_from_branch(
+    trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, *, ordered: bool = True, **selection
+) -> DataFrame:
     """Home branch beside the current place, for every unit with a known state."""
-    rows = leased_positions(trailers, leases, asset_statuses).where(F.col("State").isNotNull())
-    return rows.select(
+    rows = leased_positions(trailers, leases, asset_statuses, **selection).where(F.col("State").isNotNull())
+    places = rows.select(
         F.col("Unit").alias("unit"),
         F.col("Fleetcity").alias("home_branch"),
         F.col("City").alias("current_city"),
         F.col("State").alias("current_state"),
         F.col("CustomerID").alias("customer_id"),
-    ).orderBy("home_branch", "current_state", "unit", "customer_id")
+    )
+    return places.orderBy("home_branch", "current_state", "unit", "customer_id") if ordered else places
 
 
 def location_cards(
-    trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, *, as_of: dt.datetime
+    trailers: DataFrame, leases: DataFrame, asset_statuses: DataFrame, *, as_of: dt.datetime, **selection
 ) -> DataFrame:
     """Located rows, states covered, stale rows and the state with most units."""
     named = F.col("state").isNotNull()
     top = F.min(F.when(named, F.struct((-F.col("unit_count")).alias("negated"), "state")))
     total = lambda column: F.coalesce(F.sum(column), F.lit(0))
     return (
-        _counts_by_state(trailers, leases, asset_statuses, as_of)
+        _counts_by_state(trailers, leases, asset_statuses, as_of, **selection)
         .agg(
             total("located").alias("trailers_with_gps"),
             F.count("state").alias("states_covered"),
@@ -220,8 +254,7 @@ def location_detail(
     asset_statuses: DataFrame,
     *,
     as_of: dt.datetime,
-    branch: str | None = None,
-    state: str | None = None,
+    **selection,
 ) -> DataFrame:
     """All located units with unit, lease and GPS columns, for the export."""
-    return where_equal(_located(trailers, leases, asset_statuses, as_of), Fleetcity=branch, State=state)
+    return _located(trailers, leases, asset_statuses, as_of, **selection)

@@ -11,10 +11,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yardline.functions import buckets, moments
+from yardline.functions import buckets
 from yardline.operators import idle as idle_queries
 from yardline.operators.locations import location_detail
-from yardline.operators.revenue import variance_pct
+from yardline.operators.revenue import in_period, variance_pct
 from yardline.operators.selection import is_set, rentable, where_equal
 
 
@@ -91,12 +91,7 @@ def report_revenue(
     ordered: bool = True,
 ) -> DataFrame:
     """Every invoice line; ``period`` (with ``as_of``) keeps the newest months."""
-    rows = where_equal(revenue, Branch=branch, TypeBucket=type_bucket)
-    if is_set(period):
-        if as_of is None:
-            raise ValueError("a period needs as_of")
-        first = moments.shift_months(as_of, -moments.period_months(period, as_of)).date()
-        rows = rows.where(F.col("BillingStopDate") >= F.lit(first))
+    rows = in_period(where_equal(revenue, Branch=branch, TypeBucket=type_bucket), period, as_of)
     rows = rows.select(
         "UnitNumber",
         "Branch",

@@ -23,14 +23,26 @@ TOP_MISSING_BUCKETS = 10
 LINE_KINDS = ("LEASE", "MILEAGE", "REPAIR")
 
 
+def in_period(revenue: DataFrame, period: str | None, as_of: dt.datetime | None) -> DataFrame:
+    """Lines of the newest months; without a period all."""
+    if not is_set(period):
+        return revenue
+    if as_of is None:
+        raise ValueError("a period needs as_of")
+    first = moments.shift_months(as_of, -moments.period_months(period, as_of)).date()
+    return revenue.where(F.col("BillingStopDate") >= F.lit(first))
+
+
 def select_revenue(
     revenue: DataFrame,
     *,
     branch: str | None = None,
     type_bucket: str | None = None,
     usage_category: str | None = None,
+    period: str | None = None,
+    as_of: dt.datetime | None = None,
 ) -> DataFrame:
-    rows = revenue.where(not_placeholder(F.col("Branch")))
+    rows = in_period(revenue.where(not_placeholder(F.col("Branch"))), period, as_of)
     return where_equal(rows, Branch=branch, TypeBucket=type_bucket, UsageCategory=usage_category)
 
 
@@ -297,6 +309,20 @@ def revenue_components(invoice_lines: DataFrame, trailers: DataFrame) -> DataFra
     return split.select(month, "branch", *columns, total.alias("total_revenue")).orderBy("month", "branch")
 
 
+def invoice_totals(invoice_headers: DataFrame, invoice_lines: DataFrame) -> DataFrame:
+    """Every invoice header with the number and total of its lines; lines are totalled before the join."""
+    lines = invoice_lines.groupBy("InvoiceNo").agg(
+        F.count(F.lit(1)).alias("line_count"), F.sum("BilledMonthlyRate").alias("total_billed")
+    )
+    return invoice_headers.join(lines, "InvoiceNo", "left").select(
+        F.col("InvoiceNo").alias("invoice_no"),
+        F.col("CustomerID").alias("customer_id"),
+        F.col("InvoiceDate").alias("invoice_date"),
+        F.coalesce("line_count", F.lit(0)).alias("line_count"),
+        F.coalesce("total_billed", F.lit(0).cast("decimal(28,2)")).alias("total_billed"),
+    )
+
+
 def rate_realization(trailers: DataFrame, leases: DataFrame, card_rates: DataFrame, *, as_of: dt.datetime) -> DataFrame:
     """Lease rate over card rate of every lease in force."""
     running = leases.where(

@@ -51,23 +51,42 @@ def status_counts(trailers: DataFrame) -> DataFrame:
     return trailers.groupBy(F.col("Status").alias("status")).agg(F.count(F.lit(1)).alias("unit_count")).orderBy("status")
 
 
-def utilization_by_branch(trailers: DataFrame) -> DataFrame:
+def _chosen(
+    units: DataFrame, as_of: dt.datetime, type_bucket: str | None = None, usage_category: str | None = None
+) -> DataFrame:
+    """Units with their buckets, of the chosen type and age."""
+    coded = with_buckets(units, "type_bucket", "usage_category", as_of=as_of)
+    return where_equal(coded, type_bucket=type_bucket, usage_category=usage_category)
+
+
+def utilization_by_branch(trailers: DataFrame, *, as_of: dt.datetime | None = None, **selection) -> DataFrame:
+    """Per named branch; a ``type_bucket`` or ``usage_category`` needs ``as_of``."""
     units = rentable(trailers).where(named_branch(F.col("Fleetcity")))
+    if any(map(is_set, selection.values())):
+        if as_of is None:
+            raise ValueError("a type or age needs as_of")
+        units = _chosen(units, as_of, **selection)
     return _utilization_by(units.withColumnRenamed("Fleetcity", "branch"), "branch").orderBy("branch")
 
 
-def utilization_by_type(trailers: DataFrame, *, as_of: dt.datetime, branch: str | None = None) -> DataFrame:
-    units = with_buckets(fleet(trailers, branch), "type_bucket", as_of=as_of)
+def utilization_by_type(
+    trailers: DataFrame, *, as_of: dt.datetime, branch: str | None = None, **selection
+) -> DataFrame:
+    units = _chosen(fleet(trailers, branch), as_of, **selection)
     return _utilization_by(units, "type_bucket").orderBy(F.desc("total_trailers"), "type_bucket")
 
 
-def utilization_by_usage(trailers: DataFrame, *, as_of: dt.datetime, branch: str | None = None) -> DataFrame:
-    units = with_buckets(fleet(trailers, branch), "usage_category", as_of=as_of)
+def utilization_by_usage(
+    trailers: DataFrame, *, as_of: dt.datetime, branch: str | None = None, **selection
+) -> DataFrame:
+    units = _chosen(fleet(trailers, branch), as_of, **selection)
     return _utilization_by(units, "usage_category").orderBy("usage_category")
 
 
-def utilization_matrix(trailers: DataFrame, *, as_of: dt.datetime, branch: str | None = None) -> DataFrame:
-    units = with_buckets(fleet(trailers, branch), "type_bucket", "usage_category", as_of=as_of)
+def utilization_matrix(
+    trailers: DataFrame, *, as_of: dt.datetime, branch: str | None = None, **selection
+) -> DataFrame:
+    units = _chosen(fleet(trailers, branch), as_of, **selection)
     return _utilization_by(units, "type_bucket", "usage_category").orderBy("type_bucket", "usage_category")
 
 
@@ -112,7 +131,7 @@ def type_chart(trailers: DataFrame, *, as_of: dt.datetime, branch: str | None =
 _LEVELS = {0b111: "global", 0b011: "branch", 0b101: "type", 0b110: "usage", 0b100: "matrix"}
 
 
-def fleet_combined(trailers: DataFrame, *, as_of: dt.datetime, branch: str | None = None) -> DataFrame:
+def fleet_combined(trailers: DataFrame, *, as_of: dt.datetime, branch: str | None = None, **selection) -> DataFrame:
     """Global figures and four breakdowns from one scan, in long form.
 
     Units shrink to branch x type x usage counts first; the grouping sets
@@ -120,7 +139,7 @@ def fleet_combined(trailers: DataFrame, *, as_of: dt.datetime, branch: str | Non
     but count in the others.
     """
     cells = (
-        with_buckets(fleet(trailers, branch), "type_bucket", "usage_category", as_of=as_of)
+        _chosen(fleet(trailers, branch), as_of, **selection)
         .groupBy(F.col("Fleetcity").alias("branch"), "type_bucket", "usage_category")
         .agg(F.count(F.lit(1)).alias("total"), _leased().alias("leased"), _available().alias("available"))
     )

@@ -113,6 +113,9 @@ SELECT 'INV' || cast(l_orderkey AS string) AS InvoiceNo, l_orderkey AS LeaseNumb
   cast(l_tax AS decimal(18,4)) AS BilledMileageRate,
   CASE l_returnflag WHEN 'A' THEN 'LEASE' WHEN 'N' THEN 'MILEAGE' ELSE 'REPAIR' END AS LineKind
 FROM lineitem""",
+    "invoice_headers": """
+SELECT 'INV' || cast(o_orderkey AS string) AS InvoiceNo, o_custkey AS CustomerID, cast(o_orderdate AS date) AS InvoiceDate
+FROM orders""",
     "asset_statuses": """
 SELECT AssetName, LastUpdate, Speed, Heading, Latitude, Longitude, Address, City, State FROM (
   SELECT 'U' || lpad(cast(event_id % n AS string), 7, '0') AS AssetName, ts - INTERVAL 8112 DAY AS LastUpdate,
@@ -423,6 +426,25 @@ _ALERT_FIGURES = (
 )
 
 
+def _overview(in_fleet: str = "TRUE", in_branch: str = "TRUE") -> str:
+    return f"""
+SELECT g.total_trailers, g.leased_trailers, g.available_trailers, g.utilization,
+  least(greatest(coalesce(g.utilization, 0) * 100, 0), 100) AS gauge_percent,
+  {_UTIL_STATUS.format('coalesce(g.utilization, 0)')} AS utilization_status,
+  coalesce(NULLIF(i.total_idle, 0), g.available_trailers, 0) AS idle_assets,
+  {_IDLE_STATUS.format('i.avg_months_idle')} AS idle_status,
+  coalesce(i.critical_count, 0) AS critical_count,
+  CASE WHEN i.critical_count > 0 THEN 'critical' ELSE 'good' END AS critical_status,
+  coalesce(i.total_never_leased, 0) AS never_leased_count,
+  CASE WHEN i.total_never_leased > 20 THEN 'warning' ELSE 'neutral' END AS never_leased_status,
+  coalesce(r.avg_variance_pct, 0) AS avg_variance_pct,
+  {_RATE_STATUS.format('coalesce(r.avg_variance_pct, 0)')} AS rate_status, r.at_or_above_card, r.below_card,
+  CASE WHEN r.below_card > r.at_or_above_card THEN 'critical' ELSE 'warning' END AS below_card_status,
+  s.n AS stale_gps_count, CASE WHEN s.n > 10 THEN 'warning' ELSE 'good' END AS stale_gps_status
+FROM ({_global(in_fleet)}) g CROSS JOIN ({_idle_summary('idle', in_branch)}) i CROSS JOIN ({_rates_last_month(in_branch)}) r
+CROSS JOIN (SELECT count(*) AS n FROM ({_STALE}) x WHERE {in_branch}) s"""
+
+
 def _audit() -> str:
     from yardline.sources.schemas import INPUTS
 
@@ -448,6 +470,11 @@ def _select_statements() -> dict[str, str]:
         "CASE usage_category WHEN 'OTR_0' THEN 'OTR 0-3yr' WHEN 'OTR_1' THEN 'OTR 4-6yr' WHEN 'OTR_2' THEN 'OTR 7-8yr' "
         "WHEN 'CART_1' THEN 'Cartage 9-12yr' WHEN 'CART_2' THEN 'Cartage 13-16yr' ELSE 'Storage 16+yr' END"
     )
+    type_labels = (
+        "CASE TypeBucket WHEN 'DRY_VAN' THEN 'Dry Van' WHEN 'DRY_VAN_LIFTGATE' THEN 'Dry Van Liftgate' "
+        "WHEN 'REEFER' THEN 'Reefer' WHEN 'REEFER_LIFTGATE' THEN 'Reefer Liftgate' WHEN 'FLATBED' THEN 'Flatbed' "
+        "WHEN 'SPECIALTY' THEN 'Specialty' ELSE TypeBucket END"
+    )
     position = (
         "CASE usage_category WHEN 'OTR_0' THEN 1 WHEN 'OTR_1' THEN 2 WHEN 'OTR_2' THEN 3 WHEN 'CART_1' THEN 4 "
         "WHEN 'CART_2' THEN 5 ELSE 6 END"
@@ -498,6 +525,18 @@ def _select_statements() -> dict[str, str]:
         "utilization_by_type": by_type,
         "utilization_by_usage": by_usage,
         "utilization_matrix": _utilization("type_bucket, usage_category", "fleet"),
+        "utilization_by_branch_filtered": _utilization("Fleetcity AS branch", "named", "type_bucket = 'DRY_VAN'"),
+        "utilization_by_usage_filtered": _utilization(
+            "usage_category", "fleet", f"{_IN_BRANCH} AND type_bucket = 'DRY_VAN'"
+        ),
+        "utilization_matrix_filtered": _utilization(
+            "type_bucket, usage_category", "fleet", "type_bucket = 'REEFER' AND usage_category = 'OTR_0'"
+        ),
+        "fleet_combined_filtered": _combined("type_bucket = 'DRY_VAN'"),
+        "utilization_display": "SELECT printf('%.1f%%', coalesce(utilization, 0) * 100) AS value, "
+        "format('{:,}', leased_trailers) || ' of ' || format('{:,}', total_trailers) || ' on rent' AS subtitle, "
+        f"{_UTIL_STATUS.format('coalesce(utilization, 0)')} AS status, "
+        f"least(greatest(coalesce(utilization, 0) * 100, 0), 100) AS gauge_percent FROM ({_global()}) g",
         "utilization_pivot": f"SELECT type_bucket, {pivot} FROM fleet GROUP BY type_bucket",
         "utilization_by_branch_type_age": _utilization("Fleetcity AS branch, type_bucket, usage_category", "named"),
         "usage_labelled": f"SELECT {position} AS position, usage_category, {labels} AS name, utilization, "
@@ -578,6 +617,11 @@ LEFT JOIN (SELECT Branch, count(*) AS n FROM latest GROUP BY Branch) i ON b.bran
         "UsageCategory AS usage_category, MonthsIdle AS months_idle, coalesce(LastActiveMonth, 'Never') AS last_active, "
         "CumulativeLeases AS total_leases, CardRate AS card_rate FROM idle WHERE IdleDurationBucket = '24+ Months' "
         "ORDER BY MonthsIdle DESC, Unit LIMIT 25",
+        "critical_idle_table": f"SELECT Unit AS unit, Branch AS branch, {type_labels} AS type, "
+        f"{labels.replace('CASE usage_category', 'CASE UsageCategory')} AS usage, MonthsIdle AS months_idle, "
+        "coalesce(LastActiveMonth, 'Never') AS last_active, CASE WHEN CardRate <> 0 "
+        "THEN '$' || format('{:,}', CAST(round(CardRate, 0) AS BIGINT)) ELSE '—' END AS card_rate "
+        "FROM idle WHERE IdleDurationBucket = '24+ Months' ORDER BY MonthsIdle DESC, Unit LIMIT 25",
         "idle_units_last_rate": f"""
 SELECT e.Unit AS unit, e.Fleetcity AS branch, date_diff('day', coalesce(l.last_off, e.PurchaseDate), {TODAY}) AS days_idle,
   (SELECT Rate FROM leases x WHERE x.Unit = e.Unit AND x.DateOn <= {TODAY} ORDER BY DateOn DESC, LeaseID DESC LIMIT 1)
@@ -591,6 +635,10 @@ WHERE e.PurchaseDate <= {TODAY} AND (e.SoldDate IS NULL OR e.SoldDate > {TODAY})
         f"Pct AS variance_pct, {_VARIANCE_BUCKET} AS variance_bucket FROM revenue WHERE Branch <> 'TBD'",
         "revenue_summary": _summary(),
         "revenue_summary_of_branch": _summary(f"Branch = '{BRANCH}'"),
+        "revenue_summary_of_period": _summary("BillingStopDate >= DATE '2001-05-15'"),
+        "invoice_totals": "SELECT h.InvoiceNo AS invoice_no, h.CustomerID AS customer_id, h.InvoiceDate AS invoice_date, "
+        "count(l.InvoiceNo) AS line_count, coalesce(sum(l.BilledMonthlyRate), 0) AS total_billed "
+        "FROM invoice_headers h LEFT JOIN invoice_lines l ON h.InvoiceNo = l.InvoiceNo GROUP BY 1, 2, 3",
         "rate_share": f"SELECT count(*) AS invoice_count, {_ratio(_AT_OR_ABOVE, 'count(*)')} AS at_or_above_share, "
         f"{_ratio(_BELOW, 'count(*)')} AS below_share, "
         f"CASE WHEN {_BELOW} > {_AT_OR_ABOVE} THEN 'critical' ELSE 'warning' END AS below_status FROM priced",
@@ -638,6 +686,11 @@ WHERE l.LeaseStatus = 'ACTIVE' AND l.DateOn <= {AS_OF} AND (l.DateOff IS NULL OR
         "leased_locations": f"SELECT {_LOCATED}, {_type()} AS type_bucket FROM located",
         "leased_locations_map": f"SELECT {_LOCATED}, {short} AS type_bucket FROM located "
         "ORDER BY Unit, CustomerID LIMIT 1000",
+        "leased_locations_filtered": f"SELECT {_LOCATED}, {_type()} AS type_bucket FROM located "
+        f"WHERE {_IN_BRANCH} AND {_type()} = 'REEFER'",
+        "locations_by_state_of_branch": "SELECT State AS state, count(*) AS unit_count FROM positions "
+        f"WHERE State IS NOT NULL AND {_IN_BRANCH} GROUP BY State",
+        "stale_gps_of_branch": f"SELECT * FROM ({_STALE}) s WHERE branch = '{BRANCH}'",
         "location_bounds": "SELECT min(Latitude) AS south, max(Latitude) AS north, min(Longitude) AS west, "
         "max(Longitude) AS east, count(*) AS located_rows FROM located",
         "locations_by_state": _STATES,
@@ -671,25 +724,14 @@ SELECT * FROM (
   UNION ALL SELECT 'warning', 'rates_over_10_percent_below_card', round(v, 6) FROM ({_ALERT_FIGURES}) f WHERE v < -0.1
   UNION ALL SELECT 'good', 'fleet_performance_healthy', round(u, 6) FROM ({_ALERT_FIGURES}) f
     WHERE NOT (u < 0.7) AND NOT (v < -0.1)) a""",
-        "overview_kpis": f"""
-SELECT g.total_trailers, g.leased_trailers, g.available_trailers, g.utilization,
-  least(greatest(coalesce(g.utilization, 0) * 100, 0), 100) AS gauge_percent,
-  {_UTIL_STATUS.format('coalesce(g.utilization, 0)')} AS utilization_status,
-  coalesce(NULLIF(i.total_idle, 0), g.available_trailers, 0) AS idle_assets,
-  {_IDLE_STATUS.format('i.avg_months_idle')} AS idle_status,
-  coalesce(i.critical_count, 0) AS critical_count,
-  CASE WHEN i.critical_count > 0 THEN 'critical' ELSE 'good' END AS critical_status,
-  coalesce(i.total_never_leased, 0) AS never_leased_count,
-  CASE WHEN i.total_never_leased > 20 THEN 'warning' ELSE 'neutral' END AS never_leased_status,
-  coalesce(r.avg_variance_pct, 0) AS avg_variance_pct,
-  {_RATE_STATUS.format('coalesce(r.avg_variance_pct, 0)')} AS rate_status, r.at_or_above_card, r.below_card,
-  CASE WHEN r.below_card > r.at_or_above_card THEN 'critical' ELSE 'warning' END AS below_card_status,
-  s.n AS stale_gps_count, CASE WHEN s.n > 10 THEN 'warning' ELSE 'good' END AS stale_gps_status
-FROM ({_global()}) g CROSS JOIN ({_idle_summary('idle')}) i CROSS JOIN ({_rates_last_month()}) r
-CROSS JOIN (SELECT count(*) AS n FROM ({_STALE}) x) s""",
+        "overview_kpis": _overview(),
+        "overview_kpis_of_branch": _overview(_IN_BRANCH, f"Branch = '{BRANCH}'"),
         "report_utilization": f"SELECT Unit, Fleetcity AS Branch, Status, Type, Year, Length, {short} AS TypeBucket, "
         f"{_USAGE} AS UsageCategory, Cost, strftime(PurchaseDate, '%Y-%m-%d') AS PurchaseDate FROM trailers "
         "WHERE Status IN ('AVAILABLE', 'LEASED')",
+        "report_utilization_filtered": f"SELECT Unit, Fleetcity AS Branch, Status, Type, Year, Length, {short} AS TypeBucket, "
+        f"{_USAGE} AS UsageCategory, Cost, strftime(PurchaseDate, '%Y-%m-%d') AS PurchaseDate FROM trailers "
+        f"WHERE Status IN ('AVAILABLE', 'LEASED') AND {short} = 'REEFER' AND {_USAGE} = 'OTR_0'",
         "report_inventory": inventory + "Status IN ('AVAILABLE', 'LEASED')",
         "report_inventory_filtered": inventory + f"Status = 'BOS' AND {_IN_BRANCH} AND {short} = 'DRY_VAN'",
         "report_revenue": report_revenue + "TRUE",
@@ -703,10 +745,20 @@ CROSS JOIN (SELECT count(*) AS n FROM ({_STALE}) x) s""",
         "CardRate AS MonthlyOpportunityCost FROM latest WHERE IdleDurationBucket = '24+ Months'",
         "report_never_leased": f"SELECT {idle_columns}, MonthsIdle AS MonthsSincePurchase, "
         "CardRate AS MonthlyOpportunityCost FROM latest WHERE CumulativeLeases = 0",
+        "report_critical_idle_filtered": f"SELECT {idle_columns}, LastActiveMonth, CumulativeLeases AS TotalLeases, MonthsIdle, "
+        f"CardRate AS MonthlyOpportunityCost FROM latest WHERE IdleDurationBucket = '24+ Months' AND Branch = '{BRANCH}'",
+        "report_never_leased_filtered": f"SELECT {idle_columns}, MonthsIdle AS MonthsSincePurchase, "
+        "CardRate AS MonthlyOpportunityCost FROM latest WHERE CumulativeLeases = 0 AND TypeBucket = 'DRY_VAN'",
+        "report_locations_filtered": f"SELECT Unit, Fleetcity AS HomeBranch, CustomerID AS Customer, Type, {short} AS TypeBucket, "
+        "Latitude, Longitude, Address, City AS CurrentCity, State AS CurrentState, Speed, Heading, "
+        f"{_ISO.format('LastUpdate')} AS LastUpdate FROM located WHERE State = 'S03'",
         "report_locations": f"SELECT Unit, Fleetcity AS HomeBranch, CustomerID AS Customer, Type, {short} AS TypeBucket, "
         "Latitude, Longitude, Address, City AS CurrentCity, State AS CurrentState, Speed, Heading, "
         f"{_ISO.format('LastUpdate')} AS LastUpdate FROM located",
         "source_audit": _audit(),
+        "sql_text": "SELECT Status AS status, max(Cost) AS highest_cost FROM trailers GROUP BY Status",
+        "sql_text_with_parameters": "SELECT t.Fleetcity AS branch, count(*) AS lease_count, sum(l.Rate) AS total_rate "
+        "FROM leases l JOIN trailers t ON l.Unit = t.Unit WHERE t.Fleetcity <> 'TBD' AND l.DateOn >= DATE '1996-01-01' GROUP BY 1",
     }
 
 

@@ -6,6 +6,7 @@ inputs from the whole tables and returns a lazy DataFrame.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import cached_property
 
@@ -19,6 +20,7 @@ from yardline.plans.revenue_details import revenue_details
 from yardline.plans.units import enriched_trailers
 from yardline.sources import testdata
 from yardline.sources.csv_sink import date_cells
+from yardline.sources.tables import run_query
 from yardline.sources.testdata import AS_OF
 
 BRANCH = "Branch 3"
@@ -46,6 +48,10 @@ class Fleet:
     def lines(self) -> DataFrame:
         return testdata.invoice_lines(self.spark, self.sf_dir)
 
+    @cached_property
+    def headers(self) -> DataFrame:
+        return testdata.invoice_headers(self.spark, self.sf_dir)
+
     @cached_property
     def gps(self) -> DataFrame:
         return testdata.asset_statuses(self.spark, self.sf_dir)
@@ -100,6 +106,20 @@ def _audit(fleet: Fleet) -> DataFrame:
     )
 
 
+def _status_sql(fleet: Fleet) -> DataFrame:
+    text = "SELECT Status AS status, max(Cost) AS highest_cost FROM {trailers} GROUP BY Status"
+    return run_query(fleet.spark, text, trailers=fleet.trailers)
+
+
+def _leased_sql(fleet: Fleet) -> DataFrame:
+    text = (
+        "SELECT t.Fleetcity AS branch, count(*) AS lease_count, sum(l.Rate) AS total_rate FROM {leases} l "
+        "JOIN {trailers} t ON l.Unit = t.Unit WHERE t.Fleetcity <> :placeholder AND l.DateOn >= :since GROUP BY t.Fleetcity"
+    )
+    params = {"placeholder": "TBD", "since": dt.date(1996, 1, 1)}
+    return run_query(fleet.spark, text, params, leases=fleet.leases, trailers=fleet.trailers)
+
+
 _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     # Bucket codes
     "type_bucket": lambda f: f.trailers.select("Unit", buckets.type_bucket(F.col("Type")).alias("type_bucket")),
@@ -123,6 +143,15 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "utilization_by_type": lambda f: utilization.utilization_by_type(f.trailers, **NOW),
     "utilization_by_usage": lambda f: utilization.utilization_by_usage(f.trailers, **NOW),
     "utilization_matrix": lambda f: utilization.utilization_matrix(f.trailers, **NOW),
+    "utilization_by_branch_filtered": lambda f: utilization.utilization_by_branch(f.trailers, type_bucket="DRY_VAN", **NOW),
+    "utilization_by_usage_filtered": lambda f: utilization.utilization_by_usage(
+        f.trailers, branch=BRANCH, type_bucket="DRY_VAN", **NOW
+    ),
+    "utilization_matrix_filtered": lambda f: utilization.utilization_matrix(
+        f.trailers, type_bucket="REEFER", usage_category="OTR_0", **NOW
+    ),
+    "fleet_combined_filtered": lambda f: utilization.fleet_combined(f.trailers, type_bucket="DRY_VAN", **NOW),
+    "utilization_display": lambda f: utilization.utilization_display(f.trailers),
     "utilization_pivot": lambda f: utilization.utilization_pivot(f.trailers, **NOW),
     "utilization_by_branch_type_age": lambda f: utilization.utilization_by_branch_type_age(f.trailers, **NOW),
     "usage_labelled": lambda f: utilization.usage_labelled(f.trailers, **NOW),
@@ -175,11 +204,14 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "never_leased_share": lambda f: idle.never_leased_share(f.idle),
     "critical_idle": lambda f: idle.critical_idle(f.idle),
     "critical_idle_top": lambda f: idle.critical_idle_top(f.idle),
+    "critical_idle_table": lambda f: idle.critical_idle_table(f.idle),
     "idle_units_last_rate": lambda f: idle.idle_units_last_rate(f.trailers, f.leases, **NOW),
     # Revenue
     "variance_pct": lambda f: revenue.variance_lines(f.revenue),
     "revenue_summary": lambda f: _rounded(revenue.revenue_summary(f.revenue)),
     "revenue_summary_of_branch": lambda f: _rounded(revenue.revenue_summary(f.revenue, branch=BRANCH)),
+    "revenue_summary_of_period": lambda f: _rounded(revenue.revenue_summary(f.revenue, period="L6M", **NOW)),
+    "invoice_totals": lambda f: revenue.invoice_totals(f.headers, f.lines),
     "rate_share": lambda f: revenue.rate_share(f.revenue),
     "revenue_by_branch": lambda f: _rounded(revenue.revenue_by_branch(f.revenue)),
     "branch_rate_status": lambda f: _rounded(revenue.branch_rate_status(f.revenue), "variance"),
@@ -208,6 +240,11 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "leased_locations_map": lambda f: locations.leased_locations(
         *f.positions, rare_as_specialty=False, limit=locations.MAP_LIMIT, **NOW
     ),
+    "leased_locations_filtered": lambda f: locations.leased_locations(
+        *f.positions, branch=BRANCH, type_bucket="REEFER", **NOW
+    ),
+    "locations_by_state_of_branch": lambda f: locations.locations_by_state(*f.positions, branch=BRANCH),
+    "stale_gps_of_branch": lambda f: locations.stale_gps(*f.positions, branch=BRANCH, **NOW),
     "location_bounds": lambda f: locations.location_bounds(*f.positions, **NOW),
     "locations_by_state": lambda f: locations.locations_by_state(*f.positions),
     "state_share": lambda f: locations.state_share(*f.positions, **NOW),
@@ -222,8 +259,14 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     ),
     "alerts": lambda f: _rounded(kpis.alerts(f.trailers, f.revenue), "value"),
     "overview_kpis": lambda f: _rounded(kpis.overview_kpis(*f.positions, f.idle, f.revenue, **NOW)),
+    "overview_kpis_of_branch": lambda f: _rounded(
+        kpis.overview_kpis(*f.positions, f.idle, f.revenue, branch=BRANCH, **NOW)
+    ),
     # Detail exports, with the date cells of the CSV files
     "report_utilization": lambda f: date_cells(reports.report_utilization(f.trailers, **NOW)),
+    "report_utilization_filtered": lambda f: date_cells(
+        reports.report_utilization(f.trailers, type_bucket="REEFER", usage_category="OTR_0", **NOW)
+    ),
     "report_inventory": lambda f: date_cells(reports.report_inventory(f.trailers, **NOW)),
     "report_inventory_filtered": lambda f: date_cells(
         reports.report_inventory(f.trailers, branch=BRANCH, type_bucket="DRY_VAN", status="BOS", **NOW)
@@ -239,7 +282,13 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "report_critical_idle": lambda f: reports.report_critical_idle(f.idle),
     "report_never_leased": lambda f: reports.report_never_leased(f.idle),
     "report_locations": lambda f: date_cells(reports.report_locations(*f.positions, **NOW)),
+    "report_critical_idle_filtered": lambda f: reports.report_critical_idle(f.idle, branch=BRANCH),
+    "report_never_leased_filtered": lambda f: reports.report_never_leased(f.idle, type_bucket="DRY_VAN"),
+    "report_locations_filtered": lambda f: date_cells(reports.report_locations(*f.positions, state="S03", **NOW)),
     "source_audit": _audit,
+    # SQL text, without and with bound parameters
+    "sql_text": _status_sql,
+    "sql_text_with_parameters": _leased_sql,
 }
 
 

@@ -102,6 +102,16 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def invoice_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One invoice per order."""
+    orders = read_parquet(spark, f"{sf_dir}/orders.parquet", _ORDERS)
+    return orders.selectExpr(
+        "'INV' || cast(o_orderkey AS string) AS InvoiceNo",
+        "o_custkey AS CustomerID",
+        "cast(o_orderdate AS date) AS InvoiceDate",
+    )
+
+
 def asset_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest event per asset; as many assets as units.
 
