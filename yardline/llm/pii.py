@@ -112,7 +112,7 @@ _SPELLED_PART = re.compile(rf"plus[ -]?|{_NAME}|[ ,]+", re.I)
 _BRACKETED = re.compile(r"[\[({<]{1,2}[ \t]*(at|dot|@|\.)[ \t]*[\])}>]{1,2}[ \t]*", re.I)
 _PLAIN = re.compile(r"(?<=[A-Za-z0-9])[ \t]+(?:at|@)[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]+(?:dot|\.)[ \t]+|\.)[A-Za-z0-9-])", re.I)
 _DOTTED_NAME = re.compile(r"[A-Za-z0-9-]+[ \t]+dot[ \t]+[A-Za-z0-9-]", re.I)
-_DOT = re.compile(r"[ \t]+dot[ \t]+", re.I)
+_DOT = re.compile(r"(?<![ \t])[ \t]+dot[ \t]+", re.I)
 
 
 class _Rewritten:
