@@ -232,7 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Mode
         at = np.minimum(start[:, None] + np.arange(CHAIN), max(0, len(keys) - 1))
         inside = np.arange(CHAIN) < length[:, None]
         own = marked[at] & inside & toxic[text][:, None] if len(keys) else np.zeros_like(inside)
-        order = np.lexsort([tc.mix(start.astype(np.uint64)), own.any(axis=1), text])
+        chance = tc.mix(keys[start, 0] + (start - firsts[:-1][text]).astype(np.uint64))  # the same wherever the text stands
+        order = np.lexsort([chance, own.any(axis=1), text])
         group = text[order] * 2 + own.any(axis=1)[order]
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
         rank = np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group))))
@@ -250,15 +251,17 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Mode
 
     got = _map(sample, chains, "features binary, marks binary, length long").toArrow()
     if got.num_rows:
-        features = np.frombuffer(b"".join(got["features"].to_pylist()), np.int32).reshape(-1, CHAIN, 1 + len(PREFIXES))
-        marks = np.frombuffer(b"".join(got["marks"].to_pylist()), np.int8).reshape(-1, CHAIN)
-        _fit_field(features, marks, got["length"].to_numpy(), model)
+        # In a fixed order, so that sums and with them the model are the same in each run.
+        rows = sorted(zip(*(got[c].to_pylist() for c in ("features", "marks", "length"))))
+        features = np.frombuffer(b"".join(r[0] for r in rows), np.int32).reshape(-1, CHAIN, 1 + len(PREFIXES))
+        marks = np.frombuffer(b"".join(r[1] for r in rows), np.int8).reshape(-1, CHAIN)
+        _fit_field(features, marks, np.array([r[2] for r in rows], np.int64), model)
 
     def aggregates(data, offs, part):
         x = tag(data, offs, model)[-1]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "total", "top"])
 
-    rows = _map(sample, aggregates, "toxic int, total double, top double").toArrow()
+    rows = _map(sample, aggregates, "toxic int, total double, top double").toArrow().sort_by([(c, "ascending") for c in ("toxic", "total", "top")])
     model.calibration = _fit_calibration(np.column_stack([rows["total"].to_numpy(), rows["top"].to_numpy()]), rows["toxic"].to_numpy())
     return model
 
