@@ -1,17 +1,35 @@
 """The registered queries of this subpackage, each over its whole table, and their SQL twins.
 
 Without a twin: toxicity, language (trained models), personal data behind
-disguises and byte strings across documents (no practical SQL), the pipeline.
+disguises, byte strings across documents, spelling variants and byte-pair ids
+(no practical SQL), the pipeline.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardline.llm import decontamination, itq, jaccard, langid, mixing, pii, suffix_sort, suffix_tree, toxicity, warc
+from yardline.llm import (
+    byte_bpe,
+    decontamination,
+    hard_negatives,
+    itq,
+    jaccard,
+    langid,
+    mixing,
+    pii,
+    spelling,
+    suffix_sort,
+    suffix_tree,
+    toxicity,
+    warc,
+)
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +86,41 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("finish")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = byte_bpe.Tokenizer.load(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), tokenizer), tokenizer)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_ngram_jaccard, op3_pii, op4_language, op5_decontamination, op6_itq, op7_suffix_tree, op8_warc, op9_suffix_sort, op10_mixing)
+    own = (
+        op1_toxicity,
+        op2_ngram_jaccard,
+        op3_pii,
+        op4_language,
+        op5_decontamination,
+        op6_itq,
+        op7_suffix_tree,
+        op8_warc,
+        op9_suffix_sort,
+        op10_mixing,
+        op11_spelling,
+        op12_hard_negatives,
+        op13_byte_bpe,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -152,6 +203,28 @@ WITH
     x AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM o WHERE sent <= (SELECT sum(size) FROM d) GROUP BY doc_id)
 SELECT q.doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN x ON x.doc_id = q.doc_id"""
 
+_OP12 = """
+WITH
+    v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+          FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, v.vec_id AS id, a.label = v.label AS same, CAST(list_dot_product(a.q, v.q) AS BIGINT) AS score
+          FROM v a JOIN v ON len(a.q) = len(v.q) AND a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5"""
+
 
 def statements() -> dict[str, str]:
-    return {"op2_ngram_jaccard": _OP2, "op5_decontamination": _OP5, "op6_itq": _OP6, "op7_suffix_tree": _OP7, "op8_warc": _OP8, "op10_mixing": _OP10}
+    return {
+        "op2_ngram_jaccard": _OP2,
+        "op5_decontamination": _OP5,
+        "op6_itq": _OP6,
+        "op7_suffix_tree": _OP7,
+        "op8_warc": _OP8,
+        "op10_mixing": _OP10,
+        "op12_hard_negatives": _OP12,
+    }
