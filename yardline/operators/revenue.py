@@ -323,6 +323,65 @@ def invoice_totals(invoice_headers: DataFrame, invoice_lines: DataFrame) -> Data
     )
 
 
+def invoice_reconciliation(invoices: DataFrame, invoice_lines: DataFrame) -> DataFrame:
+    """Headers against their lines, with the invoices that only one side knows.
+
+    Lines are totalled before the join, so an invoice with very many lines is one row on either side.
+    """
+    lines = invoice_lines.groupBy("InvoiceNo").agg(
+        F.count(F.lit(1)).alias("line_count"), F.sum("BilledMonthlyRate").alias("line_total")
+    )
+    headers = invoices.select("InvoiceNo", "CustomerID", "InvoiceDate", F.col("InvoiceTotal").alias("stated_total"), F.lit(True).alias("has_header"))
+    both = headers.join(lines, "InvoiceNo", "full")
+    difference = F.col("line_total") - F.col("stated_total")
+    status = (
+        F.when(F.col("has_header").isNull(), "no header")
+        .when(F.col("line_count").isNull(), "no lines")
+        .when(F.col("stated_total").isNull(), "no total")
+        .when(difference == 0, "agrees")
+        .otherwise("differs")
+    )
+    return both.select(
+        F.col("InvoiceNo").alias("invoice_no"),
+        F.col("CustomerID").alias("customer_id"),
+        F.col("InvoiceDate").alias("invoice_date"),
+        "stated_total",
+        F.coalesce("line_count", F.lit(0)).alias("line_count"),
+        "line_total",
+        difference.alias("difference"),
+        status.alias("status"),
+    )
+
+
+def reconciliation_summary(reconciled: DataFrame) -> DataFrame:
+    """Invoices and money per status of :func:`invoice_reconciliation`."""
+    return reconciled.groupBy("status").agg(
+        F.count(F.lit(1)).alias("invoice_count"),
+        F.sum("line_count").alias("line_count"),
+        F.sum("stated_total").alias("stated_total"),
+        F.sum("line_total").alias("line_total"),
+    )
+
+
+def lines_without_header(invoices: DataFrame, invoice_lines: DataFrame) -> DataFrame:
+    """The invoice lines whose invoice has no header."""
+    orphans = invoice_lines.join(invoices.select("InvoiceNo"), "InvoiceNo", "left_anti")
+    return orphans.select(
+        F.col("InvoiceNo").alias("invoice_no"),
+        F.col("LeaseNumber").alias("lease_number"),
+        F.col("UnitNumber").alias("unit"),
+        F.col("BillingStopDate").alias("billing_stop_date"),
+        F.col("BilledMonthlyRate").alias("billed_monthly_rate"),
+    )
+
+
+def headers_without_lines(invoices: DataFrame, invoice_lines: DataFrame) -> DataFrame:
+    """The invoices that have no line."""
+    return invoices.join(invoice_lines.select("InvoiceNo"), "InvoiceNo", "left_anti").select(
+        F.col("InvoiceNo").alias("invoice_no"), F.col("CustomerID").alias("customer_id"), F.col("InvoiceDate").alias("invoice_date")
+    )
+
+
 def rate_realization(trailers: DataFrame, leases: DataFrame, card_rates: DataFrame, *, as_of: dt.datetime) -> DataFrame:
     """Lease rate over card rate of every lease in force."""
     running = leases.where(

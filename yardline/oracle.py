@@ -116,6 +116,19 @@ FROM lineitem""",
     "invoice_headers": """
 SELECT 'INV' || cast(o_orderkey AS string) AS InvoiceNo, o_custkey AS CustomerID, cast(o_orderdate AS date) AS InvoiceDate
 FROM orders""",
+    "invoices": """
+SELECT h.InvoiceNo, h.CustomerID, h.InvoiceDate,
+  CASE WHEN o % 60 <> 5 THEN cast(coalesce(b.billed, 0) + CASE WHEN o % 40 = 3 THEN 1 ELSE 0 END AS decimal(18,2)) END AS InvoiceTotal
+FROM (SELECT *, cast(substr(InvoiceNo, 4) AS bigint) AS o FROM invoice_headers) h
+LEFT JOIN (SELECT InvoiceNo, sum(BilledMonthlyRate) AS billed FROM invoice_lines GROUP BY InvoiceNo) b ON h.InvoiceNo = b.InvoiceNo
+WHERE o % 50 <> 7""",
+    "reconciled": """
+SELECT coalesce(h.InvoiceNo, l.InvoiceNo) AS invoice_no, h.CustomerID AS customer_id, h.InvoiceDate AS invoice_date,
+  h.InvoiceTotal AS stated_total, coalesce(l.n, 0) AS line_count, l.total AS line_total, l.total - h.InvoiceTotal AS difference,
+  CASE WHEN h.InvoiceNo IS NULL THEN 'no header' WHEN l.n IS NULL THEN 'no lines' WHEN h.InvoiceTotal IS NULL THEN 'no total'
+       WHEN l.total = h.InvoiceTotal THEN 'agrees' ELSE 'differs' END AS status
+FROM invoices h FULL JOIN (SELECT InvoiceNo, count(*) AS n, sum(BilledMonthlyRate) AS total FROM invoice_lines GROUP BY InvoiceNo) l
+  ON h.InvoiceNo = l.InvoiceNo""",
     "asset_statuses": """
 SELECT AssetName, LastUpdate, Speed, Heading, Latitude, Longitude, Address, City, State FROM (
   SELECT 'U' || lpad(cast(event_id % n AS string), 7, '0') AS AssetName, ts - INTERVAL 8112 DAY AS LastUpdate,
@@ -517,6 +530,10 @@ def _select_statements() -> dict[str, str]:
         f"{unit_dates}, type_bucket, usage_category, length_bucket, year_range FROM enriched",
         "idle_history": "SELECT * FROM idle_all",
         "bucket_statistics": "SELECT * FROM statistics",
+        "idle_history_incremental": "SELECT * FROM idle_all",
+        "bucket_statistics_incremental": "SELECT * FROM statistics",
+        "idle_summary_stored": _idle_summary("idle"),
+        "idle_by_duration_stored": _idle_by("IdleDurationBucket", "idle_bucket"),
         "revenue_details": f"SELECT {_REVENUE_COLUMNS}, InvoiceNo, LeaseNumber FROM revenue",
         "global_utilization": _global(),
         "global_utilization_of_branch": _global(_IN_BRANCH),
@@ -639,6 +656,14 @@ WHERE e.PurchaseDate <= {TODAY} AND (e.SoldDate IS NULL OR e.SoldDate > {TODAY})
         "invoice_totals": "SELECT h.InvoiceNo AS invoice_no, h.CustomerID AS customer_id, h.InvoiceDate AS invoice_date, "
         "count(l.InvoiceNo) AS line_count, coalesce(sum(l.BilledMonthlyRate), 0) AS total_billed "
         "FROM invoice_headers h LEFT JOIN invoice_lines l ON h.InvoiceNo = l.InvoiceNo GROUP BY 1, 2, 3",
+        "invoice_reconciliation": "SELECT * FROM reconciled",
+        "invoice_reconciliation_summary": "SELECT status, count(*) AS invoice_count, CAST(sum(line_count) AS BIGINT) AS line_count, "
+        "sum(stated_total) AS stated_total, sum(line_total) AS line_total FROM reconciled GROUP BY status",
+        "lines_without_header": "SELECT InvoiceNo AS invoice_no, LeaseNumber AS lease_number, UnitNumber AS unit, "
+        "BillingStopDate AS billing_stop_date, BilledMonthlyRate AS billed_monthly_rate "
+        "FROM invoice_lines WHERE InvoiceNo NOT IN (SELECT InvoiceNo FROM invoices)",
+        "headers_without_lines": "SELECT InvoiceNo AS invoice_no, CustomerID AS customer_id, InvoiceDate AS invoice_date "
+        "FROM invoices WHERE InvoiceNo NOT IN (SELECT InvoiceNo FROM invoice_lines)",
         "rate_share": f"SELECT count(*) AS invoice_count, {_ratio(_AT_OR_ABOVE, 'count(*)')} AS at_or_above_share, "
         f"{_ratio(_BELOW, 'count(*)')} AS below_share, "
         f"CASE WHEN {_BELOW} > {_AT_OR_ABOVE} THEN 'critical' ELSE 'warning' END AS below_status FROM priced",
@@ -755,6 +780,10 @@ SELECT * FROM (
         "report_locations": f"SELECT Unit, Fleetcity AS HomeBranch, CustomerID AS Customer, Type, {short} AS TypeBucket, "
         "Latitude, Longitude, Address, City AS CurrentCity, State AS CurrentState, Speed, Heading, "
         f"{_ISO.format('LastUpdate')} AS LastUpdate FROM located",
+        "csv_round_trip": "SELECT Unit, NULLIF(Branch, '') AS Branch, Status, NULLIF(Type, '') AS Type, TypeBucket, Year, "
+        "NULLIF(Length, '') AS Length, LengthBucket, UsageCategory, Make, VIN, Cost, CAST(PurchaseDate AS DATE) AS PurchaseDate, "
+        f"CAST(SoldDate AS DATE) AS SoldDate FROM ({inventory} Status IN ('AVAILABLE', 'LEASED')) i",
+        "revenue_export": f"SELECT * REPLACE (NULLIF(Branch, '') AS Branch) FROM ({report_revenue} TRUE) r",
         "source_audit": _audit(),
         "sql_text": "SELECT Status AS status, max(Cost) AS highest_cost FROM trailers GROUP BY Status",
         "sql_text_with_parameters": "SELECT t.Fleetcity AS branch, count(*) AS lease_count, sum(l.Rate) AS total_rate "
@@ -772,9 +801,28 @@ def _needed(text: str) -> list[str]:
     return [name for name in _CTES if name in wanted]
 
 
+def _derived(of: dict[str, str]) -> dict[str, str]:
+    """Statements that repeat others: stored forms, and the row counts of the reports."""
+    # File name stem of each report.
+    files = {
+        "utilization": "utilization-report",
+        "inventory": "fleet-inventory",
+        "revenue": "revenue-report",
+        "idle": "idle-assets-report",
+        "critical_idle": "critical-idle-report",
+        "never_leased": "never-leased-report",
+        "locations": "trailer-locations",
+    }
+    told = "SELECT 'all' AS selection, '{0}-2001-11-15.csv' AS file, count(*) AS rows, 'ok' AS status, count(*) AS rows_read FROM ({1}) r"
+    counts = [told.format(file, of[f"report_{report}"]) for report, file in files.items()]
+    counts.append("SELECT 'none', 'utilization-report-2001-11-15.csv', 0, 'no data', 0")
+    stored = ("idle_trend", "utilization_trend", "latest_two_months")
+    return {"export_status": " UNION ALL ".join(counts)} | {f"{name}_stored": of[name] for name in stored}
+
+
 def statements() -> dict[str, str]:
-    full = {}
-    for key, text in _select_statements().items():
+    full, selects = {}, _select_statements()
+    for key, text in (selects | _derived(selects)).items():
         ctes = ",\n".join(f"{name} AS ({_CTES[name]})" for name in _needed(text))
         full[key] = f"WITH {ctes}\n{text.strip()}"
     return full

@@ -38,13 +38,19 @@ def _end() -> Column:
     return F.coalesce(F.col("DateOff"), F.lit(_OPEN_END))
 
 
-def lease_states(leases: DataFrame, *, as_of: dt.datetime) -> DataFrame:
-    """Per unit and lease-starting month: lease count and latest end so far."""
+def lease_states(leases: DataFrame, *, as_of: dt.datetime, settled: DataFrame | None = None) -> DataFrame:
+    """Per unit and lease-starting month: lease count and latest end so far.
+
+    ``settled`` (``Unit, leases, latest_end``) stands for leases that are not
+    among ``leases`` any more; they count as started before all others.
+    """
     monthly = (
         _started(leases, as_of)
         .groupBy("Unit", moments.month_index(F.col("DateOn")).alias("start_month"))
         .agg(F.count(F.lit(1)).alias("leases"), F.max(_end()).alias("latest_end"))
     )
+    if settled is not None:
+        monthly = monthly.unionByName(settled.select("Unit", F.lit(0).alias("start_month"), "leases", "latest_end"))
     in_order = Window.partitionBy("Unit").orderBy("start_month")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return monthly.select(
@@ -69,7 +75,12 @@ def _fleet_span(as_of: dt.datetime, from_month: str | None) -> tuple[Column, Col
 
 
 def _states(
-    units: DataFrame, leases: DataFrame, as_of: dt.datetime, from_month: str | None, keep: Sequence[str]
+    units: DataFrame,
+    leases: DataFrame,
+    as_of: dt.datetime,
+    from_month: str | None,
+    keep: Sequence[str],
+    settled: DataFrame | None = None,
 ) -> DataFrame:
     """Fleet units with the months they belong to, and their lease states."""
     first, last = _fleet_span(as_of, from_month)
@@ -78,7 +89,29 @@ def _states(
         .select("Unit", *keep, first.alias("first_month"), last.alias("last_month"))
         .where("first_month <= last_month")
     )
-    return spans.join(lease_states(leases, as_of=as_of).hint("merge"), "Unit", "left")
+    return spans.join(lease_states(leases, as_of=as_of, settled=settled).hint("merge"), "Unit", "left")
+
+
+def _lease_months() -> tuple[Column, Column]:
+    """First and last month of a row of :func:`_states`; a unit's first row takes the months before its leases along."""
+    is_first = F.coalesce("is_first", F.lit(True))
+    low = F.when(is_first, F.col("first_month")).otherwise(F.greatest("start_month", "first_month"))
+    return low, F.least(F.col("next_month") - 1, "last_month")
+
+
+def _unit_days(months: DataFrame, as_of: dt.datetime, keep: Sequence[str]) -> DataFrame:
+    """Rows of :func:`_states` with one ``month`` each: the day looked at and the leases by then."""
+    started = F.col("month") >= F.col("start_month")
+    day = F.least(F.last_day(moments.month_start(F.col("month"))), F.lit(as_of.date()))
+    return months.select(
+        "Unit",
+        "PurchaseDate",
+        *keep,
+        "month",
+        day.alias("day"),
+        F.when(started, F.col("cumulative_leases")).otherwise(0).alias("cumulative_leases"),
+        F.when(started, F.col("latest_end")).alias("latest_end"),
+    )
 
 
 def unit_months(
@@ -88,6 +121,7 @@ def unit_months(
     as_of: dt.datetime,
     from_month: str | None = None,
     keep: Sequence[str] = (),
+    settled: DataFrame | None = None,
 ) -> DataFrame:
     """One row per fleet unit and month from its purchase, or ``from_month``, to ``as_of``.
 
@@ -98,23 +132,10 @@ def unit_months(
     by unit, and the many months of a unit need the partitions of a shuffle,
     which a broadcast to a few unit files would not give.
     """
-    states = _states(units, leases, as_of, from_month, ["PurchaseDate", *keep])
-    is_first = F.coalesce("is_first", F.lit(True))
-    low = F.when(is_first, F.col("first_month")).otherwise(F.greatest("start_month", "first_month"))
-    high = F.least(F.col("next_month") - 1, "last_month")
+    states = _states(units, leases, as_of, from_month, ["PurchaseDate", *keep], settled)
+    low, high = _lease_months()
     month = F.explode(F.when(low <= high, F.sequence(low, high)))
-    days = states.select("*", month.alias("month"))
-    started = F.col("month") >= F.col("start_month")
-    day = F.least(F.last_day(moments.month_start(F.col("month"))), F.lit(as_of.date()))
-    return days.select(
-        "Unit",
-        "PurchaseDate",
-        *keep,
-        "month",
-        day.alias("day"),
-        F.when(started, F.col("cumulative_leases")).otherwise(0).alias("cumulative_leases"),
-        F.when(started, F.col("latest_end")).alias("latest_end"),
-    )
+    return _unit_days(states.select("*", month.alias("month")), as_of, keep)
 
 
 def _is_rented() -> Column:
@@ -153,13 +174,14 @@ def idle_history(
     as_of: dt.datetime,
     from_month: str | None = None,
     edges: Sequence[int] = buckets.IDLE_EDGES,
+    settled: DataFrame | None = None,
 ) -> DataFrame:
     """Idle units of every month since their purchase, or since ``from_month``.
 
-    The price list joins before months are spelled out.
+    The price list joins before months are spelled out. ``settled``: see :func:`lease_states`.
     """
     units = rated_trailers(trailers, card_rates, as_of=as_of)
-    rows = unit_months(units, leases, as_of=as_of, from_month=from_month, keep=_IDLE_KEEP)
+    rows = unit_months(units, leases, as_of=as_of, from_month=from_month, keep=_IDLE_KEEP, settled=settled)
     if from_month is None:
         return _idle_rows(rows, moments.month_of(moments.month_start(F.col("month"))), edges)
     first, last = moments.index_of_key(from_month), moments.index_of_key(moments.month_key(as_of))
@@ -224,8 +246,39 @@ def latest_month(history: DataFrame) -> DataFrame:
     return history.where(F.col("MonthStr") == newest)
 
 
+def latest_idle_month(
+    trailers: DataFrame,
+    leases: DataFrame,
+    card_rates: DataFrame,
+    *,
+    as_of: dt.datetime,
+    edges: Sequence[int] = buckets.IDLE_EDGES,
+) -> DataFrame:
+    """The newest month of :func:`idle_history` that has a row, without building the others.
+
+    Between two lease starts a unit is idle up to the last of those months or
+    in none of them, and in the months before its first lease it is idle. So
+    each row of the states has one newest idle month, and the rows of the
+    newest of these are the answer: no month is spelled out.
+    """
+    units = rated_trailers(trailers, card_rates, as_of=as_of)
+    states = _states(units, leases, as_of, None, ["PurchaseDate", *_IDLE_KEEP])
+    low, high = _lease_months()
+    day = F.least(F.last_day(moments.month_start(high)), F.lit(as_of.date()))
+    leased_until = F.coalesce((high >= F.col("start_month")) & (F.col("latest_end") > day), F.lit(False))
+    newest = F.when(~leased_until, high).otherwise(F.col("start_month") - 1)
+    idle = states.select("*", F.when(newest >= low, newest).alias("month")).where("month IS NOT NULL")
+    rows = idle.where(F.col("month") == idle.agg(F.max("month")).scalar())
+    return _idle_rows(_unit_days(rows, as_of, _IDLE_KEEP), moments.month_of(moments.month_start(F.col("month"))), edges)
+
+
 def bucket_statistics(
-    trailers: DataFrame, leases: DataFrame, *, as_of: dt.datetime, from_month: str | None = None
+    trailers: DataFrame,
+    leases: DataFrame,
+    *,
+    as_of: dt.datetime,
+    from_month: str | None = None,
+    settled: DataFrame | None = None,
 ) -> DataFrame:
     """Fleet and rented units per month, for all branches and for each branch.
 
@@ -250,7 +303,7 @@ def bucket_statistics(
         F.when(F.col("start_month").isNotNull() & (low <= high), of_lease).otherwise(none),
     )
     summed = (
-        _states(trailers, leases, as_of, from_month, ["Fleetcity"])
+        _states(trailers, leases, as_of, from_month, ["Fleetcity"], settled)
         .select("Fleetcity", F.inline(changes))
         .groupBy("month", "Fleetcity")
         .agg(F.sum("units").alias("units"), F.sum("rented").alias("rented"))

@@ -13,15 +13,16 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardline.functions import buckets
+from yardline.functions import buckets, moments
 from yardline.operators import audit, branches, idle, kpis, locations, reports, revenue, utilization
-from yardline.plans import lease_history
+from yardline.plans import lease_history, nightly, store
 from yardline.plans.revenue_details import revenue_details
 from yardline.plans.units import enriched_trailers
-from yardline.sources import testdata
+from yardline.sources import csv_sink, testdata
 from yardline.sources.csv_sink import date_cells
+from yardline.sources.folders import work_folder
 from yardline.sources.tables import run_query
-from yardline.sources.testdata import AS_OF
+from yardline.sources.testdata import AS_OF, FIRST_NIGHT
 
 BRANCH = "Branch 3"
 COARSE_IDLE_EDGES = (12, 24)
@@ -52,6 +53,10 @@ class Fleet:
     def headers(self) -> DataFrame:
         return testdata.invoice_headers(self.spark, self.sf_dir)
 
+    @cached_property
+    def invoices(self) -> DataFrame:
+        return testdata.invoices(self.spark, self.sf_dir)
+
     @cached_property
     def gps(self) -> DataFrame:
         return testdata.asset_statuses(self.spark, self.sf_dir)
@@ -78,7 +83,31 @@ class Fleet:
 
     @cached_property
     def latest(self) -> DataFrame:
-        return lease_history.latest_month(self.history)
+        return lease_history.latest_idle_month(self.trailers, self.leases, self.rates, **NOW)
+
+    @cached_property
+    def nightly(self) -> str:
+        """A folder of stored views, built on a first night and brought to ``AS_OF`` by the changes since."""
+        folder = work_folder(self.spark, "nightly")
+        known = testdata.leases_as_known(self.leases, FIRST_NIGHT)
+        nightly.first_night(self.trailers, known, self.rates, folder, as_of=FIRST_NIGHT)
+        changes = testdata.lease_changes(self.leases, FIRST_NIGHT, AS_OF)
+        nightly.next_night(self.spark, folder, self.trailers, changes, self.rates, **NOW)
+        return folder
+
+    @cached_property
+    def stored_idle(self) -> str:
+        """The stored idle history, its current month replaced once more from the snapshot."""
+        path = work_folder(self.spark, "idle")
+        store.save_idle_history(self.history, path, rebuild=True)
+        store.replace_idle_months(self.idle, path, [moments.month_key(AS_OF)])
+        return path
+
+    @cached_property
+    def stored_statistics(self) -> str:
+        path = work_folder(self.spark, "statistics")
+        store.save_bucket_statistics(self.statistics(), path, rebuild=True)
+        return path
 
     def statistics(self, from_month: str | None = None) -> DataFrame:
         return lease_history.bucket_statistics(self.trailers, self.leases, from_month=from_month, **NOW)
@@ -120,6 +149,48 @@ def _leased_sql(fleet: Fleet) -> DataFrame:
     return run_query(fleet.spark, text, params, leases=fleet.leases, trailers=fleet.trailers)
 
 
+def _reports(f: Fleet) -> dict[str, DataFrame]:
+    return {
+        "utilization": reports.report_utilization(f.trailers, **NOW),
+        "inventory": reports.report_inventory(f.trailers, **NOW),
+        "revenue": reports.report_revenue(f.revenue),
+        "idle": reports.report_idle(f.idle),
+        "critical-idle": reports.report_critical_idle(f.idle),
+        "never-leased": reports.report_never_leased(f.idle),
+        "locations": reports.report_locations(*f.positions, **NOW),
+    }
+
+
+def _inventory_round_trip(f: Fleet) -> DataFrame:
+    """The inventory report, written as CSV and read back in its types."""
+    folder, report = work_folder(f.spark, "exports"), _reports(f)["inventory"]
+    csv_sink.export_report(report, "inventory", folder, **NOW)
+    return csv_sink.read_report(f.spark, "inventory", folder, report.schema, **NOW)
+
+
+def _revenue_export(f: Fleet) -> DataFrame:
+    """All invoice lines, written in order by month and read back."""
+    path, report = work_folder(f.spark, "lines"), reports.report_revenue(f.revenue)
+    csv_sink.write_csv_by_month(report, path, "BillingStopDate")
+    return date_cells(csv_sink.read_csv(f.spark, path, report.schema))
+
+
+def _export_status(f: Fleet) -> DataFrame:
+    """Status rows of all reports, and of one whose filter matches nothing, with the rows that read back."""
+    told, empty = work_folder(f.spark, "exports"), reports.report_utilization(f.trailers, type_bucket="NO SUCH TYPE", **NOW)
+    found = []
+    for folder, selection, chosen in ((told, "all", _reports(f)), (f"{told}-none", "none", {"utilization": empty})):
+        for name, report in chosen.items():
+            result = csv_sink.export_report(report, name, folder, **NOW)
+            rows = csv_sink.read_report(f.spark, name, folder, report.schema, **NOW).agg(F.count(F.lit(1)).alias("rows_read"))
+            status = csv_sink.export_status(f.spark, result.path)
+            found.append(status.select(F.lit(selection).alias("selection"), "*", rows.scalar().alias("rows_read")))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every
+
+
 _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     # Bucket codes
     "type_bucket": lambda f: f.trailers.select("Unit", buckets.type_bucket(F.col("Type")).alias("type_bucket")),
@@ -135,6 +206,18 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "idle_history": lambda f: f.history,
     "bucket_statistics": lambda f: f.statistics(),
     "revenue_details": lambda f: date_cells(f.revenue),
+    # Stored views
+    "idle_history_incremental": lambda f: store.load_idle_history(f.spark, nightly.idle_path(f.nightly)),
+    "bucket_statistics_incremental": lambda f: store.load_bucket_statistics(f.spark, nightly.statistics_path(f.nightly)),
+    "idle_summary_stored": lambda f: idle.idle_summary(store.load_latest_idle_month(f.spark, f.stored_idle)),
+    "idle_by_duration_stored": lambda f: idle.idle_by_duration(store.load_latest_idle_month(f.spark, f.stored_idle)),
+    "idle_trend_stored": lambda f: idle.idle_trend(store.load_idle_history(f.spark, f.stored_idle)),
+    "utilization_trend_stored": lambda f: utilization.utilization_trend(
+        store.load_bucket_statistics(f.spark, f.stored_statistics), **NOW
+    ),
+    "latest_two_months_stored": lambda f: utilization.latest_two_months(
+        store.load_bucket_statistics(f.spark, f.stored_statistics)
+    ),
     # Utilization
     "global_utilization": lambda f: utilization.global_utilization(f.trailers),
     "global_utilization_of_branch": lambda f: utilization.global_utilization(f.trailers, branch=BRANCH),
@@ -212,6 +295,12 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "revenue_summary_of_branch": lambda f: _rounded(revenue.revenue_summary(f.revenue, branch=BRANCH)),
     "revenue_summary_of_period": lambda f: _rounded(revenue.revenue_summary(f.revenue, period="L6M", **NOW)),
     "invoice_totals": lambda f: revenue.invoice_totals(f.headers, f.lines),
+    "invoice_reconciliation": lambda f: revenue.invoice_reconciliation(f.invoices, f.lines),
+    "invoice_reconciliation_summary": lambda f: revenue.reconciliation_summary(
+        revenue.invoice_reconciliation(f.invoices, f.lines)
+    ),
+    "lines_without_header": lambda f: revenue.lines_without_header(f.invoices, f.lines),
+    "headers_without_lines": lambda f: revenue.headers_without_lines(f.invoices, f.lines),
     "rate_share": lambda f: revenue.rate_share(f.revenue),
     "revenue_by_branch": lambda f: _rounded(revenue.revenue_by_branch(f.revenue)),
     "branch_rate_status": lambda f: _rounded(revenue.branch_rate_status(f.revenue), "variance"),
@@ -285,6 +374,10 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "report_critical_idle_filtered": lambda f: reports.report_critical_idle(f.idle, branch=BRANCH),
     "report_never_leased_filtered": lambda f: reports.report_never_leased(f.idle, type_bucket="DRY_VAN"),
     "report_locations_filtered": lambda f: date_cells(reports.report_locations(*f.positions, state="S03", **NOW)),
+    # Exports, written and read back
+    "csv_round_trip": _inventory_round_trip,
+    "revenue_export": _revenue_export,
+    "export_status": _export_status,
     "source_audit": _audit,
     # SQL text, without and with bound parameters
     "sql_text": _status_sql,

@@ -1,4 +1,4 @@
-"""The five input tables, from parquet folders or from databases."""
+"""The six input tables, from parquet folders or from databases."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from yardline.sources.tables import Databases, read_parquet
 KEY_TEXTS = {
     "Unit",
     "UnitNumber",
+    "InvoiceNo",
     "AssetName",
     "Status",
     "LeaseStatus",
@@ -32,6 +33,7 @@ KEY_TEXTS = {
 class Inputs:
     trailers: DataFrame
     leases: DataFrame
+    invoices: DataFrame
     invoice_lines: DataFrame
     asset_statuses: DataFrame
     card_rates: DataFrame

@@ -50,6 +50,13 @@ INVOICE_LINES = _schema(
     ("LineKind", T.StringType(), True),
 )
 
+INVOICES = _schema(
+    ("InvoiceNo", T.StringType(), False),
+    ("CustomerID", T.LongType(), True),
+    ("InvoiceDate", T.DateType(), True),
+    ("InvoiceTotal", _MONEY, True),
+)
+
 ASSET_STATUSES = _schema(
     ("AssetName", T.StringType(), False),
     ("LastUpdate", T.TimestampNTZType(), True),
@@ -114,6 +121,7 @@ BUCKET_STATISTICS = _schema(
 INPUTS = {
     "trailers": TRAILERS,
     "leases": LEASES,
+    "invoices": INVOICES,
     "invoice_lines": INVOICE_LINES,
     "asset_statuses": ASSET_STATUSES,
     "card_rates": CARD_RATES,

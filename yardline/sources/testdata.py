@@ -15,6 +15,8 @@ from yardline.sources.inputs import Inputs
 from yardline.sources.tables import read_parquet
 
 AS_OF = dt.datetime(2001, 11, 15, 12, 0, 0)
+#: The night from which the incremental views go on to ``AS_OF``.
+FIRST_NIGHT = dt.datetime(2001, 8, 20, 23, 0, 0)
 
 # Fixed values of the synthetic price list: (code, amount).
 _TYPE_BASE = (("DRY_VAN", 900), ("DRY_VAN_LIFTGATE", 1000), ("REEFER", 1300), ("REEFER_LIFTGATE", 1400), ("SPECIALTY", 700))
@@ -87,6 +89,19 @@ def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def leases_as_known(leases: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """A snapshot: the leases started by a day, those that run on without an end."""
+    today = F.lit(as_of.date())
+    return leases.where(F.col("DateOn") <= today).withColumn("DateOff", F.when(F.col("DateOff") <= today, F.col("DateOff")))
+
+
+def lease_changes(leases: DataFrame, since: dt.datetime, as_of: dt.datetime) -> DataFrame:
+    """The rows that are new or other in the snapshot of ``as_of`` than in that of ``since``."""
+    before = F.lit(since.date())
+    is_new, has_ended = F.col("DateOn") > before, F.coalesce(F.col("DateOff") > before, F.lit(False))
+    return leases_as_known(leases, as_of).where(is_new | has_ended)
+
+
 def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = read_parquet(spark, f"{sf_dir}/lineitem.parquet", _LINEITEM)
     return lineitem.selectExpr(
@@ -112,6 +127,21 @@ def invoice_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoice headers with the total they state.
+
+    Planted: no header for orders numbered 7 modulo 50, a total off by one for
+    those numbered 3 modulo 40, none for those numbered 5 modulo 60.
+    """
+    billed = invoice_lines(spark, sf_dir).groupBy("InvoiceNo").agg(F.sum("BilledMonthlyRate").alias("billed"))
+    number = F.substring("InvoiceNo", F.lit(4), F.length("InvoiceNo")).cast("bigint")
+    total = F.coalesce("billed", F.lit(0).cast("decimal(28,2)")) + F.when(number % 40 == 3, 1).otherwise(0)
+    headers = invoice_headers(spark, sf_dir).where(number % 50 != 7).join(billed, "InvoiceNo", "left")
+    return headers.select(
+        "InvoiceNo", "CustomerID", "InvoiceDate", F.when(number % 60 != 5, total.cast("decimal(18,2)")).alias("InvoiceTotal")
+    )
+
+
 def asset_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest event per asset; as many assets as units.
 
@@ -157,6 +187,7 @@ def load(spark: SparkSession, sf_dir: str) -> Inputs:
     return Inputs(
         trailers=trailers(spark, sf_dir),
         leases=leases(spark, sf_dir),
+        invoices=invoices(spark, sf_dir),
         invoice_lines=invoice_lines(spark, sf_dir),
         asset_statuses=asset_statuses(spark, sf_dir),
         card_rates=card_rates(spark),
