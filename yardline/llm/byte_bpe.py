@@ -22,10 +22,14 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,16 +39,19 @@ from yardline.llm.storage import stored
 CHUNK, OVERLAP = 1 << 14, 1 << 10
 #: Code points after a match that can still change it: the longest literal of the pattern and one look ahead.
 MARGIN = 8
-#: Pre-tokens a worker remembers; the memory starts anew when it is full.
-REMEMBERED, LONGEST_REMEMBERED = 1 << 18, 64
+#: Pre-tokens a worker remembers, twice over: those since the last turn, and those asked for in the turn before.
+REMEMBERED, LONGEST_REMEMBERED = 1 << 16, 64
+LIMITS = (0x100, 0x10000, 0x110000)
+#: Bytes of a pre-token up to which its pairs are kept in a list.
+SHORT = 64
 
 
 _ESCAPE = re.compile(r"\\p\{\w+\}|\\s|\\S")
 
 
-def _ranges(escape: str) -> str:
-    """The code points of a class escape as ranges, by the encoder library: engines follow different Unicode versions."""
-    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+def _ranges(escape: str, limit: int) -> str:
+    """The code points below ``limit`` of a class escape as ranges, by the encoder library: engines follow different Unicode versions."""
+    every = "".join(map(chr, (c for c in range(limit) if not 0xD800 <= c < 0xE000)))
     single = {bytes([i]): i for i in range(256)}
     encoder = tiktoken.Encoding("class", pat_str=escape, mergeable_ranks=single, special_tokens={})
     points = list(map(ord, bytes(encoder.encode_ordinary(every)).decode()))
@@ -53,8 +60,17 @@ def _ranges(escape: str) -> str:
     return "".join(f"{re.escape(chr(x))}-{re.escape(chr(y))}" for x, y in zip(first, last))
 
 
-def spelled_out(pattern: str) -> str:
-    """``pattern`` with its class escapes written as ranges."""
+def _width(text: str) -> int:
+    """The first of ``LIMITS`` above all characters. Classes of few ranges are faster to look up."""
+    try:
+        text.encode("latin-1")
+        return 0
+    except UnicodeEncodeError:
+        return 1 if len(text.encode("utf-16-le")) == 2 * len(text) else 2
+
+
+def spelled_out(pattern: str, limit: int) -> str:
+    """``pattern`` for texts of code points below ``limit``, with its class escapes written as ranges."""
     known: dict[str, str] = {}
     out, at, inside = [], 0, False
     while at < len(pattern):
@@ -64,8 +80,9 @@ def spelled_out(pattern: str) -> str:
                 raise ValueError("\\S inside a class is not supported")
             plain = "\\s" if name == "\\S" else name
             if plain not in known:
-                known[plain] = _ranges(plain)
-            out.append(known[plain] if inside else f"[{'' if name == plain else '^'}{known[plain]}]")
+                known[plain] = _ranges(plain, limit)
+            whole = f"[{known[plain]}]" if known[plain] else "(?!)"
+            out.append(known[plain] if inside else whole if name == plain else f"(?:(?!{whole})(?s:.))")
             at = escape.end()
             continue
         step = 2 if pattern[at] == "\\" else 1
@@ -80,23 +97,50 @@ class Tokenizer:
     """Ranks of byte strings and the pattern that cuts a text into pre-tokens; it must match every character and have no groups."""
 
     ranks: dict[bytes, int]
-    pattern: str
+    #: The pattern for texts of narrow, wider and all characters (``LIMITS``).
+    patterns: tuple[str, ...]
+    _encoder: Encoder | None = field(default=None, repr=False, compare=False)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Tokenizer:
         """From a file of lines ``base64 rank``."""
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        return cls(ranks, spelled_out(pattern))
+        return cls(ranks, tuple(spelled_out(pattern, limit) for limit in LIMITS))
 
     def ready(self) -> Encoder:
-        return Encoder(self)
+        """One encoder per worker process, which so remembers pre-tokens from task to task."""
+        if self._encoder is None:
+            self._encoder = Encoder(self)
+        return self._encoder
+
+    def __getstate__(self) -> dict:
+        return {"ranks": self.ranks, "patterns": self.patterns, "_encoder": None}
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: the adjacent pair of least rank merges first, of equal ones the leftmost."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
+    return _merge_short(piece, ranks) if len(piece) <= SHORT else _merge_long(piece, ranks)
+
+
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """With the rank of each adjacent pair in a list, searched anew for each merge."""
+    edges, none = list(range(len(piece) + 1)), 1 << 62
+    pairs = [ranks.get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) != none:
+        i = pairs.index(least)
+        del edges[i + 1], pairs[i]
+        if i:
+            pairs[i - 1] = ranks.get(piece[edges[i - 1] : edges[i + 1]], none)
+        if i < len(pairs):
+            pairs[i] = ranks.get(piece[edges[i] : edges[i + 2]], none)
+    return [ranks[piece[a:b]] for a, b in pairwise(edges)]
+
+
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """With a heap of pairs, so that time does not grow with the square of the length."""
     n = len(piece)
     end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
@@ -118,22 +162,24 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Ids by pre-token, made when they are first asked for."""
+    """The ids of a pre-token, as bytes of 32-bit numbers, made when they are first asked for."""
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
-        self.ranks, self.find = tokenizer.ranks, re.compile(tokenizer.pattern).findall
+        self.before: dict[str, bytes] = {}
+        self.ranks, self.finders = tokenizer.ranks, [re.compile(p).findall for p in tokenizer.patterns]
 
-    def __missing__(self, token: str) -> list[int]:
-        ids = merge(token.encode(), self.ranks)
+    def __missing__(self, token: str) -> bytes:
+        ids = self.before.get(token) or array("i", merge(token.encode(), self.ranks)).tobytes()
         if len(token) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[token] = ids
         return ids
 
     def pretokens(self, text: str) -> list[str]:
-        tokens = self.find(text)
+        tokens = self.finders[_width(text)](text)
         if sum(map(len, tokens)) != len(text):
             raise ValueError("the pattern leaves out characters of a text")
         return tokens
@@ -146,17 +192,28 @@ class Encoder(dict):
             out.append(at)
         return out
 
-    def encode(self, text: str, start: int = 0, stop: int | None = None) -> list[int]:
+    def packed(self, text: str, start: int = 0, stop: int | None = None) -> bytes:
         """Ids of the pre-tokens from boundary ``start`` to boundary ``stop``; what follows is looked at only."""
-        ids, at = [], start
-        for token in self.pretokens(text[start:]):
-            if stop is not None and at >= stop:
-                break
-            ids += self[token]
-            at += len(token)
-        if stop is not None and at != stop:
-            raise ValueError("a piece does not end at a boundary")
-        return ids
+        tokens = self.pretokens(text[start:])
+        if stop is not None:
+            at = start
+            for k, token in enumerate(tokens):
+                if at >= stop:
+                    tokens = tokens[:k]
+                    break
+                at += len(token)
+            if at != stop:
+                raise ValueError("a piece does not end at a boundary")
+        return b"".join(map(self.__getitem__, tokens))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    """One list of ids per text."""
+    offsets = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
 def overlaps(window: str, encoder: Encoder, chunk: int, overlap: int, is_last: bool) -> tuple[list[int], list[int]]:
@@ -201,8 +258,8 @@ def _long_ids(texts: DataFrame, sent, chunk: int, overlap: int) -> DataFrame:
                 part = batch.slice(at, 1)
                 own = part.column(2)[0].as_py()
                 text = "".join(x["window"][:chunk] for x in own[:-1]) + own[-1]["window"]
-                ids = encoder.encode(text, own[0]["start"], own[-1]["stop"])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([ids], pa.list_(pa.int32()))], ["key", "piece", "ids"])
+                ids = encoder.packed(text, own[0]["start"], own[-1]["stop"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists([ids])], ["key", "piece", "ids"])
 
     encoded = parts.mapInArrow(encode_pieces, "key string, piece int, ids array<int>")
     in_row = F.sort_array(F.collect_list(F.struct("piece", "ids")))
@@ -222,8 +279,8 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, *, chunk: int = CHUNK, overlap
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = pa.array([encoder.encode(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+                ids = [encoder.packed(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], ["doc_id", "ids"])
 
     schema = f"doc_id {docs.schema[id_column].dataType.simpleString()}, ids array<int>"
     short = rows.where(F.length("text") <= chunk).mapInArrow(whole, schema)
@@ -232,6 +289,33 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, *, chunk: int = CHUNK, overlap
     return short.unionByName(long.select("doc_id", "key").join(ids, "key").select("doc_id", "ids"))
 
 
+class ByteTable:
+    """The bytes of all ids, one after another."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.sizes = np.full(max(ranks.values(), default=-1) + 1, -1, np.int64)
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
+        held = np.maximum(self.sizes, 0)
+        self.starts = np.cumsum(held) - held
+        self.bytes = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
+
+    def decoded(self, lists: pa.ListArray) -> pa.Array:
+        """The joined bytes of each list; null of null."""
+        ids = np.asarray(lists.flatten(), np.int64)
+        known = (ids >= 0) & (ids < len(self.sizes))
+        known[known] = self.sizes[ids[known]] >= 0
+        if not known.all():
+            raise ValueError(f"no token has the id {ids[~known][0]}")
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])
+        offsets = ends[np.cumsum([0, *pc.fill_null(lists.value_lengths(), 0).to_pylist()])]
+        buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(self.bytes[place])]
+        texts = pa.Array.from_buffers(pa.large_binary(), len(lists), buffers).cast(pa.binary())
+        return pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.binary()))
+
+
 def decode(encoded: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """All columns of ``encoded`` and ``decoded``, the bytes of its ``ids``; null where they are null. An id without bytes is an error."""
     sent = encoded.sparkSession.sparkContext.broadcast(tokenizer)
@@ -240,15 +324,11 @@ def decode(encoded: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     names = [*(columns[i] for i in carried), "decoded"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = {rank: token for token, rank in sent.value.ranks.items()}
+        table = ByteTable(sent.value.ranks)
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                try:
-                    texts = [None if ids is None else b"".join([of[i] for i in ids]) for ids in part.column(at).to_pylist()]
-                except KeyError as unknown:
-                    raise ValueError(f"no token has the id {unknown}") from None
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in carried), pa.array(texts, pa.binary())], names)
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in carried), table.decoded(part.column(at))], names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded")
     return encoded.mapInArrow(scan, f"{kinds}, decoded binary")
