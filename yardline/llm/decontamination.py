@@ -7,7 +7,7 @@ how long the verbatim matches are. An array holds the suffixes that start with
 the first words of some benchmark suffix; others cannot match.
 
 The benchmark is the query set: it is searched against all documents in blocks
-of at most ``BLOCK_BYTES`` of text, one block at a time on the driver.
+of about ``BLOCK_BYTES`` of text, one block at a time on the driver.
 """
 
 from __future__ import annotations
@@ -16,47 +16,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from yardline.llm import textcols as tc
+from yardline.llm.storage import stored
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
 START = 3
 _BITS = 22
+_MASK = np.uint64((1 << _BITS) - 1)
 _PAD = np.uint64(0)
+#: Suffixes that are searched at once.
+_STRIP = 1 << 16
 
 
 class Suffixes:
-    """The benchmark suffixes of one block: the first WINDOW words of each, or the whole of a shorter item."""
+    """The benchmark suffixes of one block: the first WINDOW words of each, or the whole of a shorter item.
+
+    Only word hashes travel; the tables over all suffixes are made where they are used.
+    """
 
     def __init__(self, ids: list, texts: list):
         data, offs = tc.utf8(pa.array(texts, pa.string()))
         data = tc.LOWER[data]
-        starts, ends, firsts = tc.words(data, offs, tc.NO_ALNUM)
-        hashes = tc.word_hashes(data, starts, ends)
-        rows, length, item = [], [], []
-        for i in range(len(ids)):
-            own = hashes[firsts[i] : firsts[i + 1]]
-            n = min(len(own), WINDOW)
-            if n:
-                padded = np.zeros((len(own) - n + 1, WINDOW), np.uint64)
-                padded[:, :n] = np.lib.stride_tricks.sliding_window_view(own, n)
-                rows.append(padded)
-                length += [n] * len(padded)
-                item += [i] * len(padded)
-        self.ids = ids
-        self.words = np.concatenate(rows) if rows else np.zeros((0, WINDOW), np.uint64)
-        self.length, self.item = np.array(length, np.int64), np.array(item, np.int64)
-        self.filters = {}
-        for k in range(1, START + 1):
-            of = np.minimum(self.length, START) == k
-            if of.any():
-                bits = np.zeros(1 << _BITS, bool)
-                grams = np.array([tc.gram_hashes(row[:k], k)[0] for row in self.words[of]])
-                bits[grams & np.uint64((1 << _BITS) - 1)] = True
-                self.filters[k] = bits
+        starts, ends, self.firsts = tc.words(data, offs, tc.NO_ALNUM)
+        self.ids, self.hashes = ids, tc.word_hashes(data, starts, ends)
+        self.at = None
+
+    def ready(self) -> Suffixes:
+        """With the first word, length, item and opening gram of each suffix."""
+        if self.at is None:
+            counts = np.diff(self.firsts)
+            sizes = np.minimum(counts, WINDOW)
+            held = np.where(counts > 0, counts - sizes + 1, 0)
+            self.item = np.repeat(np.arange(len(counts)), held)
+            self.length = sizes[self.item]
+            at = self.firsts[self.item] + np.arange(len(self.item)) - np.repeat(np.cumsum(held) - held, held)
+            self.opening = np.zeros(len(at), np.uint64)
+            self.filters = {}
+            for k in range(1, START + 1):
+                of = np.minimum(self.length, START) == k
+                if of.any():
+                    self.opening[of] = tc.gram_hashes(self.hashes, k)[at[of]]
+                    self.filters[k] = bits = np.zeros(1 << _BITS, bool)
+                    bits[self.opening[of] & _MASK] = True
+            self.at = at
+        return self
+
+    def __getstate__(self) -> dict:
+        return {"ids": self.ids, "hashes": self.hashes, "firsts": self.firsts, "at": None}
+
+    def words(self, which: np.ndarray) -> np.ndarray:
+        """The words of some suffixes, short ones padded."""
+        inside = np.arange(WINDOW) < self.length[which][:, None]
+        spots = np.minimum(self.at[which][:, None] + np.arange(WINDOW), len(self.hashes) - 1)
+        return np.where(inside, self.hashes[spots], _PAD)
 
 
 def _less(a: np.ndarray, b: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,13 +86,13 @@ def _less(a: np.ndarray, b: np.ndarray, length: np.ndarray) -> tuple[np.ndarray,
     return some & (a[rows, first] < b[rows, first]), np.where(some, first, length)
 
 
-def _bisect(array: np.ndarray, suffixes: Suffixes, upper: bool) -> np.ndarray:
+def _bisect(array: np.ndarray, words: np.ndarray, length: np.ndarray, upper: bool) -> np.ndarray:
     """For every suffix the first row of ``array`` not below it, or (``upper``) above all rows that start with it."""
-    low, high = np.zeros(len(suffixes.words), np.int64), np.full(len(suffixes.words), len(array))
+    low, high = np.zeros(len(words), np.int64), np.full(len(words), len(array))
     while (open_ := low < high).any():
         mid = np.minimum((low + high) // 2, len(array) - 1)
-        below, common = _less(array[mid], suffixes.words, suffixes.length)
-        right = below | (upper & (common >= suffixes.length))
+        below, common = _less(array[mid], words, length)
+        right = below | (upper & (common >= length))
         low, high = np.where(open_ & right, mid + 1, low), np.where(open_ & ~right, mid, high)
     return low
 
@@ -86,12 +104,17 @@ def search(data: np.ndarray, offs: np.ndarray, suffixes: Suffixes) -> tuple[np.n
     counts = np.diff(firsts)
     hashes = tc.word_hashes(data, starts, ends)
     mask = np.zeros(len(hashes), bool)
+    asked = np.zeros(len(suffixes.at), bool)
     for k, bits in suffixes.filters.items():
         grams = tc.gram_hashes(hashes, k)
-        mask[: len(grams)] |= bits[grams & np.uint64((1 << _BITS) - 1)]
-    at = np.flatnonzero(mask)
-    if not len(at):
-        none = np.zeros(0, np.int64)
+        hit = bits[grams & _MASK]
+        mask[: len(grams)] |= hit
+        present = np.zeros(1 << _BITS, bool)
+        present[grams[hit] & _MASK] = True
+        asked |= (np.minimum(suffixes.length, START) == k) & present[suffixes.opening & _MASK]
+    at, asked = np.flatnonzero(mask), np.flatnonzero(asked)
+    none = np.zeros(0, np.int64)
+    if not len(at) or not len(asked):
         return counts, none, none, none, none
     text = np.searchsorted(firsts, at, "right") - 1
     spots = at[:, None] + np.arange(WINDOW)
@@ -99,11 +122,16 @@ def search(data: np.ndarray, offs: np.ndarray, suffixes: Suffixes) -> tuple[np.n
     array = np.where(inside, hashes[np.minimum(spots, len(hashes) - 1)], _PAD)
     order = np.lexsort(array.T[::-1])
     array, at, text = array[order], at[order], text[order]
-    low, high = _bisect(array, suffixes, False), _bisect(array, suffixes, True)
-    n = np.maximum(high - low, 0)
-    which = np.repeat(np.arange(len(n)), n)
-    row = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    return counts, text[row], at[row] - firsts[text[row]], suffixes.length[which], suffixes.item[which]
+    found = []
+    for first in range(0, len(asked), _STRIP):
+        own = asked[first : first + _STRIP]
+        words, length = suffixes.words(own), suffixes.length[own]
+        low, high = _bisect(array, words, length, False), _bisect(array, words, length, True)
+        n = np.maximum(high - low, 0)
+        which = np.repeat(np.arange(len(n)), n)
+        row = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        found.append((text[row], at[row] - firsts[text[row]], length[which], suffixes.item[own][which]))
+    return counts, *(np.concatenate(x) for x in zip(*found))
 
 
 def _spans(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> dict[int, list[tuple[int, int]]]:
@@ -118,64 +146,89 @@ def _spans(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> dict[int,
     return out
 
 
+def _scanner(sent, columns: list[str], item_type: pa.DataType, only_hits: bool):
+    """A function over batches (``columns``, then ``text``): the columns, ``n_words, spans, items`` of each text."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        suffixes = sent.value.ready()
+        for batch in batches:
+            data, offs = tc.utf8(batch.column("text"))
+            for first, end, part, part_offs in tc.slices(data, offs):
+                counts, text, start, length, item = search(part, part_offs, suffixes)
+                spans = _spans(text, start, length)
+                found = {}
+                for t, i in set(zip(text.tolist(), item.tolist())):
+                    found.setdefault(t, set()).add(suffixes.ids[i])
+                own = [batch.column(c).slice(first, end - first) for c in columns]
+                told = pa.RecordBatch.from_arrays(
+                    [
+                        *own,
+                        pa.array(counts, pa.int64()),
+                        pa.array([[{"start": a, "end": b} for a, b in spans.get(t, ())] for t in range(end - first)], kind),
+                        pa.array([sorted(found.get(t, ()), key=str) for t in range(end - first)], pa.list_(item_type)),
+                    ],
+                    [*columns, "n_words", "spans", "items"],
+                )
+                yield told.take(pa.array(sorted(spans), pa.int64())) if only_hits else told
+
+    return scan
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, n_words, spans (array of start, end in words), items`` per row of ``docs``; the benchmark's blocks in turn.
+    """``doc_id, n_words, spans (array of start, end in words), items`` per row of ``docs``.
 
     Spans are maximal runs of words inside occurring windows, ends exclusive.
-    Texts or items that are null or have no words match nothing; repeated
-    items count once by id. Without items no row has spans.
+    Texts or items that are null or have no words match nothing; items count
+    once by id, and those without an id as one. Without items no row has spans.
+    Each row of ``docs`` gives a row, also where ids repeat or are null; other
+    columns are ignored.
+
+    A benchmark of more than ``BLOCK_BYTES`` of text is searched block by block;
+    the matches of each are written and then put together by text, so the
+    driver and the tasks hold one block at a time.
     """
     spark = docs.sparkSession
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    item_type = benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_words long, spans array<struct<start:long,end:long>>, items array<{item_type}>"
-    running = F.sum(F.octet_length("text")).over(Window.partitionBy(F.lit(0)).orderBy("item_id").rowsBetween(Window.unboundedPreceding, 0))
-    items = benchmark.where("text IS NOT NULL").select("item_id", "text").withColumn("block", F.floor(running / BLOCK_BYTES))
-    blocks = [r[0] for r in items.select("block").distinct().orderBy("block").collect()] or [0]
-
-    parts = []
-    for block in blocks:
-        rows = items.where(F.col("block") == block).select("item_id", "text").collect()
-        sent = spark.sparkContext.broadcast(Suffixes([r[0] for r in rows], [r[1] for r in rows]))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            suffixes = sent.value
-            for batch in batches:
-                data, offs = tc.utf8(batch.column("text"))
-                for first, end, part, part_offs in tc.slices(data, offs):
-                    counts, text, start, length, item = search(part, part_offs, suffixes)
-                    spans = _spans(text, start, length)
-                    found = {}
-                    for t, i in set(zip(text.tolist(), item.tolist())):
-                        found.setdefault(t, set()).add(suffixes.ids[i])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("doc_id").slice(first, end - first),
-                            pa.array(counts, pa.int64()),
-                            pa.array(
-                                [[{"start": a, "end": b} for a, b in spans.get(t, ())] for t in range(end - first)],
-                                pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
-                            ),
-                            pa.array([sorted(found.get(t, ()), key=str) for t in range(end - first)], pa.list_(_arrow(item_type))),
-                        ],
-                        ["doc_id", "n_words", "spans", "items"],
-                    )
-
-        parts.append(docs.select("doc_id", "text").mapInArrow(scan, schema))
-    return parts[0] if len(parts) == 1 else _merged(parts)
-
-
-def _arrow(simple: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[simple]
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """One row per document from the rows of several blocks; documents are told apart by ``doc_id``."""
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
+    item = benchmark.schema["item_id"].dataType
+    own = T.StructField("doc_id", docs.schema["doc_id"].dataType)
+    key, n_words = T.StructField("key", T.StringType()), T.StructField("n_words", T.LongType())
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    found = [n_words, T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(item))]
+    items = benchmark.where("text IS NOT NULL").select("item_id", "text")
+    blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // BLOCK_BYTES)
+
+    def block(b: int):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        return spark.sparkContext.broadcast(Suffixes([r[0] for r in rows], [r[1] for r in rows]))
+
+    if blocks == 1:
+        scan = _scanner(block(0), ["doc_id"], to_arrow_type(item), False)
+        return docs.select("doc_id", "text").mapInArrow(scan, T.StructType([own, *found]))
+
+    keyed = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("key"), "text")
+    every = None
+    for b in range(blocks):
+        sent = block(b)
+        part = keyed.select("key", "text").mapInArrow(_scanner(sent, ["key"], to_arrow_type(item), True), T.StructType([key, *found]))
+        part = stored(part.groupBy("key").agg(F.first("spans").alias("spans"), F.first("items").alias("items")))
+        sent.destroy()
+        every = part if every is None else every.union(part)
+    told = keyed.mapInArrow(_count_words, T.StructType([own, key, n_words])).join(_merged(every), "key", "left")
+    return told.select("doc_id", "n_words", F.coalesce("spans", F.array()).alias("spans"), F.coalesce("items", F.array()).alias("items"))
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offs = tc.utf8(batch.column("text"))
+        for first, end, part, part_offs in tc.slices(data, offs):
+            _, _, firsts = tc.words(tc.LOWER[part], part_offs, tc.NO_ALNUM)
+            own = [batch.column(c).slice(first, end - first) for c in ("doc_id", "key")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(firsts), pa.int64())], ["doc_id", "key", "n_words"])
+
+
+def _merged(every: DataFrame) -> DataFrame:
+    """One row per text from its rows of several blocks."""
+    merged = every.groupBy("key").agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
@@ -207,6 +260,6 @@ def score(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = score(docs, benchmark).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that are not contaminated, with all their columns; each row is judged by its own text."""
+    rows = docs.select(F.struct("*").alias("doc_id"), "text")
+    return score(rows, benchmark).where(~F.col("contaminated")).select(*(F.col("doc_id")[c].alias(c) for c in docs.columns))

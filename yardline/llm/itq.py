@@ -6,7 +6,9 @@ own; a vector is looked up under its chunk and all chunks one bit away. So all
 pairs with up to ``2 * TABLES - 1`` differing bits meet, and most with a few
 more. Pairs near enough by code are reranked by the cosine of the vectors.
 
-Equal vectors are one row with a count. In a table each row first meets one
+Vectors of one length only can link. Each length with more than ``EXACT``
+distinct vectors has a model of its own; those of a rarer length are compared
+in one block. Equal vectors are one row with a count. In a table each row first meets one
 leader per key; then only rows in different components meet. The links inside
 a component are counted from products of blocks of its vectors, so no list of
 all its pairs is made.
@@ -34,6 +36,8 @@ REACH = 20
 SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 1 << 22
 ROUNDS = 30
 BLOCK = 512
+#: Distinct vectors of one length up to which they are compared without codes.
+EXACT = 1024
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -42,7 +46,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _units(vectors: DataFrame) -> DataFrame:
-    """``vec_id, raw, unit`` of the vectors that can link: of the commonest length, finite, not null and not zero."""
+    """``vec_id, raw, unit`` of the vectors that can link: finite, not null and not zero."""
     raw = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     sound = vectors.where("embedding IS NOT NULL AND size(embedding) > 0").select("vec_id", raw.alias("raw"))
     bad = F.exists("raw", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -77,7 +81,6 @@ def encode(unit: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray
 
 def _verified(pairs: DataFrame, rows: DataFrame, cosine: float) -> DataFrame:
     """The pairs (``a``, ``b``) whose vectors reach the cosine."""
-    id_type = rows.schema["id"].dataType.simpleString()
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +92,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, cosine: float) -> DataFrame:
     left = rows.select(F.col("id").alias("a"), F.col("unit").alias("unit_a"))
     right = rows.select(F.col("id").alias("b"), F.col("unit").alias("unit_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "unit_a", "unit_b")
-    return stored(both.mapInArrow(rerank, f"a {id_type}, b {id_type}"))
+    return stored(both.mapInArrow(rerank, "a long, b long"))
 
 
 def _counts(rows: DataFrame, cosine: float) -> DataFrame:
@@ -126,32 +129,42 @@ def _counts(rows: DataFrame, cosine: float) -> DataFrame:
                 out.append(pd.DataFrame({"id": right["id"].to_numpy(), "n": left["copies"].to_numpy() @ near}))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "n": []})
 
-    counted = dealt.groupBy("group", "i", "j").applyInPandas(count, f"id {rows.schema['id'].dataType.simpleString()}, n long")
+    counted = dealt.groupBy("group", "i", "j").applyInPandas(count, "id long, n long")
     return counted.groupBy("id").agg(F.sum("n").alias("n_links"))
 
 
-def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` per row of ``vectors`` (``vec_id, embedding``).
-
-    Vectors that are null, empty, zero, of another than the commonest length, or hold null or
-    non-finite numbers link with nothing. ``vec_id`` (an integer) names a
-    vector; other columns are ignored.
-    """
-    spark = vectors.sparkSession
-    units = _units(vectors)
-    lengths = units.groupBy(F.size("raw").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    alone = vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    if lengths is None:
-        return alone
-    units = units.where(F.size("raw") == lengths["d"]).dropDuplicates(["vec_id"])
-    share = min(SAMPLE_ROWS, SAMPLE_NUMBERS // lengths["d"]) / lengths["count"]
-    place = F.pmod(F.xxhash64(F.lit("rotation"), "vec_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = units.where(place <= share).select("unit").toArrow()["unit"].combine_chunks()
+def _block_links(classes: DataFrame, cosine: float) -> DataFrame:
+    """``id, n, part`` of all rows of ``classes`` (``id, dims, copies, unit``), one block per length: links counted, linked rows in one part."""
+
+    def block(table: pa.Table) -> pa.Table:
+        unit = np.concatenate([_matrix(c) for c in table["unit"].chunks])
+        ids, copies = table["id"].to_numpy(), table["copies"].to_numpy()
+        near = unit @ unit.T >= cosine
+        np.fill_diagonal(near, False)
+        part = np.arange(len(ids))
+        while True:  # the least place among a row's links and its own, until nothing moves
+            least = np.minimum(part, np.where(near, part, len(ids)).min(axis=1))
+            least = least[least]
+            if (least == part).all():
+                break
+            part = least
+        columns = [pa.array(ids), pa.array(near @ copies, pa.int64()), pa.array(ids[part])]
+        return pa.Table.from_arrays(columns, ["id", "n", "part"])
+
+    return classes.select("id", "dims", "copies", "unit").groupBy("dims").applyInArrow(block, "id long, n long, part long")
+
+
+def _coded_links(classes: DataFrame, dims: int, held: int, cosine: float) -> DataFrame:
+    """``id, n, part`` of the rows of ``classes`` (``id, copies, unit``) of one length: links to other classes and the part they join, by codes and rerank."""
+    spark = classes.sparkSession
+    share = min(SAMPLE_ROWS, SAMPLE_NUMBERS // dims) / held
+    place = F.pmod(F.xxhash64(F.lit("rotation"), "unit"), F.lit(1 << 30)) / float(1 << 30)
+    sample = classes.where(place <= share).select("unit").toArrow()["unit"].combine_chunks()
     if isinstance(sample, pa.ChunkedArray):
         sample = pa.concat_arrays(sample.chunks) if sample.num_chunks else pa.array([], pa.list_(pa.float64()))
-    model = fit(_matrix(sample)) if len(sample) else (np.zeros(lengths["d"]), np.eye(lengths["d"])[:, :BITS])
+    model = fit(_matrix(sample)) if len(sample) else (np.zeros(dims), np.eye(dims)[:, :BITS])
     sent = spark.sparkContext.broadcast(model)
-    bits = min(BITS, lengths["d"])
+    bits = min(BITS, dims)
     width = -(-bits // TABLES)
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +172,7 @@ def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             own = encode(_matrix(batch.column(2)), sent.value) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], ["id", "copies", "unit", "code"])
 
-    classes = stored(units.groupBy("raw").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("unit").alias("unit")))
-    id_type = vectors.schema["vec_id"].dataType.simpleString()
-    rows = stored(classes.select("id", "copies", "unit").mapInArrow(codes, f"id {id_type}, copies long, unit array<double>, code long"))
+    rows = stored(classes.select("id", "copies", "unit").mapInArrow(codes, "id long, copies long, unit array<double>, code long"))
 
     chunk = lambda t: F.shiftrightunsigned("code", t * width).bitwiseAND((1 << width) - 1)
     tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), chunk(t).alias("key")) for t in range(-(-bits // width)))))
@@ -192,12 +203,35 @@ def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     grouped = rows.select("id", "copies", "unit").join(joined.withColumnRenamed("id", "own"), F.col("id") == F.col("own")).select("id", F.col("component_id").alias("part"), "copies", "unit")
     counts = _counts(grouped, cosine)
-    result = classes.select("raw", "id", "copies").join(joined.withColumnRenamed("id", "own"), F.col("id") == F.col("own"), "left").drop("own").join(counts, "id", "left")
-    result = result.select("raw", F.coalesce("component_id", "id").alias("part"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    linked = units.select("vec_id", "raw").join(result, "raw").select(F.col("vec_id").alias("named"), "part", "n")
-    return vectors.select("vec_id").join(linked, F.col("vec_id") == F.col("named"), "left").select(
+    return grouped.select("id", "part").join(counts, "id", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n"), "part")
+
+
+def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` per row of ``vectors`` (``vec_id, embedding``).
+
+    Vectors that are null, empty, zero, or hold null or non-finite numbers link
+    with nothing, nor do vectors of different lengths. Rows equal in ``vec_id``
+    (an integer) and vector are one vector, rows of one id with different
+    vectors are vectors of their own; each row is returned. An empty table
+    gives no rows; other columns are ignored.
+    """
+    units = _units(vectors)
+    distinct = units.select("vec_id", "raw", "unit").dropDuplicates(["vec_id", "raw"])
+    classes = distinct.groupBy("raw").agg(F.min("vec_id").cast("long").alias("least"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), F.size("raw").alias("dims"), "least", "copies", "raw", "unit"))
+    sizes = classes.groupBy("dims").agg(F.count("*").alias("held"))
+    common = sizes.where(F.col("held") > EXACT).orderBy("dims").collect()
+    found = _block_links(classes.where(~F.col("dims").isin([r["dims"] for r in common])), cosine)
+    for r in common:
+        found = found.union(_coded_links(classes.where(F.col("dims") == r["dims"]), r["dims"], r["held"], cosine))
+    numbered = stored(classes.select("id", "least", "copies", "raw").join(found.withColumnRenamed("id", "own"), F.col("id") == F.col("own"), "left").select("id", "least", "copies", "raw", F.coalesce("part", "id").alias("part"), F.coalesce("n", F.lit(0)).alias("n")))
+    named = numbered.groupBy("part").agg(F.min("least").alias("component"))
+    result = numbered.join(named, "part").select("raw", (F.col("n") + F.col("copies") - 1).alias("n"), "component")
+    same = F.transform(F.col("embedding"), lambda x: x.cast("double")).alias("raw")
+    told = vectors.select("vec_id", same).join(result, "raw", "left").withColumn("component", F.coalesce("component", "vec_id"))
+    return told.select(
         "vec_id",
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("part", "vec_id").cast("long").alias("component_id"),
-        (F.coalesce("part", "vec_id") == F.col("vec_id")).alias("kept"),
+        F.col("component").cast("long").alias("component_id"),
+        F.col("component").eqNullSafe(F.col("vec_id")).alias("kept"),
     )

@@ -19,9 +19,10 @@ from yardline.llm import textcols as tc
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 14
 SMOOTHING = 0.5
-#: About so many training texts of each language are used, chosen by a hash of the id, and so many languages at most.
+#: About so many training texts of each language are used, chosen by a hash of the id.
 SAMPLE = 4000
-MOST_LANGUAGES = 512
+#: Languages that are scored at once.
+AT_ONCE = 64
 UNKNOWN = "und"
 
 _SLICE = 1 << 20
@@ -59,13 +60,13 @@ def train(docs: DataFrame, languages: str = "lang") -> tuple[list[str], np.ndarr
     Rows without text or language teach nothing; without any, there are no languages.
     """
     known = docs.where(F.col("text").isNotNull() & F.col(languages).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(languages).count().orderBy(F.desc("count"), languages).limit(MOST_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(languages).count().collect()}
     names = sorted(counts)
     if not names:
         return [], np.zeros((1 << BUCKET_BITS, 0), np.float32)
     place = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*(x for n in names for x in (F.lit(n), F.lit(min(1.0, SAMPLE / counts[n])))))
-    sample = known.where(place < share[F.col(languages)]).select(F.col(languages).alias("lang"), "text")
+    shares = docs.sparkSession.createDataFrame([(n, min(1.0, SAMPLE / counts[n])) for n in names], "_lang string, _share double")
+    sample = known.join(F.broadcast(shares), F.col(languages) == F.col("_lang")).where(place < F.col("_share")).select(F.col("_lang").alias("lang"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -107,11 +108,13 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 sizes, grams = _grams(texts)
                 full = np.flatnonzero(sizes)
                 starts = (np.cumsum(sizes) - sizes)[full]
-                for bucket, whole in grams if names else ():
-                    rows = logs[bucket]
-                    rows[~whole] = 0
-                    own = starts < len(rows)
-                    total[full[own]] += np.add.reduceat(rows, starts[own], axis=0, dtype=np.float64)
+                for some in range(0, len(names), AT_ONCE):
+                    of = slice(some, some + AT_ONCE)
+                    for bucket, whole in grams:
+                        rows = logs[bucket, of]
+                        rows[~whole] = 0
+                        own = starts < len(rows)
+                        total[full[own], of] += np.add.reduceat(rows, starts[own], axis=0, dtype=np.float64)
                 best = total.argmax(axis=1)
                 odds = np.exp(total - total.max(axis=1, keepdims=True))
                 score = np.where(known, 1 / odds.sum(axis=1), 0.0)

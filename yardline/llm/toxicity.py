@@ -9,7 +9,13 @@ over every whole text; the marginals give the offending spans, and their sum
 and maximum, calibrated on document labels, give the document's score.
 
 Training takes about ``SAMPLE`` labelled documents of each class, chosen by a
-hash of the id, and so does not grow with the corpus.
+hash of the id, ``CHAINS_EACH`` chains of each kind of them and ``MOST_KEYS``
+candidate words, and so does not grow with the corpus. Scoring takes every word:
+texts are worked on in pieces of ``CHAIN`` words, and the odds that pass from
+piece to piece, forward and backward, give the marginals of the whole text.
+
+Repeated rows each have a score; an empty table gives no rows; other columns
+are ignored, by ``keep_clean`` carried along.
 """
 
 from __future__ import annotations
@@ -28,10 +34,11 @@ from yardline.llm.storage import stored
 SAMPLE = 3000
 PREFIXES = (4, 5, 6)
 WEIGHT_BITS = 18
-#: Tokens in a chain; texts are cut into chains of so many.
+#: Words in a chain of the training sample, and in a piece of a text that is scored; the odds pass from piece to piece.
 CHAIN = 64
-#: Chains of a sampled document that training takes: so many with a labelled token, and so many others.
+#: The training sample takes so many chains with a labelled token of a document, and so many others.
 CHAINS_EACH = 2
+#: Words and beginnings that may explain toxic documents of the training sample: the commonest so many.
 MOST_KEYS = 5000
 LEAST_SHARE, LEAST_PRECISION = 0.004, 0.97
 ROUNDS, RATE, DECAY = 40, 0.5, 1e-4
@@ -63,20 +70,24 @@ def _buckets(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - WEIGHT_BITS)).astype(np.int32)
 
 
-def _chains(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, words and text of each chain."""
+def _chains(firsts: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, words and text of each piece of up to ``piece`` words."""
     counts = np.diff(firsts)
-    per = -(-counts // CHAIN)
+    per = -(-counts // piece)
     text = np.repeat(np.arange(len(counts)), per)
     place = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    start = firsts[:-1][text] + place * CHAIN
-    return start, np.minimum(CHAIN, firsts[1:][text] - start), text
+    start = firsts[:-1][text] + place * piece
+    return start, np.minimum(piece, firsts[1:][text] - start), text
 
 
-def _marginals(emission: np.ndarray, length: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _marginals(
+    emission: np.ndarray, length: np.ndarray, transitions: np.ndarray, before: np.ndarray | None = None, behind: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward on chains (steps x chains) of two states, kept as odds of the toxic one.
 
-    Returns the marginal of the toxic state, and the odds after each step forward and backward.
+    ``before`` are the odds forward at the word before each chain (below 0: there is none),
+    ``behind`` the odds backward at its last word. Returns the marginal of the
+    toxic state, and the odds after each step forward and backward.
     """
     steps = np.arange(len(emission))[:, None]
     inside = steps < length
@@ -84,20 +95,65 @@ def _marginals(emission: np.ndarray, length: np.ndarray, transitions: np.ndarray
     (oo, ot), (to, tt) = np.exp(transitions)
     forward, backward = np.empty_like(grow), np.empty_like(grow)
     odds = grow[0]
+    if before is not None:
+        odds = np.where(before < 0, odds, grow[0] * (before * tt + ot) / (before * to + oo))
     forward[0] = odds
     for t in range(1, len(grow)):
         odds = grow[t] * (odds * tt + ot) / (odds * to + oo)
         forward[t] = odds
-    odds = np.ones(grow.shape[1])
+    last = np.ones(grow.shape[1]) if behind is None else behind
+    odds = last
     backward[-1] = odds
     for t in range(len(grow) - 2, -1, -1):
         ahead = grow[t + 1] * odds
-        odds = np.where(inside[t + 1], (ahead * tt + to) / (ahead * ot + oo), 1.0)
+        odds = np.where(inside[t + 1], (ahead * tt + to) / (ahead * ot + oo), last)
         backward[t] = odds
     both = forward * backward
     return np.where(inside, both / (1 + both), 0.0), forward, backward
 
 
+def _passes(emission: np.ndarray, length: np.ndarray, transitions: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How each piece (steps x pieces) changes the odds that enter it: 2 x 2 x pieces, forward and backward.
+
+    A step maps odds x to (a x + b) / (c x + d); a piece is the product of its
+    steps' matrices. At the first word of a text no odds enter.
+    """
+    inside = np.arange(len(emission))[:, None] < length
+    grow = np.exp(np.clip(np.where(inside, emission, 0), -30, 30))
+    (oo, ot), (to, tt) = np.exp(transitions)
+    forward = np.repeat(np.eye(2)[:, :, None], grow.shape[1], axis=2)
+    backward = forward.copy()
+    for t in range(len(grow)):
+        (a, b), (c, d) = forward
+        g = grow[t]
+        step = np.array([[g * (tt * a + ot * c), g * (tt * b + ot * d)], [to * a + oo * c, to * b + oo * d]])
+        if t == 0:
+            none, one = np.zeros_like(g), np.ones_like(g)
+            step = np.where(begins, np.array([[none, g], [none, one]]), step)
+        forward = np.where(inside[t], step / step.max(axis=(0, 1)), forward)
+        (a, b), (c, d) = backward
+        step = np.array([[g * (a * tt + b * ot), a * to + b * oo], [g * (c * tt + d * ot), c * to + d * oo]])
+        backward = np.where(inside[t], step / step.max(axis=(0, 1)), backward)
+    return forward, backward
+
+
+def _boundary_odds(forward: np.ndarray, backward: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Odds before (below 0: none) and behind each piece, carried from piece to piece along each text."""
+    n = len(text)
+    before, behind = np.full(n, -1.0), np.ones(n)
+    first = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if n else np.zeros(0, np.int64)
+    held = np.diff(np.append(first, n))
+    place = np.arange(n) - np.repeat(first, held)
+    for where, from_, passes, odds in ((place, -1, forward, before), (np.repeat(held, held) - 1 - place, 1, backward, behind)):
+        order = np.argsort(where, kind="stable")
+        ends = np.cumsum(np.bincount(where, minlength=1))
+        for k in range(1, len(ends)):
+            at = order[ends[k - 1] : ends[k]]
+            (a, b), (c, d) = passes[:, :, at + from_]
+            odds[at] = (a * odds[at + from_] + b) / (c * odds[at + from_] + d)
+    return before, behind
+
+
 def _fit_field(features: np.ndarray, labels: np.ndarray, length: np.ndarray, model: Model) -> None:
     """Gradient ascent on the likelihood of the labelled chains (chains x CHAIN), with AdaGrad steps."""
     steps, n = features.shape[1], len(features)
@@ -147,14 +203,22 @@ def tag(data: np.ndarray, offs: np.ndarray, model: Model) -> tuple[np.ndarray, n
     data = tc.LOWER[data]
     keys, starts, ends, firsts = _keys(data, offs)
     emission = model.weights[_buckets(keys)].sum(axis=1, dtype=np.float64) + model.bias
-    start, length, text = _chains(firsts)
+    start, length, text = _chains(firsts, CHAIN)
+
+    def parts() -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Pieces in groups: which, the words of their steps, and whether a step is one of the piece."""
+        for a in range(0, len(start), 8192):
+            of = slice(a, a + 8192)
+            yield of, start[of] + np.arange(CHAIN)[:, None], np.arange(CHAIN)[:, None] < length[of]
+
+    at_step = lambda words: emission[np.minimum(words, len(emission) - 1)]
+    begins = np.append(True, text[1:] != text[:-1]) if len(text) else np.zeros(0, bool)
+    passes = [_passes(at_step(words), length[of], model.transitions, begins[of]) for of, words, _ in parts()]
+    before, behind = _boundary_odds(*(np.concatenate(x, axis=2) for x in zip(*passes)), text) if passes else (None, None)
     marginal = np.zeros(len(starts))
-    for a in range(0, len(start), 8192):
-        s, n = start[a : a + 8192], length[a : a + 8192]
-        at = s + np.arange(CHAIN)[:, None]
-        inside = np.arange(CHAIN)[:, None] < n
-        p, _, _ = _marginals(emission[np.minimum(at, len(emission) - 1)], n, model.transitions)
-        marginal[at[inside]] = p[inside]
+    for of, words, inside in parts():
+        p, _, _ = _marginals(at_step(words), length[of], model.transitions, before[of], behind[of])
+        marginal[words[inside]] = p[inside]
     full = np.flatnonzero(np.diff(firsts))
     total, top = np.zeros(len(offs) - 1), np.zeros(len(offs) - 1)
     if len(full):
@@ -228,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Mode
         keys, _, _, firsts = _keys(tc.LOWER[data], offs)
         toxic = part.column(0).to_numpy().astype(bool)
         marked = wanted[present(keys)].any(axis=1)
-        start, length, text = _chains(firsts)
+        start, length, text = _chains(firsts, CHAIN)
         at = np.minimum(start[:, None] + np.arange(CHAIN), max(0, len(keys) - 1))
         inside = np.arange(CHAIN) < length[:, None]
         own = marked[at] & inside & toxic[text][:, None] if len(keys) else np.zeros_like(inside)

@@ -20,6 +20,7 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from yardline.llm.storage import partitions, shared_folder, stored
 
@@ -111,14 +112,19 @@ def seek_table(fs: pafs.FileSystem, path: str) -> list[tuple[int, int]]:
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """``page_id, payload_digest, record_type, refers_to``: of equal payloads of LEAST_REVISIT bytes or more the one with the least id is whole."""
+    """Each row of ``pages`` with ``payload_digest, record_type, refers_to``: of equal payloads of LEAST_REVISIT bytes or more the one with the least id is whole.
+
+    Rows of that id, and rows without an id, are whole too.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    seen = stored(pages.select("page_id", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest")))
-    first = seen.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    again = seen.join(first.where("n > 1").drop("n"), "payload_digest", "left")
+    told = pages.select("page_id", "url", "html", F.octet_length(payload).alias("_bytes"), F.sha2(payload, 256).alias("payload_digest"))
+    first = told.where(F.col("_bytes") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    again = told.join(first.where("n > 1").drop("n"), "payload_digest", "left")
     revisit = F.col("first") < F.col("page_id")
     return again.select(
         "page_id",
+        "url",
+        "html",
         "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first")).alias("refers_to"),
@@ -127,11 +133,9 @@ def plan_records(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write all pages as bundles under ``folder``; the index of the records, as a stored table."""
-    plan = plan_records(pages).distinct()
+    rows = plan_records(pages)
     id_type = pages.schema["page_id"].dataType.simpleString()
-    rows = pages.select("page_id", "url", "html").join(plan, "page_id")
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    kinds = [arrow_id, pa.string(), *[pa.int64()] * 5]
+    kinds = [to_arrow_type(pages.schema["page_id"].dataType), pa.string(), *[pa.int64()] * 5]
     names = ["page_id", "bundle", "frame", "frame_start", "frame_bytes", "offset", "length"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +173,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """
     spark = index.sparkSession
     id_type = index.schema["page_id"].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    arrow_id = to_arrow_type(index.schema["page_id"].dataType)
     to_id = str if id_type == "string" else int
     schema = f"page_id {id_type}, record_type string, payload_bytes long, payload_digest string, refers_to {id_type}, url string, payload binary"
     kinds = [arrow_id, pa.string(), pa.int64(), pa.string(), arrow_id, pa.string(), pa.binary()]
@@ -217,8 +221,9 @@ def _rows(out: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
 def archive(pages: DataFrame) -> DataFrame:
     """Write ``pages`` (``page_id, url, html``) to archives in the shared folder and read them back.
 
-    Null pages have empty payloads; they and short ones are always whole.
-    Repeated rows of one id and payload give one record each; no rows, no files.
+    Null pages have empty payloads; they and short ones are always whole, as
+    are rows without an id. Each row gives one record, also where ids repeat,
+    with equal payloads or with others; no rows, no files. Other columns are ignored.
     """
     folder = shared_folder(pages.sparkSession)
     return read_archives(write_archives(pages, folder), folder)
