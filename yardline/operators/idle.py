@@ -100,6 +100,14 @@ def idle_by_duration(idle: DataFrame, *, edges: Sequence[int] = buckets.IDLE_EDG
     return grouped.agg(*measures).orderBy(buckets.idle_bucket_order(F.col("idle_bucket"), edges))
 
 
+def idle_duration_options(idle: DataFrame, **selection) -> DataFrame:
+    """The duration filter's choices: code, label and units of each that has any."""
+    code = F.regexp_replace("idle_bucket", " Months$", "")
+    return idle_by_duration(idle, **selection).select(
+        code.alias("value"), formats.label(code, formats.IDLE_LABELS).alias("label"), "unit_count"
+    )
+
+
 def idle_by_branch(idle: DataFrame, **selection) -> DataFrame:
     measures = _measures(
         "unit_count", "total_cost", "avg_months_idle", "monthly_opportunity_cost", "critical_count", "never_leased_count"

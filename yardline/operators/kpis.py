@@ -69,7 +69,8 @@ def fleet_kpis(
 ) -> DataFrame:
     """Current utilization, its monthly change, lease activity and churn.
 
-    Month figures, leases per ending month and the live fleet are stacked,
+    ``statistics`` needs the newest month and the one before, no others. Month
+    figures, leases per ending month and the live fleet are stacked,
     summed per month and reduced to the newest month with statistics.
     """
     since = moments.shift_months(as_of, -moments.period_months(period, as_of))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from yardline.functions import buckets, formats, moments
 from yardline.operators.selection import ACTIVE_LEASE, LEASED, is_set, where_equal
-from yardline.plans.sizing import broadcast_if_small
+from yardline.plans.sizing import fits_broadcast
+from yardline.plans.skew import split_join
 
 MAP_LIMIT = 1000
 STALE_LIMIT = 50
@@ -30,7 +31,8 @@ def leased_positions(
     Several leases of a unit give several rows.  With ``in_force_at`` the
     lease dates count too, not only the lease status.  Units and GPS rows, one
     each per unit, join first; the leases, where one unit may hold a large
-    share of the rows, go through a single join that can be split.
+    share of the rows, go through a single join: with broadcast units, or with
+    heavy units in parts.
     ``selection`` may name a ``branch``, a ``type_bucket`` and a ``state``.
     """
     active = leases.where(F.col("LeaseStatus") == ACTIVE_LEASE)
@@ -54,7 +56,9 @@ def _with_positions(
     if is_set(type_bucket):
         leased = leased.where(buckets.type_bucket(F.col("Type"), rare_as_specialty) == F.lit(type_bucket))
     units = where_equal(leased.join(gps, "Unit", "left"), State=state)
-    return active.join(broadcast_if_small(units, trailers, asset_statuses), "Unit")
+    if fits_broadcast(units, trailers, asset_statuses):
+        return active.join(F.broadcast(units), "Unit")
+    return split_join(active, units, "Unit")
 
 
 def _counts_by_state(

@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from yardline.functions import buckets, formats, moments, status
+from yardline.functions import buckets, formats, moments, money, status
 from yardline.operators.selection import ACTIVE_LEASE, count_where, is_set, not_placeholder, where_equal
 from yardline.operators.utilization import utilization_by_branch
 from yardline.plans.sizing import broadcast_if_small, fits_broadcast
@@ -55,18 +55,15 @@ def variance_pct() -> Column:
     return buckets.variance_pct(F.col("BilledMonthlyRate"), F.col("CardRateMonth"))
 
 
-def _mean(column: str) -> Column:
-    """Mean of a money column: exact decimal sum, then a double."""
-    return F.avg(column).cast("double")
-
-
-def _rates() -> list[Column]:
+def _rates(rows: DataFrame) -> list[Column]:
+    """Measures of benchmarked lines. The mean variance is the gap of the two exact totals, so money is summed twice, not four times."""
+    billed, card, lines = money.total(rows, "BilledMonthlyRate"), money.total(rows, "CardRateMonth"), F.count(F.lit(1))
     return [
-        F.count(F.lit(1)).alias("invoice_count"),
-        F.sum("BilledMonthlyRate").alias("total_billed"),
-        _mean("BilledMonthlyRate").alias("avg_billed_rate"),
-        _mean("CardRateMonth").alias("avg_card_rate"),
-        _mean("MonthlyRateVariance").alias("avg_variance"),
+        lines.alias("invoice_count"),
+        billed.alias("total_billed"),
+        money.mean(rows, "BilledMonthlyRate").alias("avg_billed_rate"),
+        money.mean(rows, "CardRateMonth").alias("avg_card_rate"),
+        money.mean_of(billed - card, lines).alias("avg_variance"),
     ]
 
 
@@ -75,14 +72,28 @@ def _mean_variance_pct() -> Column:
 
 
 def revenue_summary(revenue: DataFrame, **selection) -> DataFrame:
-    return benchmarked(revenue, **selection).agg(
-        *_rates(),
+    rows = benchmarked(revenue, **selection)
+    return rows.agg(
+        *_rates(rows),
         _mean_variance_pct(),
         count_where(F.col("MonthlyRateVariance") >= 0).alias("at_or_above_card"),
         count_where(F.col("MonthlyRateVariance") < 0).alias("below_card"),
     )
 
 
+def revenue_by_period(revenue: DataFrame, *, as_of: dt.datetime, **selection) -> DataFrame:
+    """Benchmarked lines and money of every named period, from one pass over the lines."""
+    rows, found = benchmarked(revenue, **selection), []
+    for period in formats.PERIOD_LABELS:
+        first = moments.shift_months(as_of, -moments.period_months(period, as_of)).date()
+        within = F.col("BillingStopDate") >= F.lit(first)
+        measures = (F.count_if(within).alias("invoice_count"), money.total(rows, "BilledMonthlyRate", within).alias("total_billed"))
+        found.append(F.struct(F.lit(period).alias("period"), F.lit(first).alias("first_day"), *measures))
+    label = formats.label(F.col("period"), formats.PERIOD_LABELS).alias("label")
+    periods = rows.agg(F.array(*found).alias("found")).select(F.inline("found"))
+    return periods.select("period", label, "first_day", "invoice_count", "total_billed")
+
+
 def rate_share(revenue: DataFrame, **selection) -> DataFrame:
     """Shares of lines at or above and below their card rate."""
     total = F.col("invoice_count")
@@ -95,8 +106,8 @@ def rate_share(revenue: DataFrame, **selection) -> DataFrame:
 
 
 def revenue_by_branch(revenue: DataFrame, **selection) -> DataFrame:
-    grouped = benchmarked(revenue, **selection).groupBy(F.col("Branch").alias("branch"))
-    return grouped.agg(*_rates(), _mean_variance_pct()).orderBy("branch")
+    rows = benchmarked(revenue, **selection)
+    return rows.groupBy(F.col("Branch").alias("branch")).agg(*_rates(rows), _mean_variance_pct()).orderBy("branch")
 
 
 def branch_rate_status(revenue: DataFrame, **selection) -> DataFrame:
@@ -108,18 +119,19 @@ def branch_rate_status(revenue: DataFrame, **selection) -> DataFrame:
 
 
 def revenue_by_type(revenue: DataFrame, **selection) -> DataFrame:
-    grouped = benchmarked(revenue, **selection).groupBy(F.col("TypeBucket").alias("type_bucket"))
-    return grouped.agg(*_rates()).orderBy(F.desc("total_billed"), "type_bucket")
+    rows = benchmarked(revenue, **selection)
+    return rows.groupBy(F.col("TypeBucket").alias("type_bucket")).agg(*_rates(rows)).orderBy(F.desc("total_billed"), "type_bucket")
 
 
 def revenue_by_usage(revenue: DataFrame, **selection) -> DataFrame:
-    grouped = benchmarked(revenue, **selection).groupBy(F.col("UsageCategory").alias("usage_category"))
-    return grouped.agg(*_rates()).orderBy("usage_category")
+    rows = benchmarked(revenue, **selection)
+    return rows.groupBy(F.col("UsageCategory").alias("usage_category")).agg(*_rates(rows)).orderBy("usage_category")
 
 
 def revenue_trend(revenue: DataFrame, **selection) -> DataFrame:
-    grouped = benchmarked(revenue, **selection).groupBy(moments.month_begin(F.col("BillingStopDate")).alias("month"))
-    return grouped.agg(*_rates()).withColumn("month", moments.month_of(F.col("month"))).orderBy("month")
+    rows = benchmarked(revenue, **selection)
+    grouped = rows.groupBy(moments.month_begin(F.col("BillingStopDate")).alias("month"))
+    return grouped.agg(*_rates(rows)).withColumn("month", moments.month_of(F.col("month"))).orderBy("month")
 
 
 def revenue_latest_month(
@@ -163,7 +175,7 @@ def variance_distribution(revenue: DataFrame, **selection) -> DataFrame:
     return (
         select_revenue(revenue, **selection)
         .groupBy(bucket)
-        .agg(F.count(F.lit(1)).alias("invoice_count"), F.sum("BilledMonthlyRate").alias("total_billed"))
+        .agg(F.count(F.lit(1)).alias("invoice_count"), money.total(revenue, "BilledMonthlyRate").alias("total_billed"))
         .orderBy("variance_bucket")
     )
 
@@ -181,7 +193,7 @@ def variance_shares(revenue: DataFrame, **selection) -> DataFrame:
 def billed_per_unit(invoice_lines: DataFrame) -> DataFrame:
     """Invoice lines totalled per unit."""
     return invoice_lines.groupBy(F.col("UnitNumber").alias("Unit")).agg(
-        F.sum("BilledMonthlyRate").alias("billed"), F.count(F.lit(1)).alias("lines")
+        money.total(invoice_lines, "BilledMonthlyRate").alias("billed"), F.count(F.lit(1)).alias("lines")
     )
 
 
@@ -265,7 +277,7 @@ def recent_revenue_by_branch(
         # Lines meet their branch before any shuffle and combine to a row per branch and task.
         units = F.broadcast(branches.withColumnRenamed("Unit", "UnitNumber"))
         billed = recent.join(units, "UnitNumber", "left").groupBy("branch")
-        totals = billed.agg(F.sum("BilledMonthlyRate").alias("total_revenue"), F.count(F.lit(1)).alias("invoice_count"))
+        totals = billed.agg(money.total(recent, "BilledMonthlyRate").alias("total_revenue"), F.count(F.lit(1)).alias("invoice_count"))
     else:
         billed = billed_per_unit(recent).join(branches, "Unit", "left").groupBy("branch")
         totals = billed.agg(F.sum("billed").alias("total_revenue"), F.sum("lines").alias("invoice_count"))
@@ -296,11 +308,11 @@ def revenue_components(invoice_lines: DataFrame, trailers: DataFrame) -> DataFra
     shrink the lines: they join their branch directly.
     """
     branches = trailers.select(F.col("Unit").alias("UnitNumber"), F.col("Fleetcity").alias("branch"))
+    kind_total = lambda kind: money.total(invoice_lines, "BilledMonthlyRate", F.col("LineKind") == kind)
     split = (
         invoice_lines.join(broadcast_if_small(branches), "UnitNumber", "left")
         .groupBy(moments.month_begin(F.col("BillingStopDate")).alias("month"), "branch")
-        .pivot("LineKind", list(LINE_KINDS))
-        .agg(F.sum("BilledMonthlyRate"))
+        .agg(*[kind_total(kind).alias(kind) for kind in LINE_KINDS])
     )
     parts = {f"{kind.lower()}_revenue": F.coalesce(kind, F.lit(0).cast("decimal(38,2)")) for kind in LINE_KINDS}
     columns = [value.alias(name) for name, value in parts.items()]
@@ -312,7 +324,7 @@ def revenue_components(invoice_lines: DataFrame, trailers: DataFrame) -> DataFra
 def invoice_totals(invoice_headers: DataFrame, invoice_lines: DataFrame) -> DataFrame:
     """Every invoice header with the number and total of its lines; lines are totalled before the join."""
     lines = invoice_lines.groupBy("InvoiceNo").agg(
-        F.count(F.lit(1)).alias("line_count"), F.sum("BilledMonthlyRate").alias("total_billed")
+        F.count(F.lit(1)).alias("line_count"), money.total(invoice_lines, "BilledMonthlyRate").alias("total_billed")
     )
     return invoice_headers.join(lines, "InvoiceNo", "left").select(
         F.col("InvoiceNo").alias("invoice_no"),
@@ -329,7 +341,7 @@ def invoice_reconciliation(invoices: DataFrame, invoice_lines: DataFrame) -> Dat
     Lines are totalled before the join, so an invoice with very many lines is one row on either side.
     """
     lines = invoice_lines.groupBy("InvoiceNo").agg(
-        F.count(F.lit(1)).alias("line_count"), F.sum("BilledMonthlyRate").alias("line_total")
+        F.count(F.lit(1)).alias("line_count"), money.total(invoice_lines, "BilledMonthlyRate").alias("line_total")
     )
     headers = invoices.select("InvoiceNo", "CustomerID", "InvoiceDate", F.col("InvoiceTotal").alias("stated_total"), F.lit(True).alias("has_header"))
     both = headers.join(lines, "InvoiceNo", "full")
@@ -421,13 +433,14 @@ def branch_comparison(
     stop = F.col("BillingStopDate")
     this_year = invoice_lines.where((stop >= F.lit(as_of.date().replace(month=1, day=1))) & (stop <= today))
     in_month = stop >= F.lit(as_of.date().replace(day=1))
-    money = (F.sum(F.when(in_month, F.col("BilledMonthlyRate"))).alias("mtd"), F.sum("BilledMonthlyRate").alias("ytd"))
+    rate = "BilledMonthlyRate"
+    amounts = (money.total(this_year, rate, in_month).alias("mtd"), money.total(this_year, rate).alias("ytd"))
     branches = trailers.where(F.col("Fleetcity").isNotNull()).select("Unit", F.col("Fleetcity").alias("branch"))
     lines = this_year.withColumnRenamed("UnitNumber", "Unit")
     if fits_broadcast(branches, trailers):
-        revenue = lines.join(F.broadcast(branches), "Unit").groupBy("branch").agg(*money)
+        revenue = lines.join(F.broadcast(branches), "Unit").groupBy("branch").agg(*amounts)
     else:
-        per_unit = lines.groupBy("Unit").agg(*money)
+        per_unit = lines.groupBy("Unit").agg(*amounts)
         revenue = per_unit.join(branches, "Unit").groupBy("branch").agg(F.sum("mtd").alias("mtd"), F.sum("ytd").alias("ytd"))
     idle = idle_units.groupBy(F.col("Branch").alias("branch")).agg(F.count(F.lit(1)).alias("idle"))
     no_money = F.lit(0).cast("decimal(38,2)")

@@ -118,6 +118,22 @@ def usage_labelled(trailers: DataFrame, *, as_of: dt.datetime, branch: str | Non
     ).orderBy("position")
 
 
+def length_labelled(trailers: DataFrame, *, as_of: dt.datetime, branch: str | None = None) -> DataFrame:
+    """Utilization by length with display labels."""
+    units = with_buckets(fleet(trailers, branch), "length_bucket", as_of=as_of)
+    return (
+        _utilization_by(units, "length_bucket")
+        .select(
+            "length_bucket",
+            formats.label(F.col("length_bucket"), formats.LENGTH_LABELS).alias("name"),
+            "utilization",
+            F.col("total_trailers").alias("total"),
+            F.col("leased_trailers").alias("leased"),
+        )
+        .orderBy("length_bucket")
+    )
+
+
 def type_chart(trailers: DataFrame, *, as_of: dt.datetime, branch: str | None = None) -> DataFrame:
     """Type breakdown under display names."""
     return utilization_by_type(trailers, as_of=as_of, branch=branch).select(

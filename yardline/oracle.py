@@ -189,6 +189,13 @@ SELECT *, {_IDLE_BUCKET} AS IdleDurationBucket FROM (
     date_diff('month', coalesce(m.last_off, m.PurchaseDate), m.d) AS MonthsIdle, r.CardRateMonth AS CardRate
   FROM unit_months m JOIN rated r ON m.Unit = r.Unit WHERE NOT m.rented) x""",
     "latest": "SELECT * FROM idle_all WHERE MonthStr = (SELECT max(MonthStr) FROM idle_all)",
+    "misspelt": """
+SELECT * REPLACE (CASE cast(substr(Unit, 2) AS bigint) % 3 WHEN 0 THEN upper(Fleetcity) WHEN 1 THEN Fleetcity || '  ' ELSE Fleetcity END AS Fleetcity)
+FROM trailers""",
+    "one_spelling": """
+SELECT m.* REPLACE (s.spelled AS Fleetcity) FROM misspelt m
+LEFT JOIN (SELECT lower(rtrim(Fleetcity)) AS key, min(Fleetcity) AS spelled FROM misspelt WHERE Fleetcity IS NOT NULL GROUP BY 1) s
+  ON lower(rtrim(m.Fleetcity)) = s.key""",
     "idle": "SELECT * FROM latest WHERE Branch <> 'TBD'",
     "statistics": """
 SELECT strftime(d, '%Y-%m') AS Month, 'GLOBAL' AS AggLevel, 'ALL' AS Branch, count(*) AS NumTrailers,
@@ -473,6 +480,16 @@ def _audit() -> str:
     return " UNION ALL ".join(parts)
 
 
+# Named periods, their labels and first days at AS_OF.
+_PERIODS = (
+    ("LTM", "Last 12 Months", "2000-11-15"),
+    ("YTD", "Year to Date", "2000-12-15"),
+    ("LQA", "Last Quarter (Annualized)", "2000-11-15"),
+    ("L3M", "Last 3 Months", "2001-08-15"),
+    ("L6M", "Last 6 Months", "2001-05-15"),
+)
+
+
 def _select_statements() -> dict[str, str]:
     pivot = ", ".join(
         f"CAST(sum(CASE WHEN usage_category = '{u}' AND Status = 'LEASED' THEN 1 ELSE 0 END) AS DOUBLE) / "
@@ -534,6 +551,17 @@ def _select_statements() -> dict[str, str]:
         "bucket_statistics_incremental": "SELECT * FROM statistics",
         "idle_summary_stored": _idle_summary("idle"),
         "idle_by_duration_stored": _idle_by("IdleDurationBucket", "idle_bucket"),
+        "utilization_by_branch_collated": f"SELECT Fleetcity AS branch, {_COUNTS}, {_FLEET_RATIO} AS utilization FROM one_spelling "
+        "WHERE Status IN ('AVAILABLE', 'LEASED') AND Fleetcity IS NOT NULL AND trim(Fleetcity) <> '' AND Fleetcity <> 'TBD' GROUP BY 1",
+        "length_labelled": "SELECT length_bucket, length_bucket || '''' AS name, "
+        f"{_FLEET_RATIO} AS utilization, count(*) AS total, {_LEASED} AS leased FROM fleet GROUP BY length_bucket",
+        "idle_duration_options": "SELECT replace(IdleDurationBucket, ' Months', '') AS value, IdleDurationBucket AS label, "
+        "count(*) AS unit_count FROM idle GROUP BY IdleDurationBucket",
+        "revenue_by_period": " UNION ALL ".join(
+            f"SELECT '{period}' AS period, '{label}' AS label, DATE '{first}' AS first_day, count(*) AS invoice_count, "
+            f"sum(BilledMonthlyRate) AS total_billed FROM priced WHERE BillingStopDate >= DATE '{first}'"
+            for period, label, first in _PERIODS
+        ),
         "revenue_details": f"SELECT {_REVENUE_COLUMNS}, InvoiceNo, LeaseNumber FROM revenue",
         "global_utilization": _global(),
         "global_utilization_of_branch": _global(_IN_BRANCH),
@@ -816,8 +844,15 @@ def _derived(of: dict[str, str]) -> dict[str, str]:
     told = "SELECT 'all' AS selection, '{0}-2001-11-15.csv' AS file, count(*) AS rows, 'ok' AS status, count(*) AS rows_read FROM ({1}) r"
     counts = [told.format(file, of[f"report_{report}"]) for report, file in files.items()]
     counts.append("SELECT 'none', 'utilization-report-2001-11-15.csv', 0, 'no data', 0")
-    stored = ("idle_trend", "utilization_trend", "latest_two_months")
-    return {"export_status": " UNION ALL ".join(counts)} | {f"{name}_stored": of[name] for name in stored}
+    other = {
+        "idle_trend_stored": "idle_trend",
+        "utilization_trend_stored": "utilization_trend",
+        "latest_two_months_stored": "latest_two_months",
+        "idle_history_bucketed": "idle_history",
+        "revenue_details_bucketed": "revenue_details",
+        "locations_by_state_collated": "locations_by_state",
+    }
+    return {"export_status": " UNION ALL ".join(counts)} | {name: of[known] for name, known in other.items()}
 
 
 def statements() -> dict[str, str]:

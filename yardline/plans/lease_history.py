@@ -63,13 +63,24 @@ def lease_states(leases: DataFrame, *, as_of: dt.datetime, settled: DataFrame |
     )
 
 
-def _fleet_span(as_of: dt.datetime, from_month: str | None) -> tuple[Column, Column]:
+def _month_number(month: str | Column) -> Column:
+    return F.lit(moments.index_of_key(month)) if isinstance(month, str) else month
+
+
+def newest_fleet_month(trailers: DataFrame, *, as_of: dt.datetime) -> Column:
+    """Index of the newest month in which any unit belongs to the fleet, as a scalar subquery."""
+    first, last = _fleet_span(as_of, None)
+    bought = trailers.where(F.col("PurchaseDate") <= F.lit(as_of.date()))
+    return bought.where(first <= last).agg(F.max(last)).scalar()
+
+
+def _fleet_span(as_of: dt.datetime, from_month: str | Column | None) -> tuple[Column, Column]:
     """First (not before ``from_month``) and last month index in which a unit belongs to the fleet."""
     today, current = F.lit(as_of.date()), moments.index_of_key(moments.month_key(as_of))
     bought, sold = F.col("PurchaseDate"), F.col("SoldDate")
     first = moments.month_index(bought)
     if from_month is not None:
-        first = F.greatest(first, F.lit(moments.index_of_key(from_month)))
+        first = F.greatest(first, _month_number(from_month))
     last = F.when(sold <= today, moments.month_index(sold) - 1).otherwise(current)
     return first, last
 
@@ -78,7 +89,7 @@ def _states(
     units: DataFrame,
     leases: DataFrame,
     as_of: dt.datetime,
-    from_month: str | None,
+    from_month: str | Column | None,
     keep: Sequence[str],
     settled: DataFrame | None = None,
 ) -> DataFrame:
@@ -277,15 +288,21 @@ def bucket_statistics(
     leases: DataFrame,
     *,
     as_of: dt.datetime,
-    from_month: str | None = None,
+    from_month: str | Column | None = None,
     settled: DataFrame | None = None,
 ) -> DataFrame:
     """Fleet and rented units per month, for all branches and for each branch.
 
+    With ``from_month`` (a key, or an index as a column) only months from there
+    on, and only leases that have not ended before it are looked at.
+
     Units come and go, and are rented and free again, in few months: those
     changes are summed per month and branch, and running sums over that small
     result give the counts of every month.
     """
+    if from_month is not None:
+        since = moments.month_start(_month_number(from_month))
+        leases = leases.where(F.col("DateOff").isNull() | (F.col("DateOff") > since))
     current = moments.index_of_key(moments.month_key(as_of))
     end = F.col("latest_end")
     rented_to = F.when(end > F.lit(as_of.date()), current).otherwise(moments.month_index(end) - 1)

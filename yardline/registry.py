@@ -10,17 +10,18 @@ import datetime as dt
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yardline.functions import buckets, moments
 from yardline.operators import audit, branches, idle, kpis, locations, reports, revenue, utilization
-from yardline.plans import lease_history, nightly, store
+from yardline.plans import colocated, lease_history, nightly, store
 from yardline.plans.revenue_details import revenue_details
 from yardline.plans.units import enriched_trailers
-from yardline.sources import csv_sink, testdata
+from yardline.sources import collation, csv_sink, testdata
 from yardline.sources.csv_sink import date_cells
 from yardline.sources.folders import work_folder
+from yardline.sources.inputs import Inputs
 from yardline.sources.tables import run_query
 from yardline.sources.testdata import AS_OF, FIRST_NIGHT
 
@@ -103,15 +104,33 @@ class Fleet:
         store.replace_idle_months(self.idle, path, [moments.month_key(AS_OF)])
         return path
 
+    @cached_property
+    def one_spelling(self) -> Inputs:
+        """Inputs with mixed case and trailing blanks in their keys, brought to one spelling."""
+        return collation.collate_keys(testdata.misspelt(testdata.load(self.spark, self.sf_dir)))
+
+    @cached_property
+    def bucketed(self) -> Inputs:
+        """The inputs, written to and read from buckets by unit."""
+        inputs, folder = testdata.load(self.spark, self.sf_dir), work_folder(self.spark, "buckets")
+        prefix = folder.rsplit("/", 1)[-1].replace("-", "_")
+        colocated.save(inputs, folder, prefix, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return colocated.load(self.spark, inputs, prefix)
+
     @cached_property
     def stored_statistics(self) -> str:
         path = work_folder(self.spark, "statistics")
         store.save_bucket_statistics(self.statistics(), path, rebuild=True)
         return path
 
-    def statistics(self, from_month: str | None = None) -> DataFrame:
+    def statistics(self, from_month: str | Column | None = None) -> DataFrame:
         return lease_history.bucket_statistics(self.trailers, self.leases, from_month=from_month, **NOW)
 
+    @cached_property
+    def newest_statistics(self) -> DataFrame:
+        """Statistics of the newest month that has units and of the one before."""
+        return self.statistics(lease_history.newest_fleet_month(self.trailers, **NOW) - 1)
+
     @cached_property
     def trend_statistics(self) -> DataFrame:
         """Statistics of the months the yearly trend shows."""
@@ -128,6 +147,7 @@ def _audit(fleet: Fleet) -> DataFrame:
         {
             "trailers": fleet.trailers,
             "leases": fleet.leases,
+            "invoices": fleet.invoices,
             "invoice_lines": fleet.lines,
             "asset_statuses": fleet.gps,
             "card_rates": fleet.rates,
@@ -149,6 +169,18 @@ def _leased_sql(fleet: Fleet) -> DataFrame:
     return run_query(fleet.spark, text, params, leases=fleet.leases, trailers=fleet.trailers)
 
 
+def _bucketed_history(f: Fleet) -> DataFrame:
+    return lease_history.idle_history(f.bucketed.trailers, f.bucketed.leases, f.rates, **NOW)
+
+
+def _bucketed_revenue(f: Fleet) -> DataFrame:
+    return date_cells(revenue_details(f.bucketed.invoice_lines, f.bucketed.trailers, f.rates, **NOW))
+
+
+def _one_spelling_states(f: Fleet) -> DataFrame:
+    return locations.locations_by_state(f.one_spelling.trailers, f.one_spelling.leases, f.one_spelling.asset_statuses)
+
+
 def _reports(f: Fleet) -> dict[str, DataFrame]:
     return {
         "utilization": reports.report_utilization(f.trailers, **NOW),
@@ -206,7 +238,9 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "idle_history": lambda f: f.history,
     "bucket_statistics": lambda f: f.statistics(),
     "revenue_details": lambda f: date_cells(f.revenue),
-    # Stored views
+    # Stored tables and views
+    "idle_history_bucketed": _bucketed_history,
+    "revenue_details_bucketed": _bucketed_revenue,
     "idle_history_incremental": lambda f: store.load_idle_history(f.spark, nightly.idle_path(f.nightly)),
     "bucket_statistics_incremental": lambda f: store.load_bucket_statistics(f.spark, nightly.statistics_path(f.nightly)),
     "idle_summary_stored": lambda f: idle.idle_summary(store.load_latest_idle_month(f.spark, f.stored_idle)),
@@ -237,6 +271,8 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "utilization_display": lambda f: utilization.utilization_display(f.trailers),
     "utilization_pivot": lambda f: utilization.utilization_pivot(f.trailers, **NOW),
     "utilization_by_branch_type_age": lambda f: utilization.utilization_by_branch_type_age(f.trailers, **NOW),
+    "utilization_by_branch_collated": lambda f: utilization.utilization_by_branch(f.one_spelling.trailers),
+    "length_labelled": lambda f: utilization.length_labelled(f.trailers, **NOW),
     "usage_labelled": lambda f: utilization.usage_labelled(f.trailers, **NOW),
     "type_chart": lambda f: utilization.type_chart(f.trailers, **NOW),
     "fleet_combined": lambda f: utilization.fleet_combined(f.trailers, **NOW),
@@ -266,6 +302,7 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "idle_summary_all_branches": lambda f: idle.idle_summary(f.idle, exclude_placeholder=False),
     "idle_status": lambda f: idle.idle_status(f.idle),
     "idle_by_duration": lambda f: idle.idle_by_duration(f.idle),
+    "idle_duration_options": lambda f: idle.idle_duration_options(f.idle),
     "idle_by_duration_coarse": lambda f: idle.idle_by_duration(
         lease_history.idle_snapshot(f.trailers, f.leases, f.rates, edges=COARSE_IDLE_EDGES, **NOW),
         edges=COARSE_IDLE_EDGES,
@@ -294,6 +331,7 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "revenue_summary": lambda f: _rounded(revenue.revenue_summary(f.revenue)),
     "revenue_summary_of_branch": lambda f: _rounded(revenue.revenue_summary(f.revenue, branch=BRANCH)),
     "revenue_summary_of_period": lambda f: _rounded(revenue.revenue_summary(f.revenue, period="L6M", **NOW)),
+    "revenue_by_period": lambda f: revenue.revenue_by_period(f.revenue, **NOW),
     "invoice_totals": lambda f: revenue.invoice_totals(f.headers, f.lines),
     "invoice_reconciliation": lambda f: revenue.invoice_reconciliation(f.invoices, f.lines),
     "invoice_reconciliation_summary": lambda f: revenue.reconciliation_summary(
@@ -336,15 +374,16 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "stale_gps_of_branch": lambda f: locations.stale_gps(*f.positions, branch=BRANCH, **NOW),
     "location_bounds": lambda f: locations.location_bounds(*f.positions, **NOW),
     "locations_by_state": lambda f: locations.locations_by_state(*f.positions),
+    "locations_by_state_collated": _one_spelling_states,
     "state_share": lambda f: locations.state_share(*f.positions, **NOW),
     "location_cards": lambda f: locations.location_cards(*f.positions, **NOW),
     "stale_gps": lambda f: locations.stale_gps(*f.positions, **NOW),
     "stale_gps_top": lambda f: locations.stale_gps_table(*f.positions, **NOW),
     "away_from_branch": lambda f: locations.away_from_branch(*f.positions),
     # Combined key figures
-    "fleet_kpis": lambda f: kpis.fleet_kpis(f.statistics(), f.trailers, f.leases, **NOW),
+    "fleet_kpis": lambda f: kpis.fleet_kpis(f.newest_statistics, f.trailers, f.leases, **NOW),
     "fleet_kpis_of_branch": lambda f: kpis.fleet_kpis(
-        f.statistics(), f.trailers, f.leases, branch=BRANCH, period="L3M", **NOW
+        f.newest_statistics, f.trailers, f.leases, branch=BRANCH, period="L3M", **NOW
     ),
     "alerts": lambda f: _rounded(kpis.alerts(f.trailers, f.revenue), "value"),
     "overview_kpis": lambda f: _rounded(kpis.overview_kpis(*f.positions, f.idle, f.revenue, **NOW)),

@@ -6,11 +6,13 @@ cents so that other engines get the same values.
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from yardline.plans.sizing import broadcast_if_small
 from yardline.sources.inputs import Inputs
 from yardline.sources.tables import read_parquet
 
@@ -145,16 +147,19 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asset_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest event per asset; as many assets as units.
 
-    ``max_by`` combines on the map side, so an asset that sends a third of all
-    events still reaches its reducer as one row per map task.
+    The newest time and event number of an asset are one decimal, which a hash
+    aggregate keeps without a sort, also where an asset sends a third of all
+    events. The newest rows, at most one per unit, then pick their events.
     """
     events = read_parquet(spark, f"{sf_dir}/events.parquet", _EVENTS)
-    units = read_parquet(spark, f"{sf_dir}/part.parquet", _PART).agg(F.count(F.lit(1))).scalar()
-    newest = F.max_by(F.struct("ts", "user_id", "event_type", "value"), F.struct("ts", "event_id"))
+    part = read_parquet(spark, f"{sf_dir}/part.parquet", _PART)
+    units = part.agg(F.count(F.lit(1))).scalar()
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").cast("decimal(18,0)")
+    place = micros * F.lit(f"1{0:019d}").cast("decimal(20,0)") + F.col("event_id").cast("decimal(19,0)")
+    numbered = events.withColumn("asset_no", F.col("event_id") % units).withColumn("place", place)
+    newest = numbered.groupBy("asset_no").agg(F.max("place").alias("place"))
     return (
-        events.groupBy((F.col("event_id") % units).alias("asset_no"))
-        .agg(newest.alias("e"))
-        .select("asset_no", "e.*")
+        numbered.join(broadcast_if_small(newest, part), ["asset_no", "place"])
         .selectExpr(
             f"{_unit('asset_no')} AS AssetName",
             "ts - INTERVAL '8112' DAY AS LastUpdate",
@@ -183,6 +188,24 @@ def card_rates(spark: SparkSession) -> DataFrame:
     )
 
 
+def misspelt(inputs: Inputs) -> Inputs:
+    """The inputs with texts as they come from a database that ignores case and trailing spaces.
+
+    Of the units, every third writes its branch in capitals and every third with
+    blanks behind it; leases write every second unit in small letters, GPS rows
+    all with a blank.
+    """
+    number = F.substring("Unit", F.lit(2), F.length("Unit")).cast("bigint")
+    branch = F.when(number % 3 == 0, F.upper("Fleetcity")).when(number % 3 == 1, F.concat("Fleetcity", F.lit("  ")))
+    unit = F.when(F.col("LeaseID") % 2 == 0, F.lower("Unit")).otherwise(F.col("Unit"))
+    return dataclasses.replace(
+        inputs,
+        trailers=inputs.trailers.withColumn("Fleetcity", branch.otherwise(F.col("Fleetcity"))),
+        leases=inputs.leases.withColumn("Unit", unit),
+        asset_statuses=inputs.asset_statuses.withColumn("AssetName", F.concat("AssetName", F.lit(" "))),
+    )
+
+
 def load(spark: SparkSession, sf_dir: str) -> Inputs:
     return Inputs(
         trailers=trailers(spark, sf_dir),
