@@ -33,6 +33,8 @@ from yardline.llm.storage import partitions
 
 #: Runs that are gathered before they are sent.
 BATCH_RUNS = 1 << 20
+#: Text of a bucket of documents, about; there are so many buckets as that takes, and two a shuffle partition at least.
+BUCKET_BYTES = 64 << 20
 #: Symbols that count in the order of names: grams this many times commoner than the mean come later.
 COMMON = 4
 LAST = 2**63 - 1
@@ -205,7 +207,8 @@ def covered(docs: DataFrame, symbols: Symbols, settle: Callable, find: Callable)
     and end of covered symbols in them).
     """
     spark = docs.sparkSession
-    buckets = 2 * partitions(spark) | 1
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * partitions(spark), held // BUCKET_BYTES) | 1
     rows = keyed(docs, buckets)
     runs = names_met(rows, symbols, buckets)
 
