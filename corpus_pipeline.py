@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yardline.llm import decontamination, jaccard, mixing, pii, toxicity
-from yardline.llm.storage import stored
+from yardline.llm.storage import remove, stored_at, work_tables
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn over ``documents``. A stage's work tables, and what it read, go once its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with work_tables(spark):
+            docs, path = stored_at(stage(spark, docs, sf_dir))
+        remove(spark, *before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
