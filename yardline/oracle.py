@@ -643,6 +643,18 @@ LEFT JOIN (SELECT Branch, count(*) AS n FROM latest GROUP BY Branch) i ON b.bran
         "idle_by_usage": _idle_by("UsageCategory", "usage_category"),
         "idle_trend": f"SELECT MonthStr AS month, count(*) AS unit_count, {_MONTHS}, {_LOST}, "
         f"{_CRITICAL} AS critical_count FROM idle_all GROUP BY MonthStr",
+        "idle_summary_filtered": _idle_summary("idle", "TypeBucket = 'DRY_VAN' AND UsageCategory = 'CART_1'"),
+        "idle_by_branch_filtered": _idle_by(
+            "Branch",
+            "branch",
+            _BY_BRANCH_MORE,
+            "(SELECT * FROM idle WHERE TypeBucket = 'DRY_VAN' AND IdleDurationBucket = '0-6 Months') i",
+        ),
+        "idle_by_duration_filtered": _idle_by(
+            "IdleDurationBucket", "idle_bucket", "", f"(SELECT * FROM idle WHERE Branch = '{BRANCH}' AND UsageCategory = 'STORAGE') i"
+        ),
+        "idle_matrix_filtered": "SELECT Branch AS branch, IdleDurationBucket AS idle_bucket, count(*) AS unit_count, "
+        f"{_COST} FROM idle WHERE Branch = '{BRANCH}' AND IdleDurationBucket = '0-6 Months' GROUP BY Branch, IdleDurationBucket",
         "idle_matrix": "SELECT Branch AS branch, IdleDurationBucket AS idle_bucket, count(*) AS unit_count, "
         f"{_COST} FROM idle GROUP BY Branch, IdleDurationBucket",
         "idle_breakdown": _breakdown(),

@@ -315,6 +315,10 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "idle_summary_latest_month": lambda f: idle.idle_summary(f.latest),
     "idle_by_duration_latest_month": lambda f: idle.idle_by_duration(f.latest),
     "report_idle_latest_month": lambda f: reports.report_idle(f.latest),
+    "idle_summary_filtered": lambda f: idle.idle_summary(f.idle, type_bucket="DRY_VAN", usage_category="CART_1"),
+    "idle_by_branch_filtered": lambda f: idle.idle_by_branch(f.idle, type_bucket="DRY_VAN", idle_bucket="0-6"),
+    "idle_by_duration_filtered": lambda f: idle.idle_by_duration(f.idle, branch=BRANCH, usage_category="STORAGE"),
+    "idle_matrix_filtered": lambda f: idle.idle_matrix(f.idle, branch=BRANCH, idle_bucket="0-6 Months"),
     "idle_matrix": lambda f: idle.idle_matrix(f.idle),
     "idle_breakdown": lambda f: idle.idle_breakdown(f.idle),
     "idle_breakdown_top": lambda f: idle.idle_breakdown(f.idle, limit=idle.TOP_TYPES),
