@@ -65,7 +65,7 @@ def _rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
         sketch = sent.value
         for batch in batches:
             data, offs = tc.utf8(batch.column(1))
-            for first, end, part, part_offs in tc.slices(data, offs):
+            for first, end, part, part_offs in tc.slices(data, offs, tc.SMALL_SLICE):
                 n, h1, h2, prefixes, rare = [], [], [], [], []
                 for own in shingle_sets(part, part_offs, words):
                     n.append(len(own))
@@ -99,7 +99,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             batch = batch.filter(pa.array(sent.value[bucket(batch.column(2).to_numpy().view(np.uint64))]))
             data, offs = tc.utf8(batch.column(1))
-            for first, end, part, part_offs in tc.slices(data, offs):
+            for first, end, part, part_offs in tc.slices(data, offs, tc.SMALL_SLICE):
                 sets = [s.view(np.int64) for s in shingle_sets(part, part_offs, words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sets, pa.list_(pa.int64()))], ["doc", "grams"])
 

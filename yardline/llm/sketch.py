@@ -48,12 +48,12 @@ def count_sketch(texts: DataFrame, items: Callable[[np.ndarray, np.ndarray], np.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << BITS, np.int64)
+        sums = np.zeros(1 << BITS, np.uint32)
         for batch in batches:
             data, offs = tc.utf8(batch.column(0))
-            for _, _, part, part_offs in tc.slices(data, offs):
-                sums += np.bincount(bucket(items(part, part_offs)), minlength=len(sums))
-        blocks = np.minimum(sums, 2**32 - 1).astype(np.uint32).reshape(-1, _BLOCK)
+            for _, _, part, part_offs in tc.slices(data, offs, tc.SMALL_SLICE):
+                np.add.at(sums, bucket(items(part, part_offs)), np.uint32(1))
+        blocks = sums.reshape(-1, _BLOCK)
         full = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([_planes(blocks[i]) for i in full], pa.binary())], ["block", "counts"])
 
