@@ -214,3 +214,25 @@ def test_scores_equal_plain_bayes(spark):
     for r in got:
         lang, score = brute_language(train, texts[r["doc_id"]])
         assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-3
+
+
+def test_telling_words_are_learned_though_others_cover_their_documents(spark):
+    rng = random.Random(7)
+    prose = lambda n: [rng.choice(["river", "stone", "field", "cloud"]) + str(rng.randrange(4000)) for _ in range(n)]
+    rows, labels = [], []
+    for i in range(300):
+        own, toxic = prose(60), i % 3 == 0
+        if toxic:
+            own[10] = "vile"
+            if i % 2:
+                own[30] = "nasty"  # always beside the other
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(toxic)))
+    copied = prose(80) + ["vile"]
+    for i in range(300, 330):  # near copies of one toxic text: its other words tell nothing
+        rows.append((i, " ".join(copied[:i % 40] + [f"edit{i}"] + copied[i % 40 :])))
+        labels.append((i, 1))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    asked = [(1, " ".join([*prose(40), "nasty", *prose(20)])), (2, " ".join([*prose(20), *copied[:12], *prose(20)])), (3, " ".join(prose(50)))]
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert scores[1] >= 0.5 and scores[2] < 0.5 and scores[3] < 0.5

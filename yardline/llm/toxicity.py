@@ -36,11 +36,15 @@ PREFIXES = (4, 5, 6)
 WEIGHT_BITS = 18
 #: Words in a chain of the training sample, and in a piece of a text that is scored; the odds pass from piece to piece.
 CHAIN = 64
-#: The training sample takes so many chains with a labelled token of a document, and so many others.
+#: The training sample takes so many chains with a telling word of a document, and of clean ones so many others.
 CHAINS_EACH = 2
 #: Words and beginnings that may explain toxic documents of the training sample: the commonest so many.
 MOST_KEYS = 5000
 LEAST_SHARE, LEAST_PRECISION = 0.004, 0.97
+#: Log likelihood ratio from which a key explains toxic documents whether or not another key covers them.
+SURPRISE = 18.0
+#: Near copies of a text are one where that is reckoned: texts that share so much of a signature of so many hashes.
+SIGNATURE, COPY_SHARE = 32, 0.5
 ROUNDS, RATE, DECAY = 40, 0.5, 1e-4
 
 
@@ -270,8 +274,11 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Mode
     bad, clean = sizes.get(1, 0), max(1, sizes.get(0, 0))
     sums = _map(sample, count, "key long, bad long, clean long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"))
     likely = sums.where(F.col("bad") >= max(3, LEAST_SHARE * bad)).where(F.col("bad") / bad >= LEAST_PRECISION * (F.col("bad") / bad + F.col("clean") / clean))
-    candidates = np.array([r[0] for r in likely.orderBy(F.desc("bad"), "clean", "key").limit(MOST_KEYS).collect()], np.int64).view(np.uint64)
-    candidates = np.sort(candidates)
+    found = likely.orderBy(F.desc("bad"), "clean", "key").limit(MOST_KEYS).collect()
+    candidates = np.array([r["key"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(candidates)
+    candidates = candidates[order]
+    clean_of = np.array([r["clean"] for r in found], np.int64)[order]
 
     def present(keys: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(candidates, keys), max(0, len(candidates) - 1))
@@ -280,12 +287,20 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Mode
     def cover(data, offs, part):
         keys, _, _, firsts = _keys(tc.LOWER[data], offs)
         at = present(keys)
-        found = [np.unique(at[firsts[i] : firsts[i + 1]]) for i in range(len(offs) - 1)]
-        return pa.RecordBatch.from_arrays([pa.array([x[x >= 0] for x in found], pa.list_(pa.int64()))], ["found"])
-
-    having = [set(r[0]) for r in _map(sample.where("toxic = 1"), cover, "found array<long>").collect()]
+        words = [slice(firsts[i], firsts[i + 1]) for i in range(len(offs) - 1)]
+        found = [np.unique(at[own]) for own in words]
+        marks = [_signature(keys[own, 0]).view(np.int64) for own in words]
+        columns = [pa.array([x[x >= 0] for x in found], pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["found", "marks"])
+
+    rows = _map(sample.where("toxic = 1"), cover, "found array<long>, marks array<long>").collect()
+    having = [set(r["found"]) for r in rows]
     seeds = _cover(having, max(3, LEAST_SHARE * bad))
-    wanted = np.zeros(len(candidates) + 1, bool)
+    texts = _copies(np.array([r["marks"] for r in rows], np.int64).reshape(-1, SIGNATURE))
+    seen = {(int(t), k) for t, own in zip(texts, having) for k in own}
+    apart = np.bincount([k for _, k in seen], minlength=len(candidates))
+    strong = _surprise(np.column_stack([apart, clean_of]).astype(float), len(set(texts.tolist())), clean) >= SURPRISE
+    wanted = np.append(strong, False)
     wanted[list(seeds)] = True
 
     def chains(data, offs, part):
@@ -295,10 +310,11 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Mode
         start, length, text = _chains(firsts, CHAIN)
         at = np.minimum(start[:, None] + np.arange(CHAIN), max(0, len(keys) - 1))
         inside = np.arange(CHAIN) < length[:, None]
-        own = marked[at] & inside & toxic[text][:, None] if len(keys) else np.zeros_like(inside)
+        held = marked[at] & inside if len(keys) else np.zeros_like(inside)
+        own, kind = held & toxic[text][:, None], held.any(axis=1)
         chance = tc.mix(keys[start, 0] + (start - firsts[:-1][text]).astype(np.uint64))  # the same wherever the text stands
-        order = np.lexsort([chance, own.any(axis=1), text])
-        group = text[order] * 2 + own.any(axis=1)[order]
+        order = np.lexsort([chance, kind, text])
+        group = text[order] * 2 + kind[order]
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
         rank = np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group))))
         take = order[rank < CHAINS_EACH]
@@ -330,6 +346,33 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Mode
     return model
 
 
+def _signature(words: np.ndarray) -> np.ndarray:
+    """Least hashes of the words of a text under several hash functions; texts that share most of them are copies."""
+    salts = tc.mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64))
+    return np.array([tc.mix(words ^ s).min() if len(words) else s for s in salts], np.uint64)
+
+
+def _copies(marks: np.ndarray) -> np.ndarray:
+    """The least place of a near copy of each text, by their signatures."""
+    least = np.arange(len(marks))
+    for i in range(len(marks)):
+        near = (marks[i + 1 :] == marks[i]).mean(axis=1) >= COPY_SHARE
+        least[i + 1 :][near] = np.minimum(least[i + 1 :][near], least[i])
+    return least
+
+
+def _surprise(counts: np.ndarray, bad: int, clean: int) -> np.ndarray:
+    """How much more likely the counts (toxic and clean documents with a key) are if the key tells the classes apart: the log of the ratio."""
+    out = np.zeros(len(counts))
+    if len(counts):
+        share = counts.sum(axis=1) / (bad + clean)
+        for held, of in ((counts[:, 0], bad), (counts[:, 1], clean)):
+            for n, p in ((held, share), (of - held, 1 - share)):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    out += np.where(n > 0, n * np.log(n / (of * p)), 0.0)
+    return out
+
+
 def _cover(having: list[set[int]], least: float) -> set[int]:
     """Greedy cover: the key in most documents not yet covered, while it is in ``least`` of them."""
     chosen: set[int] = set()
