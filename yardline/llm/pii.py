@@ -2,7 +2,9 @@
 
 Base identifiers are found in the text as it is. Transducers then rewrite a
 text that may hold disguises: look-alike characters to ASCII, invisible ones to
-nothing, spelled digits to digits, "at" and "dot" to signs. Each rewritten
+nothing, spelled digits to digits, words for "at" and "dot" to signs (in four
+languages; without brackets told by a machine of name, at, label, dot), blanks
+between the single characters of an address to nothing. Each rewritten
 character knows the source characters it stands for, so identifiers found in
 the rewritten text map back to spans of the source. These are added where they
 touch no base span. Offsets count code points; ends are exclusive.
@@ -27,7 +29,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = string.ascii_letters + string.digits + "._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -101,18 +103,34 @@ _SINGLE |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
 _SINGLE |= {chr(c): str(unicodedata.decimal(chr(c))) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Nd"}
 _ODD = re.compile(f"[{re.escape(''.join(_SINGLE))}]")
 
-# Names of the digits, and of the signs in addresses.
+# Names of the digits, and of the signs in addresses, in English, German, French and Spanish.
 _DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_NAME = "|".join(_DIGITS)
+_DIGITS |= {"null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"}
+_DIGITS |= {"zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9"}
+_DIGITS |= {"cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9"}
+_PLUS = "plus|más|mas"
+_AT = "at|ät|klammeraffe|arobase|arobas|arroba"
+_DOT = "dot|punkt|point|punto"
+#: Endings of domains that a plain "at" may stand before, and words before it that name nobody.
+_ENDINGS = {"com", "org", "net", "edu", "gov", "info", "io", "eu", "de", "at", "ch", "fr", "be", "es", "mx", "uk", "us"}
+_NOBODY = {"is", "are", "was", "were", "be", "look", "looked", "looking", "find", "found", "me", "us", "them", "it", "him", "her", "you", "here", "or", "and", "available", "page", "site"}
+
+_NAME = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _UNIT = rf"(?:{_NAME}|[0-9]+)"
 #: Three digits or more of which some are spelled.
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:\+|plus[ -]?)?{_UNIT}(?:[ .,()-]{{1,2}}{_UNIT}){{2,}}(?![A-Za-z0-9])", re.I)
-_SPELLED_HINT = re.compile(rf"(?:{'|'.join(n[-2:] for n in _DIGITS if n != 'oh')}|oh)[ .,()-]{{1,2}}{_UNIT}(?![a-z])")
-_SPELLED_PART = re.compile(rf"plus[ -]?|{_NAME}|[ ,]+", re.I)
-_BRACKETED = re.compile(r"[\[({<]{1,2}[ \t]*(at|dot|@|\.)[ \t]*[\])}>]{1,2}[ \t]*", re.I)
-_PLAIN = re.compile(r"(?<=[A-Za-z0-9])[ \t]+(?:at|@)[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]+(?:dot|\.)[ \t]+|\.)[A-Za-z0-9-])", re.I)
-_DOTTED_NAME = re.compile(r"[A-Za-z0-9-]+[ \t]+dot[ \t]+[A-Za-z0-9-]", re.I)
-_DOT = re.compile(r"(?<![ \t])[ \t]+dot[ \t]+", re.I)
+_SPELLED = re.compile(rf"(?<!\w)(?:\+|(?:{_PLUS})[ -]?)?{_UNIT}(?:[ .,()-]{{1,2}}{_UNIT}){{2,}}(?!\w)", re.I)
+_SPELLED_HINT = re.compile(rf"(?<!\w)(?:(?:{_NAME})[ .,()-]{{1,2}}{_UNIT}|[0-9]+[ .,()-]{{1,2}}(?:{_NAME}))(?!\w)")
+_SPELLED_PART = re.compile(rf"(?:{_PLUS})[ -]?|{_NAME}|[ ,]+", re.I)
+_BRACKETED = re.compile(rf"[\[({{<]{{1,2}}[ \t]*({_AT}|{_DOT}|@|\.)[ \t]*[\])}}>]{{1,2}}[ \t]*", re.I)
+_SIGNS = re.compile(rf"(?<!\w)(?:{_AT}|{_DOT})(?!\w)|_(?:{_AT})_|[ \t]@", re.I)
+#: The signs of the address machine: between blanks or underscores, a dot also as it is.
+_PLAIN_AT = re.compile(rf"(?<![ \t])[ \t]+(?:{_AT}|@)[ \t]+|_(?:{_AT})_", re.I)
+_PLAIN_DOT = re.compile(rf"[ \t]{{1,4}}(?:{_DOT}|\.)[ \t]{{1,4}}|_(?:{_DOT})_|\.", re.I)
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+_NUMBERS = re.compile(rf"(?<![0-9A-Za-z])[0-9]{{1,3}}(?:[ \t]{{1,4}}(?:{_DOT})[ \t]{{1,4}}[0-9]{{1,3}}){{3}}(?![0-9A-Za-z])", re.I)
+_WORD_DOT = re.compile(rf"(?<![ \t])[ \t]+(?:{_DOT})[ \t]+", re.I)
+#: Single characters with blanks between them, as many as an identifier has at least.
+_SPACED = re.compile(r"(?<![^\s])(?:[A-Za-z0-9@._%+-][ \t]){6,}[A-Za-z0-9@._%+-](?![A-Za-z0-9@_%+-])")
 
 
 class _Rewritten:
@@ -139,20 +157,60 @@ class _Rewritten:
         self.text, self.froms, self.tos = "".join(text), froms, tos
 
 
+def _address_edits(text: str) -> list[tuple[int, int, str]]:
+    """Signs of addresses without brackets, told by a machine: name, at, label, then dots and labels.
+
+    A word for "at" is taken for the sign where a name stands before it and a
+    spelled dot follows in the domain. Before a domain written as usual it is
+    so only if the domain ends like one and the name is no common word.
+    """
+    edits, free = [], 0
+    for at in _PLAIN_AT.finditer(text):
+        if at.start() < free or not at.start() or text[at.start() - 1] not in _LOCAL:
+            continue
+        state, own, spelled, here = "label", [(at.start(), at.end(), "@")], at[0].startswith("_") or "@" in at[0], at.end()
+        label = None
+        while True:
+            m = (_LABEL if state == "label" else _PLAIN_DOT).match(text, here)
+            if not m:
+                break
+            if state == "label":
+                state, here, label = "dot", m.end(), m[0]
+            else:
+                if not _LABEL.match(text, m.end()):
+                    break
+                if m[0] != ".":
+                    own.append((m.start(), m.end(), "."))
+                    spelled = spelled or m[0].strip(" \t_") != "."
+                state, here = "label", m.end()
+        dots = here > at.end() and state == "dot" and text.find(".", at.end(), here) >= 0 or len(own) > 1
+        if not dots:
+            continue
+        name = text[max(0, at.start() - 24) : at.start()].rsplit(None, 1)[-1].lower()
+        if spelled or label.lower() in _ENDINGS and name.strip(".,;:") not in _NOBODY:
+            edits += own
+            free = here
+    return edits
+
+
 def _sign_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _BRACKETED.finditer(text):
         start = m.start()
         while start and text[start - 1] in " \t":
             start -= 1
-        edits.append((start, m.end(), "@" if m[1].lower() in ("at", "@") else "."))
-    spelled_dot = bool(_DOT.search(text))
-    # A plain "at" is taken for the sign only before a spelled-out dot: "at" is a common word.
-    if spelled_dot:
-        for m in _PLAIN.finditer(text):
-            if _DOTTED_NAME.match(text, m.end()):
-                edits.append((m.start(), m.end(), "@"))
-        edits += [(m.start(), m.end(), ".") for m in _DOT.finditer(text)]
+        is_at = m[1].lower() in _AT.split("|") or m[1] == "@"
+        edits.append((start, m.end(), "@" if is_at else "."))
+    edits += _address_edits(text)
+    for m in _NUMBERS.finditer(text):
+        edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _WORD_DOT.finditer(m[0])]
+    ats = sorted(end for _, end, new in edits if new == "@")
+    if ats:
+        # Behind a bracketed "at" the dots may be plain words.
+        for m in _WORD_DOT.finditer(text):
+            i = bisect_right(ats, m.start())
+            if i and m.start() - ats[i - 1] <= 64:
+                edits.append((m.start(), m.end(), "."))
     edits.sort()
     out, end = [], 0
     for e in edits:
@@ -165,23 +223,26 @@ def _sign_edits(text: str) -> list[tuple[int, int, str]]:
 def rewrite(text: str) -> _Rewritten | None:
     """The text without disguises, or None where there is nothing to rewrite."""
     odd = not text.isascii() and not _SINGLE.keys().isdisjoint(set(text))
-    lower = text.lower()
-    signs = "dot" in lower and _DOT.search(text) or any(c in text for c in "[({<") and _BRACKETED.search(text)
-    spelled = any(n in lower for n in _DIGITS) and _SPELLED_HINT.search(lower)
-    if not (odd or signs or spelled):
+    signs = _SIGNS.search(text) or any(c in text for c in "[({<") and _BRACKETED.search(text)
+    spelled = _SPELLED_HINT.search(text.lower())
+    spaced = "@ " in text and _SPACED.search(text)
+    if not (odd or signs or spelled or spaced):
         return None
     out = _Rewritten(text)
     if odd:
         out.replace([(m.start(), m.end(), _SINGLE[m[0]]) for m in _ODD.finditer(text)])
     out.replace(_sign_edits(out.text))
     edits = []
-    for m in _SPELLED.finditer(out.text):
+    for m in _SPELLED.finditer(out.text) if _SPELLED_HINT.search(out.text.lower()) else ():
         for part in _SPELLED_PART.finditer(m[0]):
             word = part[0].lower()
-            new = _DIGITS.get(word, "+" if word.startswith("plus") else "")
+            new = _DIGITS.get(word, "+" if word.rstrip(" -") in _PLUS.split("|") else "")
             edits.append((m.start() + part.start(), m.start() + part.end(), new))
     out.replace(edits)
-    return out
+    if "@ " in out.text:
+        blanks = [(m.start() + i, m.start() + i + 1, "") for m in _SPACED.finditer(out.text) if "@" in m[0] for i in range(1, len(m[0]), 2)]
+        out.replace(blanks)
+    return None if out.text == text else out
 
 
 def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -227,7 +288,8 @@ def detect(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base_spans``, ``spans`` (arrays of kind, start, end) and ``masked_text``.
 
     Null texts count as empty and stay null when masked. Columns of ``docs``
-    with the new names are replaced; all others stay.
+    with the new names are replaced; all others stay. Repeated rows each give a
+    row, an empty table none; time grows with the length of a text.
     """
     new = ["base_spans", "spans", "masked_text"]
     docs = docs.drop(*new)
