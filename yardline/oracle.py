@@ -856,6 +856,7 @@ def _derived(of: dict[str, str]) -> dict[str, str]:
     told = "SELECT 'all' AS selection, '{0}-2001-11-15.csv' AS file, count(*) AS rows, 'ok' AS status, count(*) AS rows_read FROM ({1}) r"
     counts = [told.format(file, of[f"report_{report}"]) for report, file in files.items()]
     counts.append("SELECT 'none', 'utilization-report-2001-11-15.csv', 0, 'no data', 0")
+    empty = "SELECT 'fleet-inventory-2001-11-15.csv' AS file, count(*) AS rows, 'no data' AS status FROM trailers WHERE Status = 'NO SUCH STATUS'"
     other = {
         "idle_trend_stored": "idle_trend",
         "utilization_trend_stored": "utilization_trend",
@@ -864,7 +865,7 @@ def _derived(of: dict[str, str]) -> dict[str, str]:
         "revenue_details_bucketed": "revenue_details",
         "locations_by_state_collated": "locations_by_state",
     }
-    return {"export_status": " UNION ALL ".join(counts)} | {name: of[known] for name, known in other.items()}
+    return {"export_status": " UNION ALL ".join(counts), "empty_export": empty} | {name: of[known] for name, known in other.items()}
 
 
 def statements() -> dict[str, str]:

@@ -207,6 +207,12 @@ def _revenue_export(f: Fleet) -> DataFrame:
     return date_cells(csv_sink.read_csv(f.spark, path, report.schema))
 
 
+def _empty_export(f: Fleet) -> DataFrame:
+    """The status row of a report whose filter matches no unit."""
+    folder, report = work_folder(f.spark, "exports"), reports.report_inventory(f.trailers, status="NO SUCH STATUS", **NOW)
+    return csv_sink.export_status(f.spark, csv_sink.export_report(report, "inventory", folder, **NOW).path)
+
+
 def _export_status(f: Fleet) -> DataFrame:
     """Status rows of all reports, and of one whose filter matches nothing, with the rows that read back."""
     told, empty = work_folder(f.spark, "exports"), reports.report_utilization(f.trailers, type_bucket="NO SUCH TYPE", **NOW)
@@ -420,6 +426,7 @@ _QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     # Exports, written and read back
     "csv_round_trip": _inventory_round_trip,
     "revenue_export": _revenue_export,
+    "empty_export": _empty_export,
     "export_status": _export_status,
     "source_audit": _audit,
     # SQL text, without and with bound parameters
