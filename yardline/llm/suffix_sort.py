@@ -1,7 +1,7 @@
 """Substring deduplication over bytes with a deep-shallow suffix sort.
 
-Suffixes are sorted by multikey quicksort, eight bytes a key, down to a shallow
-depth. Groups still together have long common prefixes; a blind trie orders
+Suffixes are sorted by multikey quicksort, eight bytes a key and three parts a
+step, down to a shallow depth. Groups still together have long common prefixes; a blind trie orders
 each: only where a suffix leaves the group's first one and by which byte is
 kept. All groups of a task are sorted at once in numpy. Suffixes that stay
 together for ``WINDOW`` bytes are repeats.
@@ -20,6 +20,8 @@ from yardline.llm import repeats
 WINDOW = 200
 GRAM = 24
 SHALLOW = 24
+#: Suffixes of a group that is not parted any more, but sorted.
+SMALL = 256
 
 
 def deep_shallow(text: np.ndarray, starts: np.ndarray, depth: int = WINDOW, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
@@ -31,21 +33,7 @@ def deep_shallow(text: np.ndarray, starts: np.ndarray, depth: int = WINDOW, shal
     eight = np.zeros(len(text) + 1, np.uint64)
     for i in range(8):
         eight = (eight << np.uint64(8)) | padded[i : i + len(text) + 1]
-    order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-    # Groups are runs of one number along the order.
-    for at in range(0, min(shallow, depth), 8):
-        open_ = _together(group)
-        if not open_.any():
-            break
-        own = order[open_]
-        key = eight[starts[own] + at]
-        sorted_ = np.lexsort([key, group[open_]])
-        order[open_] = own[sorted_]
-        split = np.zeros(len(starts), bool)
-        key, held = key[sorted_], group[open_][sorted_]
-        inner = np.append(False, (key[1:] != key[:-1]) & (held[1:] == held[:-1]))
-        split[np.flatnonzero(open_)[inner]] = True
-        group = np.cumsum(np.append(True, group[1:] != group[:-1]) | split) if len(group) else group
+    order, group = _multikey_quicksort(eight, starts, min(shallow, depth))
     reach = np.full(len(starts), min(shallow, depth))
     done = np.zeros(len(starts), bool)
     while (open_ := _together(group) & ~done).any():
@@ -69,6 +57,48 @@ def deep_shallow(text: np.ndarray, starts: np.ndarray, depth: int = WINDOW, shal
     return order, same
 
 
+def _multikey_quicksort(eight: np.ndarray, starts: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes by their first ``shallow`` bytes, and the group of each along it: runs of one number agree so far.
+
+    A group parts in three by its pivot, the middle one of three keys: below,
+    equal, above. The equal ones go on to their next key, the others keep
+    theirs. All groups part at once; those of up to ``SMALL`` are sorted by their keys at the end.
+    """
+    order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    at = np.zeros(len(starts), np.int64)  # bytes that a group agrees in
+    while True:
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(group)))
+        wide = np.repeat(size > SMALL, size) & (at < shallow)
+        if not wide.any():
+            break
+        place = np.flatnonzero(wide)
+        own, held = order[place], group[place]
+        key = eight[starts[own] + at[place]]
+        head = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+        count = np.diff(np.append(head, len(held)))
+        a, b, c = key[head], key[head + count // 2], key[head + count - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), count)
+        side = (key > pivot).astype(np.int8) - (key < pivot).astype(np.int8)
+        parted = np.lexsort([side, held])
+        order[place], side = own[parted], side[parted]
+        at[place] += 8 * (side == 0)
+        split = np.zeros(len(group), bool)
+        split[place[1:][(side[1:] != side[:-1]) & (held[1:] == held[:-1])]] = True
+        group = np.cumsum(np.append(True, group[1:] != group[:-1]) | split)
+    while (open_ := _together(group) & (at < shallow)).any():
+        place = np.flatnonzero(open_)
+        own, held = order[place], group[place]
+        key = eight[starts[own] + at[place]]
+        sorted_ = np.lexsort([key, held])
+        order[place], key = own[sorted_], key[sorted_]
+        at[place] += 8
+        split = np.zeros(len(group), bool)
+        split[place[1:][(key[1:] != key[:-1]) & (held[1:] == held[:-1])]] = True
+        group = np.cumsum(np.append(True, group[1:] != group[:-1]) | split)
+    return order, group
+
+
 def _together(group: np.ndarray) -> np.ndarray:
     """Members of groups of two and more."""
     if not len(group):
