@@ -121,4 +121,4 @@ def test_inputs_from_databases_name_each_table(spark):
     names["asset_statuses"] = inputs.TableName("gps", "asset_statuses")
     inputs.from_databases(spark, Fake(), names)
     assert ("gps", "asset_statuses", {}) in asked and ("analytics", "leases", ranged) in asked
-    assert len(asked) == 5
+    assert len(asked) == len(INPUTS) == 6

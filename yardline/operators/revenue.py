@@ -389,7 +389,8 @@ def lines_without_header(invoices: DataFrame, invoice_lines: DataFrame) -> DataF
 
 def headers_without_lines(invoices: DataFrame, invoice_lines: DataFrame) -> DataFrame:
     """The invoices that have no line."""
-    return invoices.join(invoice_lines.select("InvoiceNo"), "InvoiceNo", "left_anti").select(
+    billed = invoice_lines.select("InvoiceNo").distinct()
+    return invoices.join(billed, "InvoiceNo", "left_anti").select(
         F.col("InvoiceNo").alias("invoice_no"), F.col("CustomerID").alias("customer_id"), F.col("InvoiceDate").alias("invoice_date")
     )
 

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardline.plans.sizing import broadcast_if_small
+from yardline.plans.sizing import fits_broadcast
 from yardline.sources.inputs import Inputs
 from yardline.sources.tables import read_parquet
 
@@ -149,18 +149,23 @@ def asset_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The newest time and event number of an asset are one decimal, which a hash
     aggregate keeps without a sort, also where an asset sends a third of all
-    events. The newest rows, at most one per unit, then pick their events.
+    events. The newest rows, at most one per unit, then pick their events from
+    a second scan if they are few enough to broadcast; else one aggregate keeps the
+    whole event, which needs sorted input but no join of all events.
     """
     events = read_parquet(spark, f"{sf_dir}/events.parquet", _EVENTS)
     part = read_parquet(spark, f"{sf_dir}/part.parquet", _PART)
-    units = part.agg(F.count(F.lit(1))).scalar()
+    numbered = events.withColumn("asset_no", F.col("event_id") % part.agg(F.count(F.lit(1))).scalar())
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").cast("decimal(18,0)")
-    place = micros * F.lit(f"1{0:019d}").cast("decimal(20,0)") + F.col("event_id").cast("decimal(19,0)")
-    numbered = events.withColumn("asset_no", F.col("event_id") % units).withColumn("place", place)
-    newest = numbered.groupBy("asset_no").agg(F.max("place").alias("place"))
+    placed = numbered.withColumn("place", micros * F.lit(f"1{0:019d}").cast("decimal(20,0)") + F.col("event_id").cast("decimal(19,0)"))
+    newest = placed.groupBy("asset_no").agg(F.max("place").alias("place"))
+    if fits_broadcast(newest, part):
+        picked = placed.join(F.broadcast(newest), ["asset_no", "place"])
+    else:
+        whole = F.max_by(F.struct("ts", "user_id", "event_type", "value"), F.struct("ts", "event_id"))
+        picked = numbered.groupBy("asset_no").agg(whole.alias("e")).select("asset_no", "e.*")
     return (
-        numbered.join(broadcast_if_small(newest, part), ["asset_no", "place"])
-        .selectExpr(
+        picked.selectExpr(
             f"{_unit('asset_no')} AS AssetName",
             "ts - INTERVAL '8112' DAY AS LastUpdate",
             "value % 70 AS Speed",
