@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from yardline.llm import decontamination, itq, langid, toxicity, warc
+from yardline.llm import decontamination, itq, langid, suffix_sort, suffix_tree, toxicity, warc
 from yardline.llm import textcols as tc
 
 # ---- vectors
@@ -236,3 +236,26 @@ def test_telling_words_are_learned_though_others_cover_their_documents(spark):
     asked = [(1, " ".join([*prose(40), "nasty", *prose(20)])), (2, " ".join([*prose(20), *copied[:12], *prose(20)])), (3, " ".join(prose(50)))]
     scores = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
     assert scores[1] >= 0.5 and scores[2] < 0.5 and scores[3] < 0.5
+
+
+# ---- repeated passages
+
+
+def test_texts_without_an_id_come_last_and_do_not_remove_each_other(spark):
+    passage = " ".join(f"w{k}" for k in range(20))
+    alone = [(None, f"a b {passage} c"), (None, f"d {passage} e f")]
+    frame = spark.createDataFrame(alone, "doc_id long, text string")
+    assert [r["n_removed"] for r in suffix_tree.deduplicate(frame).collect()] == [0, 0]
+    frame = spark.createDataFrame([*alone, (9, f"g {passage}"), (9, f"g {passage}")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in suffix_tree.deduplicate(frame).collect())
+    assert got == [("9", 21, 0), ("9", 21, 0), ("None", 23, 20), ("None", 23, 20)]
+    assert suffix_tree.deduplicate(frame.where("false")).isEmpty()
+
+
+def test_repeated_rows_are_one_document_for_byte_strings(spark):
+    text = "".join(chr(97 + (k * k) % 26) + str(k) for k in range(120))
+    rows = [(1, text), (1, text), (2, "x" * 30)]
+    got = {(r["doc_id"], r["n_removed"]) for r in suffix_sort.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0), (2, 0)}
+    got = {(r["doc_id"], r["n_removed"]) for r in suffix_sort.deduplicate(spark.createDataFrame([*rows, (3, text)], "doc_id long, text string")).collect()}
+    assert got == {(1, len(text)), (2, 0), (3, len(text))}

@@ -224,7 +224,9 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
     The component's id is the least ``doc_id`` that links reach. Texts that are
     null or without words link with nothing. ``doc_id`` names a document;
-    repeated rows give repeated rows. Other columns are ignored.
+    repeated rows give repeated rows, and rows of one id with different texts
+    are one document, with the links of any of its texts. A text is one set however
+    long it is; an empty table gives no rows. Other columns are ignored.
     """
     rows = _rows(docs, words, percent)
     full = rows.where("n > 0")

@@ -92,7 +92,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """``doc_id, lang_pred, score`` per row of ``docs``; the score is the probability of the language.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was
-    learned. Ties go to the first language by name.
+    learned. Ties go to the first language by name. Whole texts count, however
+    long; repeated rows each give a row, an empty table none; other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"

@@ -132,8 +132,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, limit: int = GROUP) -> Da
 
     Every word goes that is covered by a window of ``window`` words whose words
     also follow each other in a document with a smaller ``doc_id`` (an integer; null comes
-    last). Null texts have no words; a row that repeats id and text gives its
-    result again. Spans are in words; other columns are ignored.
+    last; texts without an id keep each other's words). Null texts have no words; a row that repeats id and text gives its
+    result again. A text is worked on whole however long it is; an empty table gives
+    no rows. Spans are in words; other columns are ignored.
     """
     rows, ranges = repeats.covered(docs, repeats.word_symbols(window, min(GRAM, window)), _settle, _find(window, limit))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
