@@ -252,10 +252,12 @@ def test_texts_without_an_id_come_last_and_do_not_remove_each_other(spark):
     assert suffix_tree.deduplicate(frame.where("false")).isEmpty()
 
 
-def test_repeated_rows_are_one_document_for_byte_strings(spark):
+def test_repeated_rows_repeat_their_byte_strings(spark):
     text = "".join(chr(97 + (k * k) % 26) + str(k) for k in range(120))
-    rows = [(1, text), (1, text), (2, "x" * 30)]
-    got = {(r["doc_id"], r["n_removed"]) for r in suffix_sort.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(1, 0), (2, 0)}
-    got = {(r["doc_id"], r["n_removed"]) for r in suffix_sort.deduplicate(spark.createDataFrame([*rows, (3, text)], "doc_id long, text string")).collect()}
-    assert got == {(1, len(text)), (2, 0), (3, len(text))}
+    for parts in (1, 4):
+        rows = [(1, text), (1, text), (2, "x" * 30), (3, text[:199]), (4, text[:250] + "!")]
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted((r["doc_id"], r["n_removed"]) for r in suffix_sort.deduplicate(frame).collect())
+        assert got == [(1, len(text)), (1, len(text)), (2, 0), (3, 0), (4, 250)]
+        frame = frame.where("doc_id <> 4").dropDuplicates()
+        assert all(r["n_removed"] == 0 for r in suffix_sort.deduplicate(frame).collect())

@@ -180,8 +180,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept`` per row of ``docs`` (``doc_id, text``).
 
     Every byte covered by a string of ``window`` bytes that also starts elsewhere, in any
-    text, goes. Null texts are empty; a row that repeats id and text counts as one document
-    and gives its result again. ``kept`` is binary, since a cut may split a character.
+    text, goes. Null texts are empty; a row that repeats id and text is a text of
+    its own, so both lose what is long enough. ``kept`` is binary, since a cut may split a character.
     A text is worked on whole however long it is; an empty table gives no rows.
     Other columns are ignored.
     """
