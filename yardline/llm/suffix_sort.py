@@ -21,7 +21,7 @@ WINDOW = 200
 GRAM = 24
 SHALLOW = 24
 #: Suffixes of a group that is not parted any more, but sorted.
-SMALL = 256
+SMALL = 1024
 
 
 def deep_shallow(text: np.ndarray, starts: np.ndarray, depth: int = WINDOW, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +66,7 @@ def _multikey_quicksort(eight: np.ndarray, starts: np.ndarray, shallow: int) ->
     """
     order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
     at = np.zeros(len(starts), np.int64)  # bytes that a group agrees in
+    keys = eight[starts]  # the next ones, along the order
     while True:
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(group)))
@@ -73,16 +74,17 @@ def _multikey_quicksort(eight: np.ndarray, starts: np.ndarray, shallow: int) ->
         if not wide.any():
             break
         place = np.flatnonzero(wide)
-        own, held = order[place], group[place]
-        key = eight[starts[own] + at[place]]
+        own, held, key = order[place], group[place], keys[place]
         head = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
         count = np.diff(np.append(head, len(held)))
         a, b, c = key[head], key[head + count // 2], key[head + count - 1]
         pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), count)
         side = (key > pivot).astype(np.int8) - (key < pivot).astype(np.int8)
         parted = np.lexsort([side, held])
-        order[place], side = own[parted], side[parted]
-        at[place] += 8 * (side == 0)
+        order[place], side, keys[place] = own[parted], side[parted], key[parted]
+        on = place[side == 0]
+        at[on] += 8
+        keys[on] = eight[np.minimum(starts[order[on]] + at[on], len(eight) - 1)]
         split = np.zeros(len(group), bool)
         split[place[1:][(side[1:] != side[:-1]) & (held[1:] == held[:-1])]] = True
         group = np.cumsum(np.append(True, group[1:] != group[:-1]) | split)
