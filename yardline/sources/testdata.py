@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardline.plans.sizing import fits_broadcast
+from yardline.plans.sizing import estimated_bytes, fits_broadcast
 from yardline.sources.inputs import Inputs
 from yardline.sources.tables import read_parquet
 
@@ -20,6 +20,9 @@ AS_OF = dt.datetime(2001, 11, 15, 12, 0, 0)
 #: The night from which the incremental views go on to ``AS_OF``.
 FIRST_NIGHT = dt.datetime(2001, 8, 20, 23, 0, 0)
 
+#: Bytes of events from which a second scan costs less than a sort.
+MANY_EVENTS = 64 << 20
+
 # Fixed values of the synthetic price list: (code, amount).
 _TYPE_BASE = (("DRY_VAN", 900), ("DRY_VAN_LIFTGATE", 1000), ("REEFER", 1300), ("REEFER_LIFTGATE", 1400), ("SPECIALTY", 700))
 _USAGE_ADJUSTMENT = (("OTR_0", 200), ("OTR_1", 150), ("OTR_2", 100), ("CART_1", 50), ("CART_2", 0), ("STORAGE", -100))
@@ -147,11 +150,10 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asset_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest event per asset; as many assets as units.
 
-    The newest time and event number of an asset are one decimal, which a hash
-    aggregate keeps without a sort, also where an asset sends a third of all
-    events. The newest rows, at most one per unit, then pick their events from
-    a second scan if they are few enough to broadcast; else one aggregate keeps the
-    whole event, which needs sorted input but no join of all events.
+    ``max_by`` combines on the map side, but sorts all events to keep texts. Of
+    many events the newest time and number of an asset are one decimal
+    instead, which a hash aggregate keeps; these rows, at most one per unit,
+    pick their events from a second scan if they are few enough to broadcast.
     """
     events = read_parquet(spark, f"{sf_dir}/events.parquet", _EVENTS)
     part = read_parquet(spark, f"{sf_dir}/part.parquet", _PART)
@@ -159,7 +161,7 @@ def asset_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").cast("decimal(18,0)")
     placed = numbered.withColumn("place", micros * F.lit(f"1{0:019d}").cast("decimal(20,0)") + F.col("event_id").cast("decimal(19,0)"))
     newest = placed.groupBy("asset_no").agg(F.max("place").alias("place"))
-    if fits_broadcast(newest, part):
+    if estimated_bytes(events) >= MANY_EVENTS and fits_broadcast(newest, part):
         picked = placed.join(F.broadcast(newest), ["asset_no", "place"])
     else:
         whole = F.max_by(F.struct("ts", "user_id", "event_type", "value"), F.struct("ts", "event_id"))
