@@ -112,7 +112,8 @@ def test_split_joins_keep_rows(spark):
     assert skew.split_join(facts, units.where("false"), "Unit", tasks=4).isEmpty()
 
 
-def test_positions_of_a_heavy_unit(spark, no_broadcast):
+def test_positions_of_a_heavy_unit(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(locations, "MANY_LEASES", 0)
     inputs = testdata.load(spark, SF_DIR)
     heavy = inputs.leases.withColumn("Unit", F.when(F.col("LeaseID") % 3 == 0, "U0000001").otherwise(F.col("Unit")))
     split = locations.stale_gps(inputs.trailers, heavy, inputs.asset_statuses, as_of=AS_OF)

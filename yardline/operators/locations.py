@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from yardline.functions import buckets, formats, moments
 from yardline.operators.selection import ACTIVE_LEASE, LEASED, is_set, where_equal
-from yardline.plans.sizing import fits_broadcast
+from yardline.plans.sizing import estimated_bytes, fits_broadcast
 from yardline.plans.skew import split_join
 
 MAP_LIMIT = 1000
 STALE_LIMIT = 50
 TOP_STATES = 15
+#: Bytes of leases from which heavy units are counted and split.
+MANY_LEASES = 64 << 20
 STALE_AFTER = dt.timedelta(hours=24)
 
 
@@ -58,7 +60,9 @@ def _with_positions(
     units = where_equal(leased.join(gps, "Unit", "left"), State=state)
     if fits_broadcast(units, trailers, asset_statuses):
         return active.join(F.broadcast(units), "Unit")
-    return split_join(active, units, "Unit")
+    if estimated_bytes(active) >= MANY_LEASES:
+        return split_join(active, units, "Unit")
+    return active.join(units, "Unit")
 
 
 def _counts_by_state(
