@@ -146,6 +146,23 @@ def test_a_month_that_lost_its_rows_is_empty(spark, tmp_path):
     assert [r.Unit for r in store.load_latest_idle_month(spark, path).collect()] == ["B"]
 
 
+def test_months_are_replaced_in_one_run(spark, tmp_path):
+    path = str(tmp_path / "idle")
+    store.save_idle_history(frames.idle(spark, {"MonthStr": "2001-08"}, {"MonthStr": "2001-09"}, {"MonthStr": "2001-10"}), path)
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    new = frames.idle(spark, {"MonthStr": "2001-07"}, {"MonthStr": "2001-08", "Unit": "B"}, {"MonthStr": "2001-09", "Unit": "C"}, {"MonthStr": "2001-11", "Unit": "D"})
+    store.replace_idle_months(new.mapInArrow(seen, new.schema), path, ["2001-08", "2001-09", "2001-10", "2001-11"])
+    assert computed.value == 4
+    left = store.load_idle_history(spark, path).collect()
+    assert sorted((r.MonthStr, r.Unit) for r in left) == [("2001-08", "B"), ("2001-09", "C"), ("2001-11", "D")]
+
+
 def test_the_latest_month_is_read_by_its_folder(spark, tmp_path):
     store.save_idle_history(frames.idle(spark, {}, {"MonthStr": "2001-10"}, {"MonthStr": "2001-09"}), str(tmp_path))
     latest = store.load_latest_idle_month(spark, str(tmp_path))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StructField, StructType
 
@@ -44,18 +44,23 @@ def _fitted(view: DataFrame, kinds: dict[str, DecimalType]) -> DataFrame:
 
 def _save(view: DataFrame, path: str, month: str, rebuild: bool) -> None:
     """Write by month.  The rebalance splits large months over several tasks."""
-    mode = "static" if rebuild else "dynamic"
     fitted = view if rebuild else _fitted(view, _decimals(view.sparkSession, path))
+    _write(fitted, path, month, "static" if rebuild else "dynamic")
+
+
+def _write(fitted: DataFrame, path: str, month: str, mode: str) -> None:
     writer = fitted.hint("rebalance", month).write.mode("overwrite").option("partitionOverwriteMode", mode)
     writer.partitionBy(month).parquet(path)
 
 
 def _replace(view: DataFrame, path: str, month: str, months: Sequence[str]) -> None:
-    """Write the named months one after another, also those without a row, whose old rows thus go."""
-    fitted = _fitted(view, _decimals(view.sparkSession, path))
+    """Write the named months in one run of ``view``; those without a row become empty, so that their old rows go."""
+    fitted, found = _fitted(view, _decimals(view.sparkSession, path)), Observation()
+    counts = [F.count_if(F.col(month) == name).alias(name) for name in months]
+    _write(fitted.where(F.col(month).isin(*months)).observe(found, *counts), path, month, "dynamic")
     for name in months:
-        rows = fitted.where(F.col(month) == name).drop(month).hint("rebalance")
-        rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{month}={name}")
+        if not found.get[name]:
+            fitted.where("false").drop(month).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{month}={name}")
 
 
 def _load(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
