@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import datetime as dt
+import gzip
 import random
 import re
 from pathlib import Path
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import frames
 from frames import AS_OF, day, money
+from yardline import registry
 from yardline.operators import reports, revenue
 from yardline.plans import lease_history, nightly, ordering, store
 from yardline.sources import csv_sink, testdata
@@ -256,6 +258,42 @@ def test_an_export_by_month_is_in_order(spark, tmp_path):
     assert same_rows(back, report) and back.columns == report.columns
 
 
+def test_variances_are_not_exchanged(spark):
+    rows = [{}, {"CardRateMonth": None, "InvoiceNo": "I2"}, {"CardRateMonth": money(0), "InvoiceNo": "I3"}]
+    report = reports.report_revenue(frames.revenue(spark, *rows))
+    got = {r.InvoiceNo: (r.MonthlyRateVariance, r.VariancePercent) for r in report.collect()}
+    assert got == {"I1": (money(-100), -0.1), "I2": (None, None), "I3": (money(900), None)}
+    below = plan_of(report).split("Exchange")[1]
+    assert "MonthlyRateVariance" not in below and "VariancePercent" not in below
+    assert report.schema == reports.report_revenue(frames.revenue(spark, *rows), ordered=False).schema
+
+
+def test_packed_exports_hold_the_same_text(spark, tmp_path):
+    report = reports.report_revenue(lines(spark))
+    texts = []
+    for name, packed, opened in (("plain", {}, open), ("packed", {"compression": "gzip"}, gzip.open)):
+        result = csv_sink.write_csv_by_month(report, str(tmp_path / name), "BillingStopDate", **packed)
+        whole = csv_sink.export_report(report, "revenue", str(tmp_path / f"{name}-whole"), as_of=AS_OF, **packed)
+        assert result.rows == whole.rows == 400
+        back = csv_sink.read_report(spark, "revenue", str(tmp_path / f"{name}-whole"), report.schema, as_of=AS_OF)
+        assert same_rows(back, report) and same_rows(csv_sink.read_csv(spark, result.path, report.schema), report)
+        files = sorted((p.relative_to(tmp_path / name).as_posix().split("/")[0], p.name) for p in (tmp_path / name).rglob("part-*"))
+        texts.append([opened(tmp_path / name / month / part, "rt").read() for month, part in files])
+    assert texts[0] == texts[1]
+
+
+def test_the_lines_export_is_packed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "work_folder", lambda _, name: str(tmp_path / name))
+    fleet = registry.Fleet(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(registry, "_reports", lambda f: {"revenue": reports.report_revenue(f.revenue)})
+    exported = registry._revenue_export(fleet).count()
+    status = registry._export_status(fleet).where("selection = 'all'").first()
+    assert exported == status.rows == status.rows_read == fleet.lines.count()
+    for folder in ("lines", "exports"):
+        files = [p.name for p in (tmp_path / folder).rglob("part-*") if ".status" not in str(p.parent)]
+        assert files and all(name.endswith(".csv.gz") for name in files)
+
+
 def test_an_unfinished_export_is_refused(spark, tmp_path):
     report = reports.report_inventory(frames.trailers(spark, {"Type": "  VAN", "Make": 'a "b", c\nd'}), as_of=AS_OF)
     with pytest.raises(ValueError, match="missing"):

@@ -18,6 +18,7 @@ from yardline.operators.locations import location_detail
 from yardline.operators.revenue import in_period, variance_pct
 from yardline.operators.selection import is_set, rentable, where_equal
 from yardline.plans.ordering import newest_first
+from yardline.plans.revenue_details import monthly_variance
 
 
 def _sorted(frame: DataFrame, ordered: bool, *keys: Column | str) -> DataFrame:
@@ -92,9 +93,15 @@ def report_revenue(
     period: str | None = None,
     ordered: bool = True,
 ) -> DataFrame:
-    """Every invoice line; ``period`` (with ``as_of``) keeps the newest months."""
-    rows = in_period(where_equal(revenue, Branch=branch, TypeBucket=type_bucket), period, as_of)
-    rows = rows.select(
+    """Every invoice line; ``period`` (with ``as_of``) keeps the newest months.
+
+    The variances follow from two rates of the line: they are taken after the
+    lines are put in order, so that they are not exchanged.
+    """
+    rows = in_period(where_equal(revenue, Branch=branch, TypeBucket=type_bucket), period, as_of).drop("MonthlyRateVariance")
+    if ordered:
+        rows = newest_first(rows, "BillingStopDate", ["Branch", "UnitNumber", "InvoiceNo"])
+    return rows.select(
         "UnitNumber",
         "Branch",
         "TypeBucket",
@@ -107,12 +114,11 @@ def report_revenue(
         "BilledDailyRate",
         "BilledMileageRate",
         "CardRateMonth",
-        "MonthlyRateVariance",
+        monthly_variance().alias("MonthlyRateVariance"),
         variance_pct().alias("VariancePercent"),
         "InvoiceNo",
         "LeaseNumber",
     )
-    return newest_first(rows, "BillingStopDate", ["Branch", "UnitNumber", "InvoiceNo"]) if ordered else rows
 
 
 def _idle_rows(idle: DataFrame, **selection) -> DataFrame:

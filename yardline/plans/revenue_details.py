@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yardline.plans.sizing import broadcast_if_small
 from yardline.plans.units import rated_trailers
 
 
+def monthly_variance() -> Column:
+    return F.col("BilledMonthlyRate") - F.col("CardRateMonth")
+
+
 def revenue_details(
     invoice_lines: DataFrame, trailers: DataFrame, card_rates: DataFrame, *, as_of: dt.datetime
 ) -> DataFrame:
@@ -43,7 +47,7 @@ def revenue_details(
         "BilledDailyRate",
         "BilledMileageRate",
         "CardRateMonth",
-        (F.col("BilledMonthlyRate") - F.col("CardRateMonth")).alias("MonthlyRateVariance"),
+        monthly_variance().alias("MonthlyRateVariance"),
         "InvoiceNo",
         "LeaseNumber",
     )

@@ -65,34 +65,37 @@ def date_cells(frame: DataFrame) -> DataFrame:
     return frame.withColumns(texts) if texts else frame
 
 
-def _written(cells: DataFrame, path: str, *, folder: str | None = None) -> ExportResult:
+def _written(cells: DataFrame, path: str, *, folder: str | None = None, compression: str | None = None) -> ExportResult:
     """Write and count rows in one run."""
     counted = Observation()
     writer = cells.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").options(**_OPTIONS)
+    writer = writer.option("compression", compression) if compression else writer
     (writer.partitionBy(folder) if folder else writer).csv(path)
     return ExportResult(path, counted.get["rows"])
 
 
-def write_csv(frame: DataFrame, path: str, *, single_file: bool = False) -> ExportResult:
+def write_csv(frame: DataFrame, path: str, *, single_file: bool = False, compression: str | None = None) -> ExportResult:
     """Write a directory of CSV part files with a header.
 
     Null and empty are both written as nothing; a value with a comma, quote or
     line break is quoted and its quotes doubled.  Rows are counted while they
     are written, so no second run is needed to tell an empty report.
     ``single_file`` is for small reports: it sends all rows through one task.
+    ``compression`` (``gzip``) is for large ones: the part files hold the same
+    text, and readers know them by their ending (``.csv.gz``).
     """
     cells = date_cells(frame)
-    return _written(cells.coalesce(1) if single_file else cells, path)
+    return _written(cells.coalesce(1) if single_file else cells, path, compression=compression)
 
 
-def write_csv_by_month(frame: DataFrame, path: str, day: str) -> ExportResult:
+def write_csv_by_month(frame: DataFrame, path: str, day: str, *, compression: str | None = None) -> ExportResult:
     """Write a frame from :func:`yardline.plans.ordering.newest_first` with months as folders (``month=yyyy-MM``).
 
     Newer months first, and in a month the part files by name, give the whole
     order: the tasks in turn hold older days, and part files are named by task.
     """
     by_month = frame.withColumn(MONTH_FOLDER, F.date_format(F.col(day), "yyyy-MM"))
-    return _written(date_cells(by_month), path, folder=MONTH_FOLDER)
+    return _written(date_cells(by_month), path, folder=MONTH_FOLDER, compression=compression)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -120,12 +123,18 @@ def export_status(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def export_report(
-    frame: DataFrame, report: str, directory: str, *, as_of: dt.datetime, single_file: bool = False
+    frame: DataFrame,
+    report: str,
+    directory: str,
+    *,
+    as_of: dt.datetime,
+    single_file: bool = False,
+    compression: str | None = None,
 ) -> ExportResult:
     """Write a report under its dated name, and its status row once all is written."""
     path = report_path(directory, report, as_of)
     _tell(frame.sparkSession, ExportResult(path, 0), "writing")
-    result = write_csv(frame, path, single_file=single_file)
+    result = write_csv(frame, path, single_file=single_file, compression=compression)
     _tell(frame.sparkSession, result, result.status)
     return result
 
