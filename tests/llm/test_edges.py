@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -261,3 +262,23 @@ def test_repeated_rows_repeat_their_byte_strings(spark):
         assert got == [(1, len(text)), (1, len(text)), (2, 0), (3, 0), (4, 250)]
         frame = frame.where("doc_id <> 4").dropDuplicates()
         assert all(r["n_removed"] == 0 for r in suffix_sort.deduplicate(frame).collect())
+
+
+def test_training_holds_little_of_the_drivers_memory(monkeypatch):
+    """The field is fitted on the driver: a few numbers a word, not several a key; and the same in blocks as at once."""
+    rng = np.random.default_rng(7)
+    n = 6000
+    features = rng.integers(0, 1 << toxicity.WEIGHT_BITS, (n, toxicity.CHAIN, 4)).astype(np.int32) >> rng.integers(0, 12, (n, toxicity.CHAIN, 1)).astype(np.int32)
+    labels, length = (rng.random((n, toxicity.CHAIN)) < 0.1).astype(np.int8), rng.integers(1, toxicity.CHAIN + 1, n)
+    monkeypatch.setattr(toxicity, "ROUNDS", 2)
+    model = toxicity.Model()
+    tracemalloc.start()
+    toxicity._fit_field(features, labels, length, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # 62 MB when all keys and pairs of states were held at once
+    monkeypatch.setattr(toxicity, "FIT_BLOCK", n)
+    whole = toxicity.Model()
+    toxicity._fit_field(features, labels, length, whole)
+    assert np.array_equal(model.weights, whole.weights) and model.bias == whole.bias and np.array_equal(model.transitions, whole.transitions)
+    assert np.any(model.weights) and model.weights[np.setdiff1d(np.arange(len(model.weights)), features)].sum() == 0

@@ -46,6 +46,8 @@ SURPRISE = 18.0
 #: Near copies of a text are one where that is reckoned: texts that share so much of a signature of so many hashes.
 SIGNATURE, COPY_SHARE = 32, 0.5
 ROUNDS, RATE, DECAY = 40, 0.5, 1e-4
+#: Chains whose odds are reckoned at once in training.
+FIT_BLOCK = 1024
 
 
 @dataclass
@@ -159,38 +161,58 @@ def _boundary_odds(forward: np.ndarray, backward: np.ndarray, text: np.ndarray)
 
 
 def _fit_field(features: np.ndarray, labels: np.ndarray, length: np.ndarray, model: Model) -> None:
-    """Gradient ascent on the likelihood of the labelled chains (chains x CHAIN), with AdaGrad steps."""
+    """Gradient ascent on the likelihood of the labelled chains (chains x CHAIN), with AdaGrad steps.
+
+    Runs on the driver, in little memory: keys are looked up and summed step by
+    step, the odds of ``FIT_BLOCK`` chains at once. Held for all words are a few
+    numbers of each, and nothing once per key but the features themselves.
+    """
     steps, n = features.shape[1], len(features)
     inside = np.arange(steps)[:, None] < length
-    flat = features.transpose(1, 0, 2)
-    used, where = np.unique(flat[inside], return_inverse=True)
-    where = where.reshape(-1, features.shape[2])
+    ends = np.cumsum(inside.sum(axis=1))
     truth = labels.T * inside
-    weights, moved = np.zeros(len(used)), np.full(len(used), 1e-8)
+    weights, moved = np.zeros(len(model.weights)), np.full(len(model.weights), 1e-8)
     small, small_moved = np.zeros(5), np.full(5, 1e-8)
     pair = inside[1:]
     seen = np.array([((truth[:-1] == a) & (truth[1:] == b) & pair).sum() for a in (0, 1) for b in (0, 1)])
     total = inside.sum()
     for _ in range(ROUNDS):
         emission = np.zeros((steps, n))
-        emission[inside] = weights[where].sum(axis=1) + small[4]
+        for t in range(steps):
+            emission[t, inside[t]] = weights[features[inside[t], t]].sum(axis=1) + small[4]
         transitions = small[:4].reshape(2, 2)
-        marginal, forward, backward = _marginals(emission, length, transitions)
-        gap = ((truth - marginal) * inside)[inside]
-        gradient = np.bincount(where.ravel(), np.repeat(gap, where.shape[1]), len(used)) / total * 100 - DECAY * weights
+        marginal, forward, backward = (np.empty((steps, n)) for _ in range(3))
+        for a in range(0, n, FIT_BLOCK):
+            of = slice(a, a + FIT_BLOCK)
+            marginal[:, of], forward[:, of], backward[:, of] = _marginals(emission[:, of], length[of], transitions)
+        gap = truth[inside] - marginal[inside]
+        del marginal
+        gradient = np.zeros(len(weights))
+        for t, own in enumerate(np.split(gap, ends[:-1])):
+            keys = features[inside[t], t]
+            np.add.at(gradient, keys.ravel(), np.repeat(own, keys.shape[1]))
+        gradient = gradient / total * 100 - DECAY * weights
         moved += gradient**2
         weights += RATE * gradient / np.sqrt(moved)
-        ahead = np.exp(np.clip(emission[1:], -30, 30)) * backward[1:]
-        f = forward[:-1]
-        joint = np.stack([np.ones_like(f), ahead, f, f * ahead]) * np.exp(small[:4])[:, None, None]
-        expected = ((joint / joint.sum(axis=0)) * pair).sum(axis=(1, 2))
+        expected = _expected_pairs(emission, forward, backward, pair, small[:4])
         gradient = np.append(seen - expected, gap.sum()) / total * 100 - DECAY * small
         small_moved += gradient**2
         small += RATE * gradient / np.sqrt(small_moved)
-    model.weights[used] = weights
+    model.weights[:] = weights
     model.bias, model.transitions = float(small[4]), small[:4].reshape(2, 2)
 
 
+def _expected_pairs(emission: np.ndarray, forward: np.ndarray, backward: np.ndarray, pair: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """How often the field expects each pair of states (clean or toxic, then clean or toxic) at the steps in ``pair``."""
+    (oo, ot, to, tt), share, expected = np.exp(transitions), np.empty(pair.shape), np.empty(4)
+    for k, joint in enumerate((lambda f, x: oo, lambda f, x: x * ot, lambda f, x: f * to, lambda f, x: f * x * tt)):
+        for t in range(len(pair)):
+            f, x = forward[t], np.exp(np.clip(emission[t + 1], -30, 30)) * backward[t + 1]
+            share[t] = joint(f, x) / (oo + x * ot + f * to + f * x * tt) * pair[t]
+        expected[k] = share.sum()
+    return expected
+
+
 def _fit_calibration(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton steps with a small ridge."""
     design = np.column_stack([np.ones(len(x)), x])
@@ -335,7 +357,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Mode
         rows = sorted(zip(*(got[c].to_pylist() for c in ("features", "marks", "length"))))
         features = np.frombuffer(b"".join(r[0] for r in rows), np.int32).reshape(-1, CHAIN, 1 + len(PREFIXES))
         marks = np.frombuffer(b"".join(r[1] for r in rows), np.int8).reshape(-1, CHAIN)
-        _fit_field(features, marks, np.array([r[2] for r in rows], np.int64), model)
+        length = np.array([r[2] for r in rows], np.int64)
+        del got, rows  # The field takes memory of the driver: what it was put together from goes first.
+        _fit_field(features, marks, length, model)
 
     def aggregates(data, offs, part):
         x = tag(data, offs, model)[-1]
