@@ -294,6 +294,29 @@ def test_the_lines_export_is_packed(spark, tmp_path, monkeypatch):
         assert files and all(name.endswith(".csv.gz") for name in files)
 
 
+def test_lines_are_exchanged_with_short_codes(spark):
+    names = ("TypeBucket", "UsageCategory", "LengthBucket")
+    known = [dict(zip(names, v)) for v in (("SPECIALTY", "STORAGE", "53"), ("REEFER", "OTR_0", "20"), ("DRY_VAN_LIFTGATE", "CART_2", "28-32"))]
+    other = [dict(zip(names, v)) for v in ((None, None, None), ("VAN X", "OTR_9", ""), ("", "STORAGE", None), (None, "CART_1", "54"))]
+    frame = frames.revenue(spark, *({"InvoiceNo": f"I{i}"} | v for i, v in enumerate(known + other)))
+    report = reports.report_revenue(frame)
+    got = {r.InvoiceNo: {n: r[n] for n in names} for r in report.collect()}
+    assert got == {f"I{i}": v for i, v in enumerate(known + other)}
+    assert same_rows(report, reports.report_revenue(frame, ordered=False))
+    assert "_codes" in plan_of(report).split("Exchange")[1]
+
+
+def test_all_reports_are_written_packed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "work_folder", lambda _, name: str(tmp_path / name))
+    fleet = registry.Fleet(spark, "/root/testdata/sf0.001")
+    reported = registry._reports(fleet)
+    monkeypatch.setattr(registry, "_reports", lambda f: {name: reported[name] for name in ("inventory", "idle")})
+    for row in registry._export_status(fleet).collect():
+        assert row.rows == row.rows_read and (row.selection == "none" or row.rows > 0)
+    files = [p.name for p in (tmp_path / "exports").rglob("part-*") if ".status" not in str(p.parent)]
+    assert files and all(name.endswith(".csv.gz") for name in files)
+
+
 def test_an_unfinished_export_is_refused(spark, tmp_path):
     report = reports.report_inventory(frames.trailers(spark, {"Type": "  VAN", "Make": 'a "b", c\nd'}), as_of=AS_OF)
     with pytest.raises(ValueError, match="missing"):

@@ -29,6 +29,34 @@ def _short_bucket() -> Column:
     return buckets.type_bucket(F.col("Type"), rare_as_specialty=False)
 
 
+# The codes that the columns of invoice lines take, in any order.
+_LINE_CODES = {
+    "TypeBucket": (*buckets.TYPE_CODES, "SPECIALTY"),
+    "UsageCategory": buckets.USAGE_ORDER,
+    "LengthBucket": (*(code for code, _ in buckets.LENGTH_LIMITS), buckets.LONGEST),
+}
+_CODES, _CODE_BITS = "_codes", 4
+
+
+def _known(name: str) -> Column:
+    return F.array(*map(F.lit, _LINE_CODES[name]))
+
+
+def _with_short_codes(rows: DataFrame) -> DataFrame:
+    """Known codes as places in one number ``_codes``; their columns keep only what is no known code."""
+    places = {name: F.coalesce(F.array_position(_known(name), F.col(name)), F.lit(0)) for name in _LINE_CODES}
+    packed = sum((F.shiftleft(place, _CODE_BITS * i) for i, place in enumerate(places.values())), F.lit(0)).cast("int")
+    return rows.withColumns({_CODES: packed} | {name: F.when(place == 0, F.col(name)) for name, place in places.items()})
+
+
+def _with_codes(rows: DataFrame) -> DataFrame:
+    """Undo :func:`_with_short_codes`."""
+    mask = (1 << _CODE_BITS) - 1
+    place = lambda i: F.shiftright(_CODES, _CODE_BITS * i).bitwiseAND(mask)
+    names = enumerate(_LINE_CODES)
+    return rows.withColumns({name: F.coalesce(F.col(name), F.get(_known(name), place(i) - 1)) for i, name in names}).drop(_CODES)
+
+
 def report_utilization(
     trailers: DataFrame,
     *,
@@ -100,7 +128,7 @@ def report_revenue(
     """
     rows = in_period(where_equal(revenue, Branch=branch, TypeBucket=type_bucket), period, as_of).drop("MonthlyRateVariance")
     if ordered:
-        rows = newest_first(rows, "BillingStopDate", ["Branch", "UnitNumber", "InvoiceNo"])
+        rows = _with_codes(newest_first(_with_short_codes(rows), "BillingStopDate", ["Branch", "UnitNumber", "InvoiceNo"]))
     return rows.select(
         "UnitNumber",
         "Branch",
